@@ -157,4 +157,6 @@ def q_train_test_split(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from tessera.plans import catalog_target  # noqa: F401  (registers more entries)
+
     return dict(REGISTRY)

@@ -275,4 +275,6 @@ ORACLE["train_test_split"] = (
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import oracle_target  # noqa: F401  (registers more entries)
+
     return dict(ORACLE)
