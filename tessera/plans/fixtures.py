@@ -74,3 +74,25 @@ TABLE_COLUMNS = {
     "labels": [("doc_id", "int"), ("quality", "int"), ("toxic", "int")],
     "conversations": [("conv_id", "int"), ("turn", "int"), ("role", "str"), ("text", "str")],
 }
+
+
+def part_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        "p_partkey", "p_name",
+        F.when(k % 17 != 0, F.col("p_brand")).alias("p_brand"),
+        F.when(k % 19 != 0, F.col("p_type")).alias("p_type"),
+        "p_size",
+        F.when(k % 23 != 0, F.col("p_retailprice")).alias("p_retailprice"),
+    )
+
+
+PART_GAPS_SQL = """
+SELECT p_partkey, p_name,
+       CASE WHEN p_partkey % 17 <> 0 THEN p_brand END AS p_brand,
+       CASE WHEN p_partkey % 19 <> 0 THEN p_type END AS p_type,
+       p_size,
+       CASE WHEN p_partkey % 23 <> 0 THEN p_retailprice END AS p_retailprice
+FROM part
+"""
