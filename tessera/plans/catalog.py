@@ -157,6 +157,6 @@ def q_train_test_split(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import catalog_features, catalog_target  # noqa: F401  (registers more entries)
+    from tessera.plans import catalog_features, catalog_models, catalog_target  # noqa: F401  (registers)
 
     return dict(REGISTRY)

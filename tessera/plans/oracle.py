@@ -275,6 +275,6 @@ ORACLE["train_test_split"] = (
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import oracle_features, oracle_target  # noqa: F401  (registers more entries)
+    from tessera.plans import oracle_features, oracle_models, oracle_target  # noqa: F401  (registers)
 
     return dict(ORACLE)
