@@ -157,6 +157,11 @@ def q_train_test_split(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from tessera.plans import catalog_features, catalog_models, catalog_target  # noqa: F401  (registers)
+    from tessera.plans import (  # noqa: F401  (modules register their queries)
+        catalog_features,
+        catalog_models,
+        catalog_sources,
+        catalog_target,
+    )
 
     return dict(REGISTRY)

@@ -278,3 +278,14 @@ def oracle_sql() -> dict[str, str]:
     from tessera.plans import oracle_features, oracle_models, oracle_target  # noqa: F401  (registers)
 
     return dict(ORACLE)
+
+ORACLE["csv_roundtrip"] = (
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+)
+ORACLE["normalize_missing"] = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS o_custkey, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, "
+    "CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
+    "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
+)
