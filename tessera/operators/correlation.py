@@ -76,16 +76,18 @@ def correlation_matrix(df: DataFrame, max_cols: int = 25, columns: list[str] | N
     ])
     partials = shifted.mapInPandas(_gram_partials(k), "stat string, i int, j int, value double")
     sums = partials.groupBy("i", "j").pivot("stat", list(_STATS)).agg(F.sum("value"))
-    t = sums.select(F.col("i").alias("ti"), F.col("j").alias("tj"),
-                    F.col("S").alias("S_t"), F.col("Q").alias("Q_t"))
-    pair = sums.join(t, (sums.i == t.tj) & (sums.j == t.ti))
+    a = sums.alias("a")
+    b = sums.alias("b")
+    pair = a.join(b, (F.col("a.i") == F.col("b.j")) & (F.col("a.j") == F.col("b.i"))).select(
+        F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("a.N").alias("N"), F.col("a.S").alias("S"),
+        F.col("a.Q").alias("Q"), F.col("a.P").alias("P"), F.col("b.S").alias("S_t"), F.col("b.Q").alias("Q_t"))
     n = F.col("N")
     cov = F.col("P") - F.try_divide(F.col("S") * F.col("S_t"), n)
     var_i = F.col("Q") - F.try_divide(F.col("S") * F.col("S"), n)
     var_j = F.col("Q_t") - F.try_divide(F.col("S_t") * F.col("S_t"), n)
     denom = F.sqrt(var_i * var_j)
-    r = F.when((n >= 2) & (var_i > 0) & (var_j > 0), cov / denom)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # clamp inside the condition: least/greatest skip nulls, and undefined must stay null
+    r = F.when((n >= 2) & (var_i > 0) & (var_j > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / denom)))
     names = F.array(*[F.lit(c) for c in cols])
     return pair.select(
         F.col("i"), F.element_at(names, F.col("i") + 1).alias("col_i"),
