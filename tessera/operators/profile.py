@@ -243,40 +243,40 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, exact: boo
                      accuracy: int = 100000) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column.
 
-    ``exact=True`` uses Spark's exact ``percentile`` (linear interpolation,
-    as pandas); ``exact=False`` uses ``percentile_approx`` whose memory does
-    not grow with the number of distinct values.
+    ``exact=True`` computes exact quantiles by a range-partitioned rank pass
+    (``operators.quantiles``) — no task ever holds a whole column;
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded sketch).
     """
+    from tessera.operators.quantiles import exact_quantiles
+
     if columns is None:
         columns = [f.name for f in df.schema.fields if column_class(f.dataType) == NUMERIC]
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [f.name for f in df.schema.fields]
+    schema = ("column_idx int, column_name string, count long, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
     aggs = []
     for i, c in enumerate(columns):
         v = normalized(c, types[c]).cast("double")
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-        aggs.append(F.struct(
-            F.lit(names.index(c)).alias("column_idx"),
-            F.lit(c).alias("column_name"),
-            F.count(v).alias("count"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"),
-            q.alias("q"),
-            F.max(v).alias("max"),
-        ).alias(f"s{i}"))
-    if not aggs:
-        schema = ("column_idx int, column_name string, count long, mean double, std double, min double, "
-                  "p25 double, p50 double, p75 double, max double")
-        return df.sparkSession.createDataFrame([], schema)
+        fields = [F.lit(names.index(c)).alias("column_idx"), F.lit(c).alias("column_name"),
+                  F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                  F.min(v).alias("min"), F.max(v).alias("max")]
+        if not exact:
+            fields.append(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("q"))
+        aggs.append(F.struct(*fields).alias(f"s{i}"))
     one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select(
-        "s.column_idx", "s.column_name", F.col("s.count").cast("long").alias("count"),
-        "s.mean", "s.std", "s.min",
-        F.col("s.q")[0].cast("double").alias("p25"), F.col("s.q")[1].cast("double").alias("p50"),
-        F.col("s.q")[2].cast("double").alias("p75"), "s.max",
-    )
+    base = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
+    if exact:
+        q = exact_quantiles(df, columns).groupBy("column_idx").pivot("prob_idx", [0, 1, 2]).agg(F.first("value"))
+        q = q.select("column_idx", F.col("0").alias("p25"), F.col("1").alias("p50"), F.col("2").alias("p75"))
+        base = base.join(q, "column_idx", "left")
+    else:
+        base = base.select("*", F.col("q")[0].cast("double").alias("p25"), F.col("q")[1].cast("double").alias("p50"),
+                           F.col("q")[2].cast("double").alias("p75"))
+    return base.select("column_idx", "column_name", F.col("count").cast("long").alias("count"), "mean", "std", "min",
+                       "p25", "p50", "p75", "max")
 
 
 def logical_bytes(df: DataFrame) -> DataFrame:
