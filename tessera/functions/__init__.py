@@ -13,6 +13,7 @@ from tessera.functions.types import (  # noqa: F401
 from tessera.functions.scalars import (  # noqa: F401
     escape_html,
     hash_bucket,
+    json_safe_row,
     pct2,
     split_percentages,
     whole_number,

@@ -65,3 +65,18 @@ def hash_bucket(keys: list, seed: int = 42, buckets: int = 10000) -> Column:
     text = F.concat_ws(":", *[_c(k).cast("string") for k in keys], F.lit(str(seed)))
     head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return F.pmod(head, F.lit(buckets))
+
+
+def json_safe_row(df_schema_fields) -> Column:
+    """``to_json`` of the row with NaN → null and binary → UTF-8 text (JSON-safe values only)."""
+    from pyspark.sql import types as T
+
+    parts = []
+    for f in df_schema_fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(~F.isnan(c), c)
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.decode(c, "UTF-8")
+        parts.append(c.alias(f.name))
+    return F.to_json(F.struct(*parts))

@@ -194,13 +194,39 @@ def native_importance(model, dim: int) -> list[float] | None:
 
 def compare_models(df: DataFrame, cfg: TrainConfig) -> CompareResult:
     """Train and compare the registry for ``cfg.problem_type`` on ``df``."""
+    check_config(df, cfg.target, cfg.problem_type, cfg.train_ratio)
+    keys = list(cfg.split_keys or df.columns)
+    return _compare_marked(df.withColumn("__is_train", split_flag(keys, cfg.train_ratio, cfg.seed)), cfg)
+
+
+def cross_validate(df: DataFrame, cfg: TrainConfig, folds: int = 5) -> DataFrame:
+    """k-fold scores per model: fold = md5 bucket mod k (reproducible, no shuffle to assign folds).
+
+    Returns ``(model, model_idx, folds, mean_score, std_score)`` with accuracy or r2 as the score.
+    """
+    from tessera.functions.scalars import hash_bucket
+
+    check_config(df, cfg.target, cfg.problem_type, 0.5)
+    keys = list(cfg.split_keys or df.columns)
+    fam = family(cfg.problem_type)
+    score = "accuracy" if fam == "classification" else "r2"
+    boards = []
+    for k in range(folds):
+        marked = df.withColumn("__is_train", F.pmod(hash_bucket(keys, cfg.seed), F.lit(folds)) != k)
+        res = _compare_marked(marked, cfg, explain=False)
+        boards.append(res.leaderboard.select("model", "model_idx", F.col(score).alias("score"), F.lit(k).alias("fold")))
+    allb = boards[0]
+    for b in boards[1:]:
+        allb = allb.unionByName(b)
+    return allb.groupBy("model", "model_idx").agg(F.count("score").alias("folds"), F.avg("score").alias("mean_score"),
+                                                  F.stddev_samp("score").alias("std_score"))
+
+
+def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -> CompareResult:
     from tessera.operators.importance import permutation_importance
 
-    check_config(df, cfg.target, cfg.problem_type, cfg.train_ratio)
     fam = family(cfg.problem_type)
-    spark = df.sparkSession
-    keys = list(cfg.split_keys or df.columns)
-    marked = df.withColumn("__is_train", split_flag(keys, cfg.train_ratio, cfg.seed))
+    spark = marked.sparkSession
     fm = fit_features(marked.drop("__is_train"), cfg.target,
                       fit_rows=marked.where("__is_train").drop("__is_train") if cfg.fit_scope == "train" else None)
     names = fm.feature_names()
@@ -256,9 +282,10 @@ def compare_models(df: DataFrame, cfg: TrainConfig) -> CompareResult:
         if vals is not None:
             imp_rows += [(name, f, float(v)) for f, v in zip(names, vals)]
     importance = spark.createDataFrame(imp_rows, "model string, feature string, importance double")
-    if not any(r[0] == best_name for r in imp_rows):
+    if explain and not any(r[0] == best_name for r in imp_rows):
         perm = permutation_importance(models[best_name], test, names, fam, repeats=5, seed=cfg.seed)
         importance = importance.unionByName(perm.select(F.lit(best_name).alias("model"), "feature", "importance"))
+    enc.unpersist()
     best_metrics = dict(zip(["model", "model_idx", "accuracy", "precision", "recall", "f1", "mse", "r2",
                              "training_time"], best))
     return CompareResult(fam, board, best_name, best_metrics, importance, models, fm, names, skipped)

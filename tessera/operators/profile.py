@@ -156,7 +156,11 @@ def table_profile(df: DataFrame, freq: DataFrame | None = None, dups: DataFrame
     )
     cells = F.col("rows") * F.lit(ncols)
     complete = pct2(cells - F.col("total_missing"), cells)
-    return per.crossJoin(dups.select("duplicate_rows")).select(
+    # two one-row aggregates side by side: union + max, no join
+    both = per.select("rows", "total_missing", F.lit(None).cast("long").alias("duplicate_rows")).unionByName(
+        dups.select(F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("total_missing"),
+                    "duplicate_rows")).agg(*[F.max(c).alias(c) for c in ("rows", "total_missing", "duplicate_rows")])
+    return both.select(
         "rows",
         F.lit(ncols).cast("long").alias("cols"),
         "total_missing",

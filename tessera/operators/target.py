@@ -171,7 +171,8 @@ def analyze_target(df: DataFrame, column: str, order_by: list[str] | None = None
     u = F.col("unique_count")
     detected = (F.when(F.lit(loose) & (u <= 10) & F.col("all_whole"), "classification")
                 .when(F.lit(loose), "regression").otherwise("classification"))
-    return stats.crossJoin(sample).select(
+    one = stats.withColumn("__k", F.lit(1)).join(F.broadcast(sample.withColumn("__k", F.lit(1))), "__k")
+    return one.select(
         F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.lit(column).alias("column_name"),
         u.cast("long").alias("unique_count"), F.col("missing_count").cast("long").alias("missing_count"),
         F.col("total_rows").cast("long").alias("total_rows"), F.lit(f.dataType.simpleString()).alias("data_type"),
@@ -229,7 +230,8 @@ def validate_configs(df: DataFrame, configs: list[tuple[str, str, object]]) -> D
         [(str(t), str(p), str(r), t in df.columns, p in PROBLEM_TYPES, _ratio_error(r)) for t, p, r in configs],
         "target string, problem_type string, split_ratio string, known boolean, type_ok boolean, ratio_error string")
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    g = grid.crossJoin(rows)  # one-row side: a broadcast nested loop of bounded size
+    # one-row lookup of the table size on a constant key (broadcast hash join)
+    g = grid.withColumn("__k", F.lit(1)).join(F.broadcast(rows.withColumn("__k", F.lit(1))), "__k").drop("__k")
     if prof is not None:
         stats = prof.select(F.col("column_name").alias("target"), (F.col("rows") - F.col("missing")).alias("present"),
                             F.col("distinct_count").alias("unique"))

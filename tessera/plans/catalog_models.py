@@ -153,3 +153,17 @@ def q_top_features(spark, sf):
     res = _run(spark, sf, "classification")
     imp = res.importance.where(F.col("model") == res.best_model_name)
     return imp.orderBy(F.col("importance").desc(), F.col("feature").asc()).limit(10)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """Permutation importance of the kernel (RFF) regressor, which has no native importance."""
+    from tessera.operators.importance import permutation_importance
+    from tessera.operators.sampling import split_flag
+
+    res = _run(spark, sf, "regression")
+    name = "SVR_RFF_Huber"
+    df = table(spark, sf, "customer")
+    test = res.features.transform(df.where(~split_flag(["c_custkey"], 0.8, 42)))
+    return permutation_importance(res.models[name], test, res.feature_names, res.family, repeats=5, seed=42).select(
+        F.lit(name).alias("model"), "feature", "importance")

@@ -59,3 +59,12 @@ def q_score_saved_model(spark, sf):
     path = sinks.save_package(res, scratch_path(spark, "model_package"))
     pkg = sinks.load_package(spark, path)
     return pkg.score(table(spark, sf, "customer"), keep=["c_custkey"])
+
+
+@register("rows_as_json")
+def q_rows_as_json(spark, sf):
+    from tessera.functions.scalars import json_safe_row
+    from tessera.plans.fixtures import lineitem_gaps
+
+    df = lineitem_gaps(spark, sf)
+    return df.select("l_orderkey", "l_linenumber", json_safe_row(df.schema.fields).alias("json"))

@@ -52,3 +52,22 @@ def q_validate_config(spark, sf):
         grid = [(c, p, r) for c in df.columns + ["missing_col"] for p in VALIDATION_TYPES for r in VALIDATION_RATIOS]
         parts.append(target.validate_configs(df, grid).select(F.lit(t).alias("table_name"), "*"))
     return _union(parts)
+
+
+SPLIT_RATIOS = (0.29, 0.57, 0.58, 0.8)
+
+
+@register("split_summary")
+def q_split_summary(spark, sf):
+    """Rows on each side of the md5 split for several ratios, with the displayed percentages."""
+    from tessera.functions.scalars import split_percentages
+    from tessera.operators.sampling import split_flag
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    parts = []
+    for r in SPLIT_RATIOS:
+        tr, te = split_percentages(F.lit(r))
+        parts.append(li.groupBy(split_flag(["l_orderkey", "l_linenumber"], r, 42).alias("is_train")).agg(
+            F.count(F.lit(1)).alias("rows")).select(F.lit(r).alias("ratio"), "is_train", "rows",
+                                                     tr.alias("train_pct"), te.alias("test_pct")))
+    return _union(parts)

@@ -144,3 +144,13 @@ ORACLE["validate_config"] = _gaps_cte() + "\nUNION ALL ".join([
     _validate_sql("supplier", "supplier", TABLE_COLUMNS["supplier"]),
     _validate_sql("lineitem_gaps", "t", LINEITEM_GAPS_COLUMNS),
 ])
+
+from tessera.plans.catalog_target import SPLIT_RATIOS  # noqa: E402
+from tessera.plans.oracle import md5_head_sql  # noqa: E402
+
+ORACLE["split_summary"] = "\nUNION ALL ".join(
+    f"SELECT CAST({r} AS DOUBLE) AS ratio, ({md5_head_sql(['l_orderkey', 'l_linenumber'])} % 10000) < "
+    f"{int(round(r * 10000))} AS is_train, count(*) AS rows, CAST(trunc(CAST({r} AS DOUBLE) * 100) AS INTEGER) "
+    f"AS train_pct, 100 - CAST(trunc(CAST({r} AS DOUBLE) * 100) AS INTEGER) AS test_pct FROM lineitem GROUP BY 2"
+    for r in SPLIT_RATIOS
+)

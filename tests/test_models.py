@@ -74,3 +74,12 @@ def test_run_store(spark, tmp_path):
     assert store.get("r1", "board").collect()[0]["m"] == "a"
     store.clear("r1")
     assert store.get("r1", "board").count() == 0 and store.get("r2", "board").count() == 1
+
+
+def test_cross_validate_folds(spark):
+    from tessera.operators.models import cross_validate
+
+    df = _signal(spark).drop("yreg")
+    cv = cross_validate(df, TrainConfig("cls", "binary", split_keys=("id",), models=("DecisionTree",)), folds=3)
+    r = cv.first()
+    assert r["model"] == "DecisionTree" and r["folds"] == 3 and r["mean_score"] > 0.9
