@@ -32,6 +32,7 @@ from tessera.operators.kernels import RandomFourierFeatures
 from tessera.operators.metrics import LEADERBOARD_SCHEMA, classification_metrics, regression_metrics
 from tessera.operators.sampling import split_flag
 from tessera.operators.target import check_config, family
+from tessera.session import checkpoint_root
 
 MAX_CLASSES = 1000
 
@@ -71,19 +72,27 @@ def _lr(ctx):
                               standardization=False, family="auto")
 
 
+# execution-only knobs (no effect on the fitted model): cache each row's node id between levels
+# instead of re-walking every tree, and let forests aggregate more nodes per pass
+_TREE_EXEC = {"cacheNodeIds": True, "checkpointInterval": 10}
+_FOREST_EXEC = dict(_TREE_EXEC, maxMemoryInMB=1024)
+
+
 def _rf_c(ctx):
     return RandomForestClassifier(numTrees=ctx.cfg.num_trees, featureSubsetStrategy="sqrt",
-                                  maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+                                  maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed,
+                                  **_FOREST_EXEC)
 
 
 def _gb_c(ctx):
     gbt = GBTClassifier(maxIter=ctx.cfg.boost_iters, maxDepth=ctx.cfg.boost_depth, stepSize=0.1,
-                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_TREE_EXEC)
     return gbt if ctx.num_classes <= 2 else OneVsRest(classifier=gbt)
 
 
 def _dt_c(ctx):
-    return DecisionTreeClassifier(maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+    return DecisionTreeClassifier(maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed,
+                                  **_TREE_EXEC)
 
 
 def _lin(ctx):
@@ -92,16 +101,18 @@ def _lin(ctx):
 
 def _rf_r(ctx):
     return RandomForestRegressor(numTrees=ctx.cfg.num_trees, featureSubsetStrategy="all",
-                                 maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+                                 maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed,
+                                 **_FOREST_EXEC)
 
 
 def _gb_r(ctx):
     return GBTRegressor(maxIter=ctx.cfg.boost_iters, maxDepth=ctx.cfg.boost_depth, stepSize=0.1,
-                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_TREE_EXEC)
 
 
 def _dt_r(ctx):
-    return DecisionTreeRegressor(maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed)
+    return DecisionTreeRegressor(maxDepth=ctx.cfg.max_depth, maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed,
+                                 **_TREE_EXEC)
 
 
 def _kernel_stages(ctx):
@@ -227,6 +238,7 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
 
     fam = family(cfg.problem_type)
     spark = marked.sparkSession
+    checkpoint_root(spark)  # tree node-id caches checkpoint into the shared folder
     fm = fit_features(marked.drop("__is_train"), cfg.target,
                       fit_rows=marked.where("__is_train").drop("__is_train") if cfg.fit_scope == "train" else None)
     names = fm.feature_names()
@@ -237,6 +249,11 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
             enc, num_classes = index_numeric_labels(enc)
         else:
             num_classes = int(fm.spec.target_classes or 0)
+    # iterative fits parallelise over partitions: spread small inputs over the cluster's slots
+    # (large inputs keep their own, larger, partitioning)
+    slots = spark.sparkContext.defaultParallelism
+    if enc.rdd.getNumPartitions() < slots:
+        enc = enc.repartition(slots)
     enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
     train = enc.where("__is_train").drop("__is_train")
     test = enc.where("NOT __is_train").drop("__is_train")
