@@ -6,8 +6,9 @@ Two passes over the data, each a plain distributed job:
 2. per partition (``mapInPandas``), for the shifted matrix X₀ (0 where
    missing) and the presence mask M, the four k×k partial sums
    ``N = MᵀM``, ``S = X₀ᵀM``, ``Q = (X₀²)ᵀM``, ``P = X₀ᵀX₀`` are computed
-   with numpy and emitted as ``(stat, i, j, value)`` rows; a ``groupBy``
-   adds them up (at most 4k² groups, independent of the row count).
+   with numpy and emitted as one row per cell (i, j) carrying both
+   orientations (S_ij, S_ji, Q_ij, Q_ji); a ``groupBy(i, j)`` adds them up
+   (k² groups, independent of the row count) — no pivot, no self-join.
 
 For the pair (i, j) over the rows where both are present:
 ``cov = P − S_ij·S_ji/N``, ``var_i = Q_ij − S_ij²/N``, ``var_j = Q_ji − S_ji²/N``
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.types import NUMERIC, column_class, normalized
 
-_STATS = ("N", "S", "Q", "P")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -30,26 +30,29 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _gram_partials(k: int):
+    """Per partition: one row per cell (i, j) with the partial sums both orientations need."""
+
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        acc = {s: np.zeros((k, k)) for s in _STATS}
+        n = np.zeros((k, k))
+        s = np.zeros((k, k))
+        q = np.zeros((k, k))
+        p = np.zeros((k, k))
         for pdf in batches:
             x = pdf.to_numpy(dtype="float64", na_value=np.nan)
             m = (~np.isnan(x)).astype("float64")
             x0 = np.where(m > 0, x, 0.0)
-            acc["N"] += m.T @ m
-            acc["S"] += x0.T @ m
-            acc["Q"] += (x0 * x0).T @ m
-            acc["P"] += x0.T @ x0
+            n += m.T @ m
+            s += x0.T @ m
+            q += (x0 * x0).T @ m
+            p += x0.T @ x0
         ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        out = [
-            pd.DataFrame({"stat": s, "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
-                          "value": acc[s].ravel()})
-            for s in _STATS
-        ]
-        yield pd.concat(out, ignore_index=True)
+        yield pd.DataFrame({
+            "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"), "n": n.ravel(),
+            "s_ij": s.ravel(), "s_ji": s.T.ravel(), "q_ij": q.ravel(), "q_ji": q.T.ravel(), "p": p.ravel(),
+        })
 
     return run
 
@@ -74,17 +77,13 @@ def correlation_matrix(df: DataFrame, max_cols: int = 25, columns: list[str] | N
         (F.col(f"x{i}") - F.lit(float(means[i]) if means[i] is not None else 0.0)).alias(f"x{i}")
         for i in range(k)
     ])
-    partials = shifted.mapInPandas(_gram_partials(k), "stat string, i int, j int, value double")
-    sums = partials.groupBy("i", "j").pivot("stat", list(_STATS)).agg(F.sum("value"))
-    a = sums.alias("a")
-    b = sums.alias("b")
-    pair = a.join(b, (F.col("a.i") == F.col("b.j")) & (F.col("a.j") == F.col("b.i"))).select(
-        F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("a.N").alias("N"), F.col("a.S").alias("S"),
-        F.col("a.Q").alias("Q"), F.col("a.P").alias("P"), F.col("b.S").alias("S_t"), F.col("b.Q").alias("Q_t"))
-    n = F.col("N")
-    cov = F.col("P") - F.try_divide(F.col("S") * F.col("S_t"), n)
-    var_i = F.col("Q") - F.try_divide(F.col("S") * F.col("S"), n)
-    var_j = F.col("Q_t") - F.try_divide(F.col("S_t") * F.col("S_t"), n)
+    partials = shifted.mapInPandas(
+        _gram_partials(k), "i int, j int, n double, s_ij double, s_ji double, q_ij double, q_ji double, p double")
+    pair = partials.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s_ij", "s_ji", "q_ij", "q_ji", "p")])
+    n = F.col("n")
+    cov = F.col("p") - F.try_divide(F.col("s_ij") * F.col("s_ji"), n)
+    var_i = F.col("q_ij") - F.try_divide(F.col("s_ij") * F.col("s_ij"), n)
+    var_j = F.col("q_ji") - F.try_divide(F.col("s_ji") * F.col("s_ji"), n)
     denom = F.sqrt(var_i * var_j)
     # clamp inside the condition: least/greatest skip nulls, and undefined must stay null
     r = F.when((n >= 2) & (var_i > 0) & (var_j > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / denom)))
