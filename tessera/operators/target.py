@@ -109,15 +109,17 @@ def detect_target_frame(df: DataFrame) -> DataFrame:
     present = (F.col("rows") - F.col("missing")) > 0
     p = prof.select("column_idx", "column_name", "distinct_count", text.alias("is_text"), loose.alias("loose"),
                     named.alias("named"), present.alias("present"))
-    pick = p.agg(F.coalesce(
-        F.min(F.when(F.col("named") & F.col("present"), F.col("column_idx"))),
-        F.min(F.when((F.col("is_text") | (F.col("distinct_count") <= 10)) & F.col("present"), F.col("column_idx"))),
-        F.max(F.when(F.col("present"), F.col("column_idx"))),
-    ).alias("chosen"))
-    t = p.join(pick, p.column_idx == pick.chosen)
-    return t.select(F.col("column_name").alias("target"),
-                    problem_type_col(F.col("loose"), F.col("distinct_count")).alias("problem_type"),
-                    F.col("distinct_count").cast("long").alias("unique_values"))
+    info = F.struct("column_name", "distinct_count", "loose")
+    chosen = p.agg(F.coalesce(
+        F.min_by(info, F.when(F.col("named") & F.col("present"), F.col("column_idx"))),
+        F.min_by(info, F.when((F.col("is_text") | (F.col("distinct_count") <= 10)) & F.col("present"),
+                              F.col("column_idx"))),
+        F.max_by(info, F.when(F.col("present"), F.col("column_idx"))),
+    ).alias("c"))
+    return chosen.where(F.col("c").isNotNull()).select(
+        F.col("c.column_name").alias("target"),
+        problem_type_col(F.col("c.loose"), F.col("c.distinct_count")).alias("problem_type"),
+        F.col("c.distinct_count").cast("long").alias("unique_values"))
 
 
 def target_by_substring(columns: list[str]) -> str | None:
