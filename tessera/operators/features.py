@@ -111,14 +111,19 @@ def text_codes(df: DataFrame, column: str) -> DataFrame:
     """Sorted vocabulary ``(value, code)`` of ``coalesce(column, 'nan')`` — distributed.
 
     ``distinct`` (partial aggregation absorbs hot values) → range-partitioned
-    ``orderBy`` → ``zipWithIndex``: no single task or the driver ever holds
-    the vocabulary.
+    ``orderBy`` → contiguous index from per-partition offsets: no single task
+    or the driver ever holds the vocabulary, and no row leaves the JVM.
     """
-    spark = df.sparkSession
+    from tessera.operators.sampling import dense_index
+
     vals = df.select(F.coalesce(F.col(_q(column)).cast("string"), F.lit(NAN_CLASS)).alias("value")).distinct()
-    ordered = vals.orderBy("value")
-    indexed = ordered.rdd.zipWithIndex().map(lambda rc: (rc[0][0], int(rc[1])))
-    return spark.createDataFrame(indexed, "value string, code long")
+    return dense_index(vals.orderBy("value"), "code")
+
+
+def vocabulary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Persisted sorted vocabulary and its counted size (the size decides broadcast vs shuffle joins)."""
+    vocab = text_codes(df, column).persist()
+    return vocab, vocab.count()
 
 
 def apply_codes(df: DataFrame, column: str, vocab: DataFrame, out: str, size: int | None = None) -> DataFrame:
@@ -131,10 +136,6 @@ def apply_codes(df: DataFrame, column: str, vocab: DataFrame, out: str, size: in
     return left.join(v, "__key", "left").drop("__key")
 
 
-def _vocab_size(vocab: DataFrame) -> int:
-    return vocab.count()
-
-
 # ----------------------------------------------------------------------------- fitting
 @dataclass
 class FeatureModel:
@@ -307,8 +308,7 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
             if distinct[f.name] == 0:
                 continue
             if distinct[f.name] > HIGH_CARDINALITY:
-                vocab = text_codes(src, f.name).persist()
-                sizes[f.name] = _vocab_size(vocab)
+                vocab, sizes[f.name] = vocabulary(src, f.name)
                 vocabs[f.name] = vocab
                 ordinal.append(f.name)
                 coded = apply_codes(src.select(_q(f.name)), f.name, vocab, "__code", sizes[f.name])
@@ -323,8 +323,7 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
     target_vocab = None
     classes = None
     if target_kind == "text":
-        target_vocab = text_codes(src, target).persist()
-        classes = target_vocab.count()
+        target_vocab, classes = vocabulary(src, target)
     else:
         dropped = df.where(missing_mask(target, tfield.dataType)).count() if fit_rows is None else 0
     spec = FeatureSpec(target, target_kind, numeric_specs, onehots, ordinal, [f.name for f in xs], classes, dropped)
@@ -337,8 +336,8 @@ def simple_features(df: DataFrame) -> DataFrame:
     cur = df
     for f in df.schema.fields:
         if column_class(f.dataType) == CATEGORICAL:
-            vocab = text_codes(df, f.name)
-            cur = apply_codes(cur, f.name, vocab, f"__code_{f.name}")
+            vocab, size = vocabulary(df, f.name)
+            cur = apply_codes(cur, f.name, vocab, f"__code_{f.name}", size)
     types = {f.name: f.dataType for f in df.schema.fields}
     means = df.agg(*[F.avg(normalized(f.name, f.dataType).cast("double")).alias(f.name)
                      for f in df.schema.fields if column_class(f.dataType) == NUMERIC] or [F.lit(0)]).first()
@@ -358,8 +357,8 @@ def simple_features(df: DataFrame) -> DataFrame:
 
 def target_codes(df: DataFrame, target: str) -> DataFrame:
     """Target encoding alone: ``(…, label)`` with sorted codes for text targets."""
-    vocab = text_codes(df, target)
-    return apply_codes(df, target, vocab, "label")
+    vocab, size = vocabulary(df, target)
+    return apply_codes(df, target, vocab, "label", size)
 
 
 # ----------------------------------------------------------------------------- single-step operators

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import classification_metrics, regression_metrics
+from tessera.operators.sampling import dense_index
 
 
 def _score(pred: DataFrame, fam: str, group: list[str]) -> DataFrame:
@@ -47,12 +48,10 @@ def permutation_importance(model, test: DataFrame, names: list[str], fam: str, r
     base_pred = model.transform(test)
     base = (classification_metrics(base_pred).first()["accuracy"] if fam == "classification"
             else regression_metrics(base_pred).first()["r2"])
-    rows = test.select("features", "label").rdd.zipWithIndex().map(
-        lambda t: (int(t[1]), t[0]["features"], float(t[0]["label"])))
-    indexed = spark.createDataFrame(rows, "idx long, features vector, label double").persist()
+    indexed = dense_index(test.select(vector_to_array("features").alias("x"), F.col("label").cast("double")))
     n = indexed.count()
     grid = [(f, r, *_affine(n, seed, f, r)) for f in range(len(names)) for r in range(repeats)]
-    arr = indexed.select("idx", "label", vector_to_array("features").alias("x"))
+    arr = indexed.select("idx", "label", "x")
     # every row is expanded over the (feature, repeat) grid — F × repeats literals, bounded by the schema
     cells = F.explode(F.array(*[
         F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(c).cast("long").alias("c"),

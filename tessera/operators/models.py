@@ -35,6 +35,7 @@ from tessera.operators.target import check_config, family
 from tessera.session import checkpoint_root
 
 MAX_CLASSES = 1000
+ROWS_PER_FIT_PARTITION = 4000
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ def _rf_c(ctx):
 def _gb_c(ctx):
     gbt = GBTClassifier(maxIter=ctx.cfg.boost_iters, maxDepth=ctx.cfg.boost_depth, stepSize=0.1,
                         maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_TREE_EXEC)
-    return gbt if ctx.num_classes <= 2 else OneVsRest(classifier=gbt)
+    return gbt if ctx.num_classes <= 2 else OneVsRest(classifier=gbt, parallelism=_ovr_threads(ctx))
 
 
 def _dt_c(ctx):
@@ -95,6 +96,11 @@ def _dt_c(ctx):
                                   **_TREE_EXEC)
 
 
+def _ovr_threads(ctx) -> int:
+    """Per-class models are independent jobs: submit up to 8 at once (same models, less idle time)."""
+    return max(1, min(ctx.num_classes, 8))
+
+
 def _lin(ctx):
     return LinearRegression(regParam=0.0, solver="auto")
 
@@ -133,7 +139,8 @@ def _kernel_stages(ctx):
 def _svc(ctx):
     scaler, rff = _kernel_stages(ctx)
     svm = LinearSVC(featuresCol="rff", regParam=1.0 / max(ctx.n_train, 1), maxIter=100)
-    head = svm if ctx.num_classes <= 2 else OneVsRest(classifier=svm, featuresCol="rff")
+    head = svm if ctx.num_classes <= 2 else OneVsRest(classifier=svm, featuresCol="rff",
+                                                      parallelism=_ovr_threads(ctx))
     return Pipeline(stages=[scaler, rff, head])
 
 
@@ -249,11 +256,13 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
             enc, num_classes = index_numeric_labels(enc)
         else:
             num_classes = int(fm.spec.target_classes or 0)
-    # iterative fits parallelise over partitions: spread small inputs over the cluster's slots
-    # (large inputs keep their own, larger, partitioning)
+    # iterative fits parallelise over partitions: spread small inputs over up to the cluster's slots
+    # (~ROWS_PER_FIT_PARTITION rows each; large inputs keep their own, larger, partitioning)
     slots = spark.sparkContext.defaultParallelism
-    if enc.rdd.getNumPartitions() < slots:
-        enc = enc.repartition(slots)
+    n_rows = marked.count()
+    want = max(1, min(slots, -(-n_rows // ROWS_PER_FIT_PARTITION)))
+    if enc.rdd.getNumPartitions() < want:
+        enc = enc.repartition(want)
     enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
     train = enc.where("__is_train").drop("__is_train")
     test = enc.where("NOT __is_train").drop("__is_train")

@@ -88,3 +88,25 @@ def with_split(df: DataFrame, keys: list[str] | None = None, train_ratio: float
                name: str = "is_train") -> DataFrame:
     keys = keys or list(df.columns)
     return df.withColumn(name, split_flag(keys, train_ratio, seed))
+
+
+def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
+    """Contiguous 0..n−1 row index in the frame's current order, JVM-side (no Python rows).
+
+    ``monotonically_increasing_id`` packs (partition id, row number); the frame
+    is checkpointed so those ids are fixed, per-partition counts (one row per
+    partition) give offsets, and ``idx = offset + row number``.
+    """
+    from pyspark.sql import Window
+
+    from tessera.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)
+    ck = df.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("__mid"), 33)
+    counts = ck.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    out = ck.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid")
+    local = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, (F.col("__off") + local).cast("long")).drop("__mid", "__pid", "__off")

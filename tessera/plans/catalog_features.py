@@ -57,9 +57,11 @@ def q_one_hot(spark, sf):
 def q_ordinal_encode(spark, sf):
     p = table(spark, sf, "part")
     c = table(spark, sf, "customer")
-    a = fx.apply_codes(p, "p_name", fx.text_codes(p, "p_name"), "code").select(
+    pv, ps = fx.vocabulary(p, "p_name")
+    a = fx.apply_codes(p, "p_name", pv, "code", ps).select(
         F.lit("part.p_name").alias("source"), F.col("p_partkey").alias("key"), "code")
-    b = fx.apply_codes(c, "c_name", fx.text_codes(c, "c_name"), "code").select(
+    cv, cs = fx.vocabulary(c, "c_name")
+    b = fx.apply_codes(c, "c_name", cv, "code", cs).select(
         F.lit("customer.c_name").alias("source"), F.col("c_custkey").alias("key"), "code")
     return a.unionByName(b)
 

@@ -103,3 +103,16 @@ def test_describe_numeric_matches_pandas(spark):
     assert math.isclose(d["mean"], s.mean()) and math.isclose(d["std"], s.std())
     for q, k in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
         assert math.isclose(d[k], s.quantile(q))
+
+
+def test_profile_bundle(spark):
+    df = spark.range(200).select(
+        F.col("id"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("s"),
+        F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") * 2.0).alias("y"))
+    b = profile.profile(df)
+    assert set(b) == {"table", "columns", "top_values", "samples", "correlation", "describe_numeric", "logical_bytes"}
+    t = b["table"].first()
+    assert t["rows"] == 200 and t["cols"] == 4 and t["total_missing"] == 50
+    assert b["columns"].count() == 4 and b["top_values"].count() == 3
+    assert b["samples"].groupBy("column_name").count().count() == 3
+    assert b["correlation"].count() == 9
