@@ -272,18 +272,20 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
     distinct: dict[str, int] = {f.name: 0 for f in cat}
     if cat:
         names = [f.name for f in src.schema.fields]
-        freq = frequency_table(src, [f.name for f in cat])
-        per = freq.groupBy("col_idx").agg(F.count("value").alias("d"),
-                                          F.sum(F.when(F.col("value").isNull(), F.col("cnt"))).alias("m"))
-        small = per.where(F.col("d") <= HIGH_CARDINALITY).select("col_idx")
-        rows = (freq.join(F.broadcast(small), "col_idx")  # ≤ number of text columns rows
-                .where(F.col("value").isNotNull()).collect())
-        for r in per.collect():
+        # counts only (long text keyed by md5), then full text for the ≤ 50-value columns
+        compact = frequency_table(src, [f.name for f in cat], compact=True)
+        present = F.col("value").isNotNull() | F.col("h").isNotNull()
+        per = compact.groupBy("col_idx").agg(F.count_if(present).alias("d"),
+                                             F.sum(F.when(~present, F.col("cnt"))).alias("m"))
+        for r in per.collect():  # ≤ one row per text column
             nm = names[r["col_idx"]]
             distinct[nm] = int(r["d"])
             cat_missing[nm] = int(r["m"] or 0)
-        for r in rows:
-            cat_counts[names[r["col_idx"]]].append((r["value"], int(r["cnt"])))
+        small = [c for c in distinct if 0 < distinct[c] <= HIGH_CARDINALITY]
+        if small:
+            rows = frequency_table(src, small).where(F.col("value").isNotNull()).collect()  # ≤ 50 per column
+            for r in rows:
+                cat_counts[names[r["col_idx"]]].append((r["value"], int(r["cnt"])))
 
     numeric_specs: list[NumericSpec] = []
     present = {}

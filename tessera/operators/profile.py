@@ -34,6 +34,7 @@ from tessera.functions.types import (
 )
 
 TOPK_BUCKETS = 64
+COMPACT_TEXT_BYTES = 64
 
 
 def _q(name: str) -> str:
@@ -67,36 +68,43 @@ def column_type_distribution(df: DataFrame) -> DataFrame:
     )
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(col_idx, value, cnt)`` for every (column, text value) including the missing value (null)."""
+def frequency_table(df: DataFrame, columns: list[str] | None = None, compact: bool = False) -> DataFrame:
+    """``(col_idx, value, cnt)`` for every (column, text value) including the missing value (null).
+
+    ``compact=True`` (for counting only): text longer than ``COMPACT_TEXT_BYTES``
+    is keyed by its 16-byte md5 in a separate column ``h`` (``value`` null), so
+    long documents are not shuffled in full just to be counted.
+    """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     pos = {f.name: i for i, f in enumerate(df.schema.fields)}
-    stacked = F.explode(
-        F.array(*[
-            F.struct(F.lit(pos[f.name]).alias("col_idx"), as_text(f.name, f.dataType).alias("value"))
-            for f in fields
-        ])
-    ).alias("cell")
-    return (
-        df.select(stacked)
-        .select("cell.col_idx", "cell.value")
-        .groupBy("col_idx", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    cells = []
+    for f in fields:
+        text = as_text(f.name, f.dataType)
+        if compact and column_class(f.dataType) == CATEGORICAL:
+            long = F.octet_length(text) > F.lit(COMPACT_TEXT_BYTES)
+            value, h = F.when(~long, text), F.when(long, F.unhex(F.md5(text)))
+        else:
+            value, h = text, F.lit(None).cast("binary")
+        cells.append(F.struct(F.lit(pos[f.name]).alias("col_idx"), value.alias("value"), h.alias("h")))
+    stacked = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.col_idx", "cell.value", "cell.h")
+    keys = ["col_idx", "value", "h"] if compact else ["col_idx", "value"]
+    return stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _per_column_counts(df: DataFrame, freq: DataFrame) -> DataFrame:
-    agg = freq.groupBy("col_idx").agg(
+    present = F.col("value").isNotNull()
+    if "h" in freq.columns:
+        present = present | F.col("h").isNotNull()
+    return freq.groupBy("col_idx").agg(
         F.sum("cnt").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("missing"),
-        F.count("value").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).alias("missing"),
+        F.count_if(present).alias("distinct_count"),
     )
-    return agg
 
 
 def column_profile(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """Flagship: ``(column_idx, column_name, column_class, rows, missing, missing_pct, distinct_count)``."""
-    freq = frequency_table(df) if freq is None else freq
+    freq = frequency_table(df, compact=True) if freq is None else freq
     counts = _per_column_counts(df, freq)
     names = [f.name for f in df.schema.fields]
     classes = [column_class(f.dataType) for f in df.schema.fields]

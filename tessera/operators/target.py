@@ -60,7 +60,7 @@ class ColumnStats:
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> list[ColumnStats]:
     """Per-column present/distinct counts from one frequency-table job (≤ one row per column collected)."""
-    prof = column_profile(df, frequency_table(df, columns))
+    prof = column_profile(df, frequency_table(df, columns, compact=True))
     rows = {r["column_idx"]: r for r in prof.collect()}
     out = []
     for i, f in enumerate(df.schema.fields):
@@ -227,7 +227,7 @@ def validate_configs(df: DataFrame, configs: list[tuple[str, str, object]]) -> D
     """
     spark = df.sparkSession
     wanted = sorted({t for t, _, _ in configs if t in df.columns}, key=df.columns.index)
-    prof = column_profile(df, frequency_table(df, wanted) if wanted else None) if wanted else None
+    prof = column_profile(df, frequency_table(df, wanted, compact=True)) if wanted else None
     grid = spark.createDataFrame(
         [(str(t), str(p), str(r), t in df.columns, p in PROBLEM_TYPES, _ratio_error(r)) for t, p, r in configs],
         "target string, problem_type string, split_ratio string, known boolean, type_ok boolean, ratio_error string")

@@ -116,3 +116,13 @@ def test_profile_bundle(spark):
     assert b["columns"].count() == 4 and b["top_values"].count() == 3
     assert b["samples"].groupBy("column_name").count().count() == 3
     assert b["correlation"].count() == 9
+
+
+def test_compact_keys_count_like_full_text(spark):
+    from tests.conftest import SMOKE
+
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("text", "lang")
+    full = profile.column_profile(docs, profile.frequency_table(docs)).orderBy("column_idx").collect()
+    compact = profile.column_profile(docs, profile.frequency_table(docs, compact=True)).orderBy("column_idx").collect()
+    assert full == compact
+    assert docs.select("text").distinct().count() == full[0]["distinct_count"]
