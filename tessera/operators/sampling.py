@@ -73,14 +73,24 @@ def split_flag(keys: list[str], train_ratio: float = 0.8, seed: int = 42) -> Col
 
 
 def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio: float = 0.8,
-                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                     seed: int = 42, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Reproducible split by hash bucket (no shuffle, no dependence on partitioning).
 
     Without keys every column is hashed, so identical rows share a side.
+    ``exact=True`` gives the test side exactly ``ceil(n · (1 − ratio))`` rows:
+    rows are ranked in hash order (range-partitioned sort + contiguous index)
+    and the first ones form the test side.
     """
     keys = keys or list(df.columns)
-    flag = split_flag(keys, train_ratio, seed)
-    marked = df.withColumn("__train", flag)
+    if exact:
+        import math
+
+        n = df.count()
+        n_test = math.ceil(round(n * (1.0 - float(train_ratio)), 9))
+        ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[F.col(_q(k)) for k in keys])
+        marked = dense_index(ordered, "__i").withColumn("__train", F.col("__i") >= F.lit(n_test)).drop("__h", "__i")
+    else:
+        marked = df.withColumn("__train", split_flag(keys, train_ratio, seed))
     return (marked.where("__train").drop("__train"), marked.where("NOT __train").drop("__train"))
 
 

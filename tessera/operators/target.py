@@ -266,3 +266,10 @@ def check_config(df: DataFrame, target: str, problem_type: str, split_ratio) ->
     r = validate_config(df, target, problem_type, split_ratio).first()
     if not r["valid"]:
         raise ValueError(r["errors"])
+
+
+def upload_type_labels(df: DataFrame) -> DataFrame:
+    """Two-way labels shown after loading: 'numeric' by the loose test (booleans included), else 'categorical'."""
+    rows = [(i, f.name, "numeric" if is_loose_numeric(f.dataType) else "categorical")
+            for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "column_idx int, column_name string, label string")

@@ -84,3 +84,15 @@ def test_feature_model_roundtrip(spark, tmp_path):
     a = sorted(m.encode(df, keep=["y"]).collect())
     b = sorted(m2.encode(df, keep=["y"]).collect())
     assert a == b and m2.feature_names() == m.feature_names()
+
+
+def test_exact_split_sizes(spark):
+    import math
+
+    from tessera.operators.sampling import train_test_split
+
+    for n in (10, 11, 97):
+        df = spark.range(n).select(F.col("id"))
+        tr, te = train_test_split(df, ["id"], 0.8, 42, exact=True)
+        assert te.count() == math.ceil(n * 0.2) and tr.count() + te.count() == n
+        assert tr.join(te, "id").count() == 0

@@ -72,3 +72,9 @@ def test_validation_collects_all_errors(spark):
     r = target.validate_config(spark.range(20).select(F.lit(1).alias("y")), "y", "binary", 1.0).first()
     assert r["errors"] == ("Split ratio must be between 0 and 1 | "
                            "Classification requires at least 2 unique target values, found 1")
+
+
+def test_upload_type_labels(spark):
+    df = spark.sql("SELECT 1 AS i, true AS b, 's' AS s, date'2020-01-01' AS d")
+    got = {r["column_name"]: r["label"] for r in target.upload_type_labels(df).collect()}
+    assert got == {"i": "numeric", "b": "numeric", "s": "categorical", "d": "categorical"}
