@@ -150,3 +150,43 @@ ORACLE["apply_features"] = (
     f"({md5_head_sql(['c_custkey'])} % 10000) < 8000 AND c_acctbal IS NOT NULL AND NOT isnan(c_acctbal)), "
     + feature_matrix_sql("r", "fit", "c_custkey", _CUST, "c_acctbal")
 )
+
+
+def feature_names_sql(name: str, src: str, cols: list[tuple[str, str]], target: str) -> str:
+    """Feature layout: numeric (and > 50-distinct text) columns in column order, then one-hot outputs."""
+    fit = f"fit_{name}"
+    ctes = [f"{fit} AS (SELECT * FROM {src} WHERE {target} IS NOT NULL"
+            + (f" AND NOT isnan({target}))" if dict(cols)[target] == "float" else ")")]
+    parts = []
+    for i, (c, k) in enumerate(cols):
+        if c == target:
+            continue
+        if k in ("int", "float"):
+            parts.append(f"SELECT 'num__{c}' AS feature, {i} AS o1, 0 AS o2, '' AS o3 "
+                         f"WHERE (SELECT count({_clean(c, k)}) FROM {fit}) > 0")
+        elif k == "str":
+            parts.append(f"SELECT 'num__{c}', {i}, 0, '' WHERE (SELECT count(DISTINCT {c}) FROM {fit}) > 50")
+            ctes.append(onehot_ctes(c, fit).replace("oh_", f"oh_{name}_"))
+            parts.append(f"SELECT feature, 1000 + {i}, CASE WHEN is_inf THEN 1 ELSE 0 END, COALESCE(fv, '') "
+                         f"FROM oh_{name}_{c}_feat WHERE (SELECT count(DISTINCT {c}) FROM {fit}) BETWEEN 1 AND 50")
+    body = "\nUNION ALL ".join(parts)
+    return (", ".join(ctes), f"SELECT '{name}' AS table_name, CAST(row_number() OVER (ORDER BY o1, o2, o3) - 1 "
+                             f"AS INTEGER) AS position, feature FROM ({body})")
+
+
+def _feature_names_all() -> str:
+    from tessera.plans.fixtures import LINEITEM_GAPS_COLUMNS
+
+    specs = [
+        feature_names_sql("customer", "customer", TABLE_COLUMNS["customer"], "c_acctbal"),
+        feature_names_sql("part_gaps", "p", [("p_partkey", "int"), ("p_name", "str"), ("p_brand", "str"),
+                                             ("p_type", "str"), ("p_size", "int"), ("p_retailprice", "float")],
+                          "p_retailprice"),
+        feature_names_sql("lineitem_gaps", "t", LINEITEM_GAPS_COLUMNS, "l_extendedprice"),
+    ]
+    ctes = ", ".join(c for c, _ in specs)
+    return (f"WITH p AS ({PART_GAPS_SQL}), t AS ({LINEITEM_GAPS_SQL}), {ctes}\n"
+            + "\nUNION ALL ".join(f"SELECT * FROM ({q})" for _, q in specs))
+
+
+ORACLE["feature_names"] = _feature_names_all()
