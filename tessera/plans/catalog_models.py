@@ -100,7 +100,8 @@ _RUNS: dict[tuple, object] = {}
 
 
 def _run(spark, sf, task: str):
-    key = (sf, task)
+    # one training run per (application, data folder, task) serves the leaderboard/importance/export queries
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), task)
     if key not in _RUNS:
         if task == "classification":
             df = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
