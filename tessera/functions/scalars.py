@@ -79,4 +79,5 @@ def json_safe_row(df_schema_fields) -> Column:
         elif isinstance(f.dataType, T.BinaryType):
             c = F.decode(c, "UTF-8")
         parts.append(c.alias(f.name))
-    return F.to_json(F.struct(*parts))
+    # keys with missing values stay present as null (a dict dumped to JSON keeps them)
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})

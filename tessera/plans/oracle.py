@@ -289,3 +289,20 @@ ORACLE["normalize_missing"] = (
     "CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
     "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
 )
+
+
+def _json_rows_sql() -> str:
+    parts = []
+    for c, k in LINEITEM_GAPS_COLUMNS:
+        if k == "str":
+            v = f"COALESCE('\"' || {c} || '\"', 'null')"
+        elif k == "ts":
+            v = f"COALESCE('\"' || strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || '\"', 'null')"
+        else:
+            v = f"COALESCE(CAST({_clean(c, k)} AS VARCHAR), 'null')"
+        parts.append(f"'\"{c}\":' || {v}")
+    body = " || ',' || ".join(parts)
+    return _gaps_cte() + f"SELECT l_orderkey, l_linenumber, '{{' || {body} || '}}' AS json FROM t"
+
+
+ORACLE["rows_as_json"] = _json_rows_sql()
