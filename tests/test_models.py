@@ -83,3 +83,43 @@ def test_cross_validate_folds(spark):
     cv = cross_validate(df, TrainConfig("cls", "binary", split_keys=("id",), models=("DecisionTree",)), folds=3)
     r = cv.first()
     assert r["model"] == "DecisionTree" and r["folds"] == 3 and r["mean_score"] > 0.9
+
+
+def _brute_classification(pairs):
+    classes = sorted({y for y, _ in pairs} | {p for _, p in pairs})
+    n = len(pairs)
+    acc = sum(y == p for y, p in pairs) / n
+    prec = rec = f1 = 0.0
+    for c in classes:
+        tp = sum(1 for y, p in pairs if y == c and p == c)
+        sup = sum(1 for y, _ in pairs if y == c)
+        pred = sum(1 for _, p in pairs if p == c)
+        pc = tp / pred if pred else 0.0
+        rc = tp / sup if sup else 0.0
+        fc = 2 * pc * rc / (pc + rc) if pc + rc else 0.0
+        prec, rec, f1 = prec + sup * pc / n, rec + sup * rc / n, f1 + sup * fc / n
+    return acc, prec, rec, f1
+
+
+def test_leaderboard_matches_brute_force(spark):
+    import math
+
+    from tessera.operators.sampling import split_flag
+
+    df = _signal(spark, 300).drop("yreg").withColumn(
+        "cls", F.when(F.col("id") % 7 == 0, "mid").otherwise(F.col("cls")))
+    res = compare_models(df, TrainConfig("cls", "multiclass", split_keys=("id",), models=FAST))
+    test = res.features.transform(df.where(~split_flag(["id"], 0.8, 42)))
+    for row in res.leaderboard.collect():
+        pairs = [(r["label"], r["prediction"]) for r in res.models[row["model"]].transform(test).collect()]
+        want = _brute_classification(pairs)
+        got = (row["accuracy"], row["precision"], row["recall"], row["f1"])
+        assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for a, b in zip(got, want))
+
+
+def test_linear_importance_is_abs_coefficients(spark):
+    df = _signal(spark).drop("cls")
+    res = compare_models(df, TrainConfig("yreg", "regression", split_keys=("id",), models=("LinearRegression",)))
+    coefs = [abs(c) for c in res.models["LinearRegression"].coefficients.toArray()]
+    imp = {r["feature"]: r["importance"] for r in res.importance.collect()}
+    assert [imp[f] for f in res.feature_names] == coefs
