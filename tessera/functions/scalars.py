@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from tessera.functions.types import qcol
 
 
 def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return qcol(x) if isinstance(x, str) else x
 
 
 def pct2(num, den) -> Column:
@@ -73,7 +74,7 @@ def json_safe_row(df_schema_fields) -> Column:
 
     parts = []
     for f in df_schema_fields:
-        c = F.col(f"`{f.name}`")
+        c = qcol(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, T.BinaryType):

@@ -24,6 +24,11 @@ _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatTyp
 _STRING_TYPES = (T.StringType, T.VarcharType, T.CharType)
 
 
+def qcol(name: str) -> Column:
+    """Column by its exact name (dots, spaces and backticks are part of the name, not paths)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column_class(dtype: T.DataType) -> str:
     if isinstance(dtype, _NUMERIC_TYPES) or isinstance(dtype, T.DayTimeIntervalType):
         return NUMERIC
@@ -47,7 +52,7 @@ def is_fractional(dtype: T.DataType) -> bool:
 
 def missing_mask(name: str, dtype: T.DataType) -> Column:
     """True where the cell is missing: null, or NaN for floating columns."""
-    c = F.col(name)
+    c = qcol(name)
     if is_fractional(dtype):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -55,7 +60,7 @@ def missing_mask(name: str, dtype: T.DataType) -> Column:
 
 def normalized(name: str, dtype: T.DataType) -> Column:
     """The column with NaN turned into null and -0.0 into 0.0 (one notion of missing)."""
-    c = F.col(name)
+    c = qcol(name)
     if is_fractional(dtype):
         return F.when(~F.isnan(c), c + F.lit(0.0).cast(dtype))
     if isinstance(dtype, T.DayTimeIntervalType):

@@ -35,7 +35,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.types import CATEGORICAL, NUMERIC, column_class, missing_mask, normalized
+from tessera.functions.types import qcol, CATEGORICAL, NUMERIC, column_class, missing_mask, normalized
 from tessera.operators.profile import frequency_table
 
 HIGH_CARDINALITY = 50
@@ -46,7 +46,7 @@ _EPS = 10 * 2.220446049250313e-16
 
 
 def _q(n: str) -> str:
-    return f"`{n}`"
+    return "`" + n.replace("`", "``") + "`"
 
 
 @dataclass
@@ -116,7 +116,7 @@ def text_codes(df: DataFrame, column: str) -> DataFrame:
     """
     from tessera.operators.sampling import dense_index
 
-    vals = df.select(F.coalesce(F.col(_q(column)).cast("string"), F.lit(NAN_CLASS)).alias("value")).distinct()
+    vals = df.select(F.coalesce(qcol(column).cast("string"), F.lit(NAN_CLASS)).alias("value")).distinct()
     return dense_index(vals.orderBy("value"), "code")
 
 
@@ -128,7 +128,7 @@ def vocabulary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
 
 def apply_codes(df: DataFrame, column: str, vocab: DataFrame, out: str, size: int | None = None) -> DataFrame:
     """Replace a text column by its code (unknown values → null); broadcast only a size-checked vocabulary."""
-    key = F.coalesce(F.col(_q(column)).cast("string"), F.lit(NAN_CLASS))
+    key = F.coalesce(qcol(column).cast("string"), F.lit(NAN_CLASS))
     left = df.withColumn("__key", key)
     v = vocab.select(F.col("value").alias("__key"), F.col("code").alias(out))
     if size is not None and size <= BROADCAST_VOCAB_ROWS:
@@ -158,7 +158,7 @@ class FeatureModel:
             f = df.schema[self.spec.target]
             cur = cur.withColumn("__label", normalized(self.spec.target, f.dataType).cast("double"))
         types = {f.name: f.dataType for f in df.schema.fields}
-        cols = [F.col(_q(k)) for k in keep]
+        cols = [qcol(k) for k in keep]
         names = self.spec.feature_names()
         i = 0
         for n in self.spec.numeric:
@@ -167,7 +167,7 @@ class FeatureModel:
             cols.append(((F.coalesce(src, F.lit(n.mean)) - F.lit(n.mean)) / F.lit(n.scale)).alias(names[i]))
             i += 1
         for o in self.spec.onehot:
-            imp = F.coalesce(F.col(_q(o.name)).cast("string"), F.lit(o.mode))
+            imp = F.coalesce(qcol(o.name).cast("string"), F.lit(o.mode))
             for _suffix, vals in o.outputs():
                 hit = imp.isin(*vals) if len(vals) > 1 else (imp == F.lit(vals[0]))
                 cols.append(hit.cast("double").alias(names[i]))
@@ -353,7 +353,7 @@ def simple_features(df: DataFrame) -> DataFrame:
             v = normalized(f.name, types[f.name]).cast("double")
             cols.append(F.coalesce(v, F.lit(float(m) if m is not None else 0.0), F.lit(0.0)).alias(f.name))
         else:
-            cols.append(F.col(_q(f.name)))
+            cols.append(qcol(f.name))
     return cur.select(cols).fillna(0)
 
 
@@ -370,7 +370,7 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     means = df.agg(*[F.avg(normalized(c, types[c]).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     repl = {c: F.coalesce(normalized(c, types[c]).cast("double"), F.lit(means[f"m{i}"]).cast("double")).alias(c)
             for i, c in enumerate(columns)}
-    return df.select([repl.get(c, F.col(_q(c))) for c in df.columns])
+    return df.select([repl.get(c, qcol(c)) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -390,7 +390,7 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
         sd = sd if sd >= _EPS else 1.0
         v = F.coalesce(normalized(c, types[c]).cast("double"), F.lit(float(mean)))
         repl[c] = ((v - F.lit(float(mean))) / F.lit(sd)).alias(c)
-    return df.select([repl.get(c, F.col(_q(c))) for c in df.columns])
+    return df.select([repl.get(c, qcol(c)) for c in df.columns])
 
 
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -404,11 +404,11 @@ def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
         if tops.get(c) is None:
             continue
         repl[c] = F.coalesce(normalized(c, types[c]), F.lit(tops[c]).cast(types[c])).alias(c)
-    return df.select([repl.get(c, F.col(_q(c))) for c in df.columns])
+    return df.select([repl.get(c, qcol(c)) for c in df.columns])
 
 
 def to_long(encoded: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """``(keys…, feature, value)`` rows from wide feature columns."""
-    return encoded.select(*[F.col(_q(k)) for k in keys], F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(_q(f)).cast("double").alias("value")) for f in features
+    return encoded.select(*[qcol(k) for k in keys], F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), qcol(f).cast("double").alias("value")) for f in features
     ])).alias("kv")).select(*keys, "kv.feature", "kv.value")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.scalars import pct2
 from tessera.functions.types import (
+    qcol,
     CATEGORICAL,
     NUMERIC,
     as_text,
@@ -38,7 +39,7 @@ COMPACT_TEXT_BYTES = 64
 
 
 def _q(name: str) -> str:
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _lookup(values: list, idx: Column) -> Column:
@@ -142,7 +143,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(rows, distinct_rows, duplicate_rows)``; null = null and NaN = NaN as in pandas."""
-    cols = [normalized(f.name, f.dataType).alias(f.name) if is_fractional(f.dataType) else F.col(_q(f.name))
+    cols = [normalized(f.name, f.dataType).alias(f.name) if is_fractional(f.dataType) else qcol(f.name)
             for f in df.schema.fields]
     groups = df.select(cols).groupBy(*[_q(f.name) for f in df.schema.fields]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
@@ -299,7 +300,7 @@ def logical_bytes(df: DataFrame) -> DataFrame:
     }
     aggs = []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(_q(f.name))
+        c = qcol(f.name)
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             e = F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
         elif type(f.dataType) in fixed:

@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import hash_bucket
-from tessera.functions.types import NUMERIC, column_class, normalized
+from tessera.functions.types import qcol, NUMERIC, column_class, normalized
 
 
 def _q(n: str) -> str:
-    return f"`{n}`"
+    return "`" + n.replace("`", "``") + "`"
 
 
 def sample_key(keys: list[str], seed: int = 42) -> Column:
     """Order key for seeded sampling: the 32-bit md5 head of ``key:seed``."""
-    text = F.concat_ws(":", *[F.col(_q(k)).cast("string") for k in keys], F.lit(str(seed)))
+    text = F.concat_ws(":", *[qcol(k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -37,7 +37,7 @@ def numeric_sample(df: DataFrame, keys: list[str] | None = None, n: int = 100, m
         v = normalized(c, types[c]).cast("double")
         part = (
             df.select(F.lit(c).alias("column_name"), v.alias("value"), sample_key(keys, seed).alias("h"),
-                      *[F.col(_q(k)).alias(f"__k{i}") for i, k in enumerate(keys)])
+                      *[qcol(k).alias(f"__k{i}") for i, k in enumerate(keys)])
             .where(F.col("value").isNotNull())
             .orderBy("h", *[f"__k{i}" for i in range(len(keys))], "value")
             .limit(n)
@@ -60,7 +60,7 @@ def preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> Dat
     """First n rows in key order, every cell as text, missing → ''."""
     order_by = order_by or [df.columns[0]]
     types = {f.name: f.dataType for f in df.schema.fields}
-    head = df.orderBy(*[F.col(_q(k)).asc_nulls_last() for k in order_by]).limit(n)
+    head = df.orderBy(*[qcol(k).asc_nulls_last() for k in order_by]).limit(n)
     return head.select([
         F.coalesce(normalized(c, types[c]).cast("string"), F.lit("")).alias(c) for c in df.columns
     ])
@@ -87,7 +87,7 @@ def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio:
 
         n = df.count()
         n_test = math.ceil(round(n * (1.0 - float(train_ratio)), 9))
-        ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[F.col(_q(k)) for k in keys])
+        ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[qcol(k) for k in keys])
         marked = dense_index(ordered, "__i").withColumn("__train", F.col("__i") >= F.lit(n_test)).drop("__h", "__i")
     else:
         marked = df.withColumn("__train", split_flag(keys, train_ratio, seed))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import pct2, whole_number
-from tessera.functions.types import CATEGORICAL, column_class, is_loose_numeric, missing_mask, normalized
+from tessera.functions.types import qcol, CATEGORICAL, column_class, is_loose_numeric, missing_mask, normalized
 from tessera.operators.profile import column_profile, frequency_table
 
 # fixed values: exact (case-insensitive) target-name matches
@@ -161,7 +161,7 @@ def analyze_target(df: DataFrame, column: str, order_by: list[str] | None = None
     )
     order_by = order_by or [df.columns[0]]
     first = (
-        df.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(order_by)], v.alias("__v"))
+        df.select(*[qcol(k).alias(f"__k{i}") for i, k in enumerate(order_by)], v.alias("__v"))
         .where(F.col("__v").isNotNull())
         .orderBy(*[f"__k{i}" for i in range(len(order_by))], "__v")
         .limit(samples)
@@ -193,7 +193,7 @@ def quick_type(df: DataFrame, order_by: list[str] | None = None, n: int = 5) ->
     """
     order_by = order_by or [df.columns[0]]
     types = {f.name: f.dataType for f in df.schema.fields}
-    head = df.orderBy(*[F.col(f"`{k}`") for k in order_by]).limit(n)
+    head = df.orderBy(*[qcol(k) for k in order_by]).limit(n)
     stacked = head.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("column_idx"), F.lit(c).alias("column_name"),
                  normalized(c, types[c]).cast("string").alias("v"))

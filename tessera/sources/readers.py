@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tessera.functions.types import qcol
 
 # fixed values: the default missing-value tokens of the pandas CSV reader
 PANDAS_NA_TOKENS = (
@@ -54,7 +55,7 @@ def normalize_missing(df: DataFrame, tokens=PANDAS_NA_TOKENS) -> DataFrame:
     cols = []
     toks = [F.lit(t) for t in tokens]
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = qcol(f.name)
         if isinstance(f.dataType, T.StringType):
             c = F.when(~c.isin(*toks), c)
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
@@ -75,7 +76,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     aggs = []
     for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
+        c = qcol(n)
         aggs += [
             F.count(c).alias(f"n{i}"),
             F.count(F.expr(f"try_cast(`{n}` AS BIGINT)")).alias(f"l{i}"),
@@ -97,7 +98,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         t = target.get(f.name)
-        c = F.col(f"`{f.name}`")
+        c = qcol(f.name)
         if t == "boolean":
             c = F.lower(F.trim(c)) == F.lit("true")
         elif t:

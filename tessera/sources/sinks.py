@@ -7,6 +7,7 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tessera.functions.types import qcol
 
 from tessera.operators.features import FeatureModel
 
@@ -54,7 +55,7 @@ class ModelPackage:
         """Predictions for new rows; a text target is decoded back to its class names."""
         enc = self.features.transform(df, keep=keep)
         pred = self.model.transform(enc)
-        cols = [F.col(f"`{k}`") for k in (keep or [])] + [F.col("prediction")]
+        cols = [qcol(k) for k in (keep or [])] + [F.col("prediction")]
         out = pred.select(*cols)
         if self.family == "classification" and self.features.spec.target_kind == "text":
             vocab = self.features.target_vocab.select(F.col("code").cast("double").alias("prediction"),

@@ -126,3 +126,18 @@ def test_compact_keys_count_like_full_text(spark):
     compact = profile.column_profile(docs, profile.frequency_table(docs, compact=True)).orderBy("column_idx").collect()
     assert full == compact
     assert docs.select("text").distinct().count() == full[0]["distinct_count"]
+
+
+def test_dotted_and_spaced_column_names(spark):
+    from tessera.operators import features as fx
+    from tessera.operators import target as tg
+
+    df = spark.range(40).select(
+        (F.col("id") % 3).cast("string").alias("Sepal.Kind"), (F.col("id") * 0.5).alias("petal width"),
+        (F.col("id") % 2).cast("int").alias("y"))
+    prof = {r["column_name"]: r["distinct_count"] for r in profile.column_profile(df).collect()}
+    assert prof == {"Sepal.Kind": 3, "petal width": 40, "y": 2}
+    assert tg.detect_target(df) == ("y", "binary")
+    assert fx.fit_features(df, "y").feature_names() == ["num__petal width", "cat__Sepal.Kind_1", "cat__Sepal.Kind_2"]
+    assert profile.top_values(df, 1).first()["column_name"] == "Sepal.Kind"
+    assert profile.describe_numeric(df).count() == 2 and profile.duplicate_rows(df).first()["duplicate_rows"] == 0
