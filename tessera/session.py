@@ -8,10 +8,11 @@ cluster names); only when that is unset (tests, local runs) do we pick one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
@@ -35,13 +36,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only when none is set (tests)."""
+    """The shared checkpoint folder of the session.
+
+    Only a local master (tests, the bench) gets a folder of its own when none is
+    set; on a cluster a machine-local folder would lose rows, so that raises.
+    """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return (spark.sparkContext.getCheckpointDir() or base).rstrip("/")
+    return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +56,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: a lineage cut that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
