@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import source_mix
+from tessera.llm import byte_bpe, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op9_source_mix": source_mix.op9_source_mix,
     }
 
