@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, source_mix
+from tessera.llm import byte_bpe, source_mix, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op9_source_mix": source_mix.op9_source_mix,
+        "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": source_mix.OP9_SQL}
+    return {"op9_source_mix": source_mix.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
