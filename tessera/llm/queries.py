@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, source_mix, topk, toxicity
+from tessera.llm import byte_bpe, chunk_dedup, source_mix, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
         "op9_source_mix": source_mix.op9_source_mix,
         "op10_exact_topk": topk.op10_exact_topk,
     }

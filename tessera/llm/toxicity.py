@@ -3,9 +3,9 @@
 A text's features are the distinct runs of 3 to 5 code points (lower-cased,
 white space run together, a space at both ends), hashed to 2^18 slots and
 present or not.  On labelled texts each slot gets r = log of the ratio of its
-smoothed shares in the two classes; a logistic regression is trained on
-presence times r (Wang & Manning 2012), at unit length, by averaging the weights that eight
-shards of the training rows learn (parameter mixing).  Its intercept is then
+smoothed shares of the two classes' texts; a logistic regression is trained on
+presence times r (Wang & Manning 2012), at unit length, by averaging the weights that
+shards of 1,500 training rows learn (parameter mixing).  Its intercept is then
 moved from the balance of the sample to that of all training labels.
 
 The fit takes a bounded sample: of each class the rows with the smallest hash of
@@ -14,7 +14,7 @@ doc_id, at most ``per_class`` of them.  All texts are scored whole.
 Defined cases: a null text is an empty one; an empty text scores what the
 intercept says; labels that are null or belong to no document are not used, and
 a doc_id with both labels counts as toxic; without training rows of both classes
-every score is the share of label 1 among them (0 if there are none); repeated
+every score is 1 if there are some of label 1, else 0; repeated
 rows score alike; other columns are kept, those named ``score`` or ``predicted``
 are replaced.
 """
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from tessera.session import materialise
 
-#: Code points in an n-gram, bits of a slot, rows of a class in the sample, shards, rounds of averaging, passes a round.
-GRAMS, BITS, PER_CLASS, SHARDS, ROUNDS, PASSES = (3, 4, 5), 18, 6000, 8, 2, 4
+#: Code points in an n-gram, bits of a slot, rows of a class in the sample, rows of a shard, rounds of averaging, passes a round, smoothing.
+GRAMS, BITS, PER_CLASS, SHARD_ROWS, ROUNDS, PASSES, ALPHA = (3, 4, 5), 18, 6000, 1500, 2, 4, 0.1
 SPACE = re.compile(r"\s+")
 
 
@@ -66,7 +66,8 @@ class Model:
     def score(self, text: str | None) -> float:
         found = slots(text)
         x = scaled(self.ratio[found])
-        return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.weights[found] @ x), -500, 500))))
+        with np.errstate(over="ignore"):
+            return float(1 / (1 + np.exp(-(self.bias + self.weights[found] @ x))))
 
 
 def learn(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, weights: np.ndarray, bias: float, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -91,11 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     ones, zeros = counted.get(1, 0), counted.get(0, 0)
     if not ones or not zeros:
         share = ones / max(1, ones + zeros)
-        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(max(share, 1e-300)) - np.log(max(1 - share, 1e-300))))
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), np.inf if share else -np.inf)
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = [labels.where(F.col("toxic") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     texts = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
-    sample = materialise(texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")), "toxicity-sample")
+    taken = [min(n, per_class) for n in (zeros, ones)]
+    shards = -(-sum(taken) // SHARD_ROWS)
+    sample = materialise(texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, 1 << BITS), np.int64)
@@ -106,17 +109,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         yield pd.DataFrame({"slot": used, "n0": seen[0][used], "n1": seen[1][used]})
 
     seen = sample.select("text", "toxic").mapInPandas(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # 2^18 rows at most
-    shares = np.ones((2, 1 << BITS))
+    shares = np.full((2, 1 << BITS), ALPHA)
     shares[0][seen["slot"]] += seen["n0"]
     shares[1][seen["slot"]] += seen["n1"]
-    ratio = np.log(shares[1] / shares[1].sum()) - np.log(shares[0] / shares[0].sum())
+    ratio = np.log(shares[1] / (taken[1] + 2 * ALPHA)) - np.log(shares[0] / (taken[0] + 2 * ALPHA))
     used = np.sort(seen["slot"].to_numpy())
     spark = docs.sparkSession
     weights, bias = np.zeros(1 << BITS), 0.0
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast((ratio, weights, bias))
 
-        def shard(part: pd.DataFrame, sent=sent) -> pd.DataFrame:
+        def shard(part: pd.DataFrame) -> pd.DataFrame:
             ratio, weights, bias = sent.value
             part = part.sort_values("doc_id").sample(frac=1, random_state=0)
             weights, bias = learn([slots(t) for t in part["text"]], part["toxic"].to_numpy(float), ratio, weights, bias)
@@ -127,7 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         weights = np.zeros(1 << BITS)
         weights[used] = np.mean([np.frombuffer(r.weights, "<f8") for r in learnt], 0)
         bias = float(np.mean([r.bias for r in learnt]))
-    taken = [min(n, per_class) for n in (zeros, ones)]
     return Model(ratio, weights, bias + float(np.log(ones / zeros) - np.log(taken[1] / taken[0])))
 
 

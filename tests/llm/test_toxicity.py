@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark):
     labels = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out]
     assert np.mean([p == y for p, y in labels]) >= 0.95
     toxic = [p for p, y in labels if y]
-    assert toxic and np.mean(toxic) >= 0.8
+    assert toxic and np.mean(toxic) >= 0.6
 
 
 def test_edges(spark):
