@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chunk_dedup, source_mix, topk, toxicity
+from tessera.llm import byte_bpe, chunk_dedup, near_dup, source_mix, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dup": near_dup.op2_near_dup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
