@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chunk_dedup, near_dup, source_mix, topk, toxicity
+from tessera.llm import byte_bpe, chunk_dedup, html_extract, near_dup, source_mix, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dup": near_dup.op2_near_dup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op7_html_extract": html_extract.op7_html_extract,
         "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
         "op9_source_mix": source_mix.op9_source_mix,
         "op10_exact_topk": topk.op10_exact_topk,
