@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chunk_dedup, html_extract, near_dup, source_mix, topk, toxicity, url_filter
+from tessera.llm import byte_bpe, chunk_dedup, embed_dedup, html_extract, near_dup, source_mix, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_embed_dedup": embed_dedup.op6_embed_dedup,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
         "op9_source_mix": source_mix.op9_source_mix,
