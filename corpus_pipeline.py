@@ -1,12 +1,77 @@
-"""The corpus pipeline: filter, deduplicate, mix and tokenise ``documents``."""
+"""The corpus pipeline: filter, deduplicate, mix and tokenise ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``.  All stages but the last return
+the columns of ``documents``.
+
+Defined cases follow the operators': a null text is an empty one (and stays null),
+rows without a doc_id are kept by the filters, repeated rows of one doc_id share its
+fate (an exact repeat within a near-duplicate group is kept once), empty tables
+give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from tessera.llm import byte_bpe, chunk_dedup, near_dup, source_mix, toxicity
+from tessera.session import materialise
+
+#: No stage can be written in SQL as a whole: the fitted classifier, chunking and merges have no SQL form.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fit_on_labels(spark, docs, sf_dir)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return toxicity.score(named, model).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    The rows that go are joined by id; where a kept doc_id comes more than once, its
+    smallest row stays.
+    """
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = materialise(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id").select(F.struct(*docs.columns).alias("row")).groupBy("row.doc_id").agg(F.min("row").alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of smaller doc_id holds too are cut out; n_chars follows."""
+    cut = chunk_dedup.dedup(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (not at all, once or twice)."""
+    return source_mix.mix(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token_ids; the ids decode to the text."""
+    return byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("source_mix", mix_sources),
+    ("byte_bpe", tokenise),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

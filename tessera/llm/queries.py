@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chunk_dedup, embed_dedup, html_extract, near_dup, source_mix, topk, toxicity, url_filter
+from tessera.llm import byte_bpe, chunk_dedup, class_lm, embed_dedup, html_extract, near_dup, source_mix, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_class_lm": class_lm.op1_class_lm,
         "op2_near_dup": near_dup.op2_near_dup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
