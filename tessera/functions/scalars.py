@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tessera.functions.types import qcol
 
 
@@ -17,20 +18,15 @@ def pct2(num, den) -> Column:
     Works in integer arithmetic (hundredths of a percent), so every engine
     that evaluates the same rule gets the same double; ``null`` when den is 0.
     """
-    n = _c(num).cast("long") * F.lit(10000)
-    d0 = _c(den).cast("long")
+    n = _c(num).cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
+    d0 = _c(den).cast("decimal(20,0)")
     d = F.when(d0 > 0, d0)
     r = F.pmod(n, d)
-    # (n - r) / d is a whole number <= 10000 when num <= den; round() makes it exact
-    q = F.round((n - r) / d).cast("long")
+    q = ((n - r) / d).cast("long")  # a whole number
     up = F.when(r * 2 > d, 1).when((r * 2 == d) & (q % 2 == 1), 1).otherwise(0)
     return (q + up).cast("double") / F.lit(100.0)
 
 
-def bround2(x) -> Column:
-    return F.bround(_c(x), 2)
-
-
 def whole_number(x) -> Column:
     """True when a non-null numeric value has no fractional part."""
     c = _c(x).cast("double")
@@ -68,17 +64,23 @@ def hash_bucket(keys: list, seed: int = 42, buckets: int = 10000) -> Column:
     return F.pmod(head, F.lit(buckets))
 
 
-def json_safe_row(df_schema_fields) -> Column:
-    """``to_json`` of the row with NaN → null and binary → UTF-8 text (JSON-safe values only)."""
-    from pyspark.sql import types as T
-
-    parts = []
-    for f in df_schema_fields:
-        c = qcol(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(~F.isnan(c), c)
-        elif isinstance(f.dataType, T.BinaryType):
-            c = F.decode(c, "UTF-8")
-        parts.append(c.alias(f.name))
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """NaN and infinities → null, binary → UTF-8 text, at any depth of arrays, structs and maps."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(F.abs(value) < F.lit(float("inf")), value)
+    if isinstance(kind, T.BinaryType):
+        return F.decode(value, "UTF-8")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: json_safe(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[json_safe(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def json_safe_row(fields) -> Column:
+    """``to_json`` of the row with JSON-safe values only."""
+    parts = [json_safe(qcol(f.name), f.dataType).alias(f.name) for f in fields]
     # keys with missing values stay present as null (a dict dumped to JSON keeps them)
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})

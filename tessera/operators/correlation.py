@@ -57,8 +57,11 @@ def _gram_partials(k: int):
     return run
 
 
-def correlation_matrix(df: DataFrame, max_cols: int = 25, columns: list[str] | None = None) -> DataFrame:
-    """Long correlation table ``(i, col_i, j, col_j, corr, truncated)`` over the first ``max_cols`` numeric columns.
+def correlation_matrix(df: DataFrame, max_cols: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Long correlation table ``(i, col_i, j, col_j, corr, truncated)`` over the numeric columns.
+
+    ``max_cols`` keeps the first so many and sets ``truncated``.  Infinite cells are
+    left out of a pair like missing ones.
 
     Empty when fewer than two numeric columns exist (as the reference returns ``{}``).
     """
@@ -67,11 +70,12 @@ def correlation_matrix(df: DataFrame, max_cols: int = 25, columns: list[str] | N
     nums = numeric_columns(df) if columns is None else list(columns)
     if len(nums) < 2:
         return spark.createDataFrame([], schema)
-    truncated = len(nums) > max_cols
+    truncated = max_cols is not None and len(nums) > max_cols
     cols = nums[:max_cols]
     k = len(cols)
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = df.select([normalized(c, types[c]).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    values = [normalized(c, types[c]).cast("double") for c in cols]
+    vals = df.select([F.when(F.abs(v) < F.lit(float("inf")), v).alias(f"x{i}") for i, v in enumerate(values)])
     means = vals.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
     shifted = vals.select([
         (F.col(f"x{i}") - F.lit(float(means[i]) if means[i] is not None else 0.0)).alias(f"x{i}")

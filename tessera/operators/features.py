@@ -32,16 +32,19 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.types import qcol, CATEGORICAL, NUMERIC, column_class, missing_mask, normalized
 from tessera.operators.profile import frequency_table
 
+# fixed values: the encoder's thresholds (defaults of fit_features)
 HIGH_CARDINALITY = 50
 MAX_CATEGORIES = 10
 NAN_CLASS = "nan"
-BROADCAST_VOCAB_ROWS = 1_000_000
+# codes are joined on a 32-byte digest, so this many rows are some 10 MB whatever the text
+BROADCAST_CODES = 200_000
 _EPS = 10 * 2.220446049250313e-16
 
 
@@ -126,14 +129,27 @@ def vocabulary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     return vocab, vocab.count()
 
 
+def _digest(text) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def apply_codes(df: DataFrame, column: str, vocab: DataFrame, out: str, size: int | None = None) -> DataFrame:
-    """Replace a text column by its code (unknown values → null); broadcast only a size-checked vocabulary."""
-    key = F.coalesce(qcol(column).cast("string"), F.lit(NAN_CLASS))
-    left = df.withColumn("__key", key)
-    v = vocab.select(F.col("value").alias("__key"), F.col("code").alias(out))
-    if size is not None and size <= BROADCAST_VOCAB_ROWS:
+    """Replace a text column by its code (unknown values → null).
+
+    The join key is the value's SHA-256, so no text is moved, and broadcasting
+    depends on the number of codes alone.  Missing cells take the code of
+    ``"nan"`` without a join; their keys are spread so that they match nothing
+    and meet nowhere.
+    """
+    value = qcol(column).cast("string")
+    missing = vocab.where(F.col("value") == NAN_CLASS).select("code").first()
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string").cast("binary")
+    left = df.withColumn("__key", F.coalesce(_digest(value), spread))
+    v = vocab.select(_digest(F.col("value")).alias("__key"), F.col("code").alias("__found"))
+    if size is not None and size <= BROADCAST_CODES:
         v = F.broadcast(v)
-    return left.join(v, "__key", "left").drop("__key")
+    code = F.when(value.isNull(), F.lit(missing["code"] if missing else None).cast("long")).otherwise(F.col("__found"))
+    return left.join(v, "__key", "left").withColumn(out, code).drop("__key", "__found")
 
 
 # ----------------------------------------------------------------------------- fitting
@@ -145,9 +161,22 @@ class FeatureModel:
     target_vocab: DataFrame | None = None
 
     # -- transform -----------------------------------------------------------
+    def check_columns(self, df: DataFrame) -> None:
+        """Refuse a frame that lacks a feature column or has it with another kind of type."""
+        types = {f.name: f.dataType for f in df.schema.fields}
+        wanted = {n.name: CATEGORICAL if n.ordinal else NUMERIC for n in self.spec.numeric}
+        wanted |= {o.name: CATEGORICAL for o in self.spec.onehot}
+        missing = [c for c in wanted if c not in types]
+        if missing:
+            raise ValueError(f"Missing feature columns: {', '.join(missing)}")
+        other = [c for c, kind in wanted.items() if column_class(types[c]) != kind]
+        if other:
+            raise ValueError(f"Feature columns with another type than in the fit: {', '.join(other)}")
+
     def encode(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Feature columns (named as ``feature_names()``) plus ``label`` (when the target exists) and ``keep``."""
         keep = list(keep or [])
+        self.check_columns(df)
         cur = df
         for c in self.spec.ordinal:
             cur = apply_codes(cur, c, self.vocabs[c], f"__code_{c}", self.vocab_sizes.get(c))
@@ -211,15 +240,16 @@ def _safe(name: str) -> str:
     return "".join(ch if ch.isalnum() or ch in "_-" else f"%{ord(ch):02x}" for ch in name)
 
 
-def onehot_spec(name: str, counts: list[tuple[str, int]], missing: int) -> OneHotSpec:
-    """Capped one-hot layout from (value, count) pairs of a ≤ 50-category column."""
+def onehot_spec(name: str, counts: list[tuple[str, int]], missing: int,
+                max_categories: int = MAX_CATEGORIES) -> OneHotSpec:
+    """Capped one-hot layout from (value, count) pairs of a low-cardinality column."""
     if not counts:
         return OneHotSpec(name, NAN_CLASS, [], [])
     mode = sorted(counts, key=lambda vc: (-vc[1], vc[0]))[0][0]
     imputed = {v: c + (missing if v == mode else 0) for v, c in counts}
     cats = sorted(imputed)
-    if len(cats) > MAX_CATEGORIES:
-        frequent = sorted(cats, key=lambda v: (-imputed[v], _desc_key(v)))[: MAX_CATEGORIES - 1]
+    if len(cats) > max_categories:
+        frequent = sorted(cats, key=lambda v: (-imputed[v], _desc_key(v)))[: max_categories - 1]
         kept = sorted(frequent)
         infrequent = [v for v in cats if v not in set(frequent)]
     else:
@@ -239,7 +269,8 @@ class _desc_key:
         return self.v > other.v
 
 
-def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None) -> FeatureModel:
+def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None, high_cardinality: int = HIGH_CARDINALITY,
+                 max_categories: int = MAX_CATEGORIES) -> FeatureModel:
     """Learn the preprocessing of ``df`` for ``target``.
 
     ``fit_rows`` (default: ``df``) are the rows whose statistics are used —
@@ -250,6 +281,8 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
     src = df if fit_rows is None else fit_rows
     tfield = df.schema[target]
     target_kind = "text" if column_class(tfield.dataType) == CATEGORICAL else "numeric"
+    if target_kind == "numeric" and not isinstance(tfield.dataType, (T.NumericType, T.BooleanType)):
+        raise ValueError(f"Target column '{target}' has type {tfield.dataType.simpleString()}; use a numeric or text column")
     dropped = 0
     if target_kind == "numeric":
         keep = ~missing_mask(target, tfield.dataType)
@@ -281,7 +314,7 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
             nm = names[r["col_idx"]]
             distinct[nm] = int(r["d"])
             cat_missing[nm] = int(r["m"] or 0)
-        small = [c for c in distinct if 0 < distinct[c] <= HIGH_CARDINALITY]
+        small = [c for c in distinct if 0 < distinct[c] <= high_cardinality]
         if small:
             rows = frequency_table(src, small).where(F.col("value").isNotNull()).collect()  # ≤ 50 per column
             for r in rows:
@@ -309,7 +342,7 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
         elif f.name in distinct:
             if distinct[f.name] == 0:
                 continue
-            if distinct[f.name] > HIGH_CARDINALITY:
+            if distinct[f.name] > high_cardinality:
                 vocab, sizes[f.name] = vocabulary(src, f.name)
                 vocabs[f.name] = vocab
                 ordinal.append(f.name)
@@ -318,16 +351,16 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None)
                 sd = float(m["v"] or 0.0) ** 0.5
                 numeric_specs.append(NumericSpec(f.name, float(m["m"]), sd if sd >= _EPS else 1.0, ordinal=True))
             else:
-                onehots.append(onehot_spec(f.name, cat_counts[f.name], cat_missing[f.name]))
+                onehots.append(onehot_spec(f.name, cat_counts[f.name], cat_missing[f.name], max_categories))
     if not numeric_specs and not onehots:
         raise ValueError("No valid columns found for preprocessing")
 
     target_vocab = None
     classes = None
     if target_kind == "text":
-        target_vocab, classes = vocabulary(src, target)
+        target_vocab, classes = vocabulary(df, target)  # of all rows: a class that only the test side has is an error, not a gap
     else:
-        dropped = df.where(missing_mask(target, tfield.dataType)).count() if fit_rows is None else 0
+        dropped = df.where(missing_mask(target, tfield.dataType)).count()
     spec = FeatureSpec(target, target_kind, numeric_specs, onehots, ordinal, [f.name for f in xs], classes, dropped)
     return FeatureModel(spec, vocabs, sizes, target_vocab)
 

@@ -1,12 +1,12 @@
 """Permutation importance as one distributed pass.
 
-For every (feature f, repeat r) the test rows are re-paired by an affine
-permutation of their row index, ``π(i) = (a·i + c) mod n`` with ``a``
-coprime to n (seeded per (f, r)) — a true permutation that needs no sort.
-The permuted value of f is brought to its new row with one equi-join on
-``(f, r, index)``; the fitted model scores all copies in a single
-``transform`` and ``groupBy(f, r)`` yields the permuted scores.  Importance
-= mean over repeats of (baseline score − permuted score).
+For every repeat r the test rows, indexed in hash order, are re-paired by an
+affine permutation of their index, ``π(i) = (a·i + c) mod n`` with ``a`` coprime
+to n (seeded per r) — a true permutation that needs no sort.  One equi-join on
+``(r, index)`` brings each row the row it is paired with; the variants, one for
+each feature, are built beside it without a shuffle, scored by a single
+``transform`` and summed by ``groupBy(f, r)``.  Importance = mean over repeats of
+(baseline score − permuted score); it does not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def _score(pred: DataFrame, fam: str, group: list[str]) -> DataFrame:
                     .otherwise(1 - F.col("sse") / F.col("sst")).alias("score"))
 
 
-def _affine(n: int, seed: int, f: int, r: int) -> tuple[int, int]:
-    rng = random.Random(seed * 1_000_003 + f * 1009 + r)
+def _affine(n: int, seed: int, r: int) -> tuple[int, int]:
+    rng = random.Random(seed * 1_000_003 + r)
     if n <= 1:
         return 1, 0
     while True:
@@ -48,28 +48,24 @@ def permutation_importance(model, test: DataFrame, names: list[str], fam: str, r
     base_pred = model.transform(test)
     base = (classification_metrics(base_pred).first()["accuracy"] if fam == "classification"
             else regression_metrics(base_pred).first()["r2"])
-    indexed = dense_index(test.select(vector_to_array("features").alias("x"), F.col("label").cast("double")))
+    rows = test.select(vector_to_array("features").alias("x"), F.col("label").cast("double"))
+    indexed = dense_index(rows.orderBy(F.xxhash64("x", "label"), "x", "label"))  # equal rows are interchangeable
     n = indexed.count()
-    grid = [(f, r, *_affine(n, seed, f, r)) for f in range(len(names)) for r in range(repeats)]
-    arr = indexed.select("idx", "label", "x")
-    # every row is expanded over the (feature, repeat) grid — F × repeats literals, bounded by the schema
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(c).cast("long").alias("c"),
-                 F.lit(pow(a, -1, n) if n > 1 else 0).cast("long").alias("ainv"))
-        for f, r, a, c in grid])).alias("g")
-    # source row j sends its value of feature f to the row i with π(i) = j, i = a⁻¹·(j − c) mod n
+    steps = [(r, *_affine(n, seed, r)) for r in range(repeats)]
+    turns = F.explode(F.array(*[
+        F.struct(F.lit(r).alias("r"), F.lit(c).cast("long").alias("c"),
+                 F.lit(pow(a, -1, n) if n > 1 else 0).cast("long").alias("ainv")) for r, a, c in steps])).alias("g")
+    # row j goes to the row i with π(i) = j, i = a⁻¹·(j − c) mod n: one self-join of n rows a repeat, for all features
     dec = "decimal(38,0)"
-    moved = arr.select(F.col("idx").alias("j"), "x", cells).select(
-        F.col("g.f").alias("f"), F.col("g.r").alias("r"), F.col("x")[F.col("g.f")].alias("v"),
-        F.pmod((F.col("j") - F.col("g.c")).cast(dec) * F.col("g.ainv").cast(dec), F.lit(n).cast(dec))
-        .cast("long").alias("idx"))
-    target = arr.select("idx", "label", "x", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f, r, _, _ in grid])).alias("g")).select(
-        "idx", "label", "x", "g.f", "g.r")
-    joined = target.join(moved, ["f", "r", "idx"])
-    permuted = joined.select(
+    moved = indexed.select(F.col("idx").alias("j"), F.col("x").alias("v"), turns).select(
+        F.col("g.r").alias("r"), "v",
+        F.pmod((F.col("j") - F.col("g.c")).cast(dec) * F.col("g.ainv").cast(dec), F.lit(n).cast(dec)).cast("long").alias("idx"))
+    target = indexed.select("idx", "label", "x", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("r"))
+    joined = target.join(moved, ["r", "idx"])
+    each = joined.select("r", "label", "x", "v", F.explode(F.array(*[F.lit(f) for f in range(len(names))])).alias("f"))
+    permuted = each.select(
         "f", "r", "label",
-        array_to_vector(F.transform("x", lambda x, i: F.when(i == F.col("f"), F.col("v")).otherwise(x))).alias(
+        array_to_vector(F.transform("x", lambda x, i: F.when(i == F.col("f"), F.col("v")[i]).otherwise(x))).alias(
             "features"))
     scores = _score(model.transform(permuted), fam, ["f", "r"])
     imp = scores.groupBy("f").agg(F.avg(F.lit(base) - F.col("score")).alias("importance"))

@@ -7,6 +7,7 @@ fitted models come back to the driver.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -27,15 +28,19 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.features import FeatureModel, fit_features
+from tessera.operators.features import BROADCAST_CODES, FeatureModel, fit_features
 from tessera.operators.kernels import RandomFourierFeatures
 from tessera.operators.metrics import LEADERBOARD_SCHEMA, classification_metrics, regression_metrics
-from tessera.operators.sampling import split_flag
+from tessera.operators.sampling import dense_index, exact_split_flag, split_flag
 from tessera.operators.target import check_config, family
+from tessera.functions.types import qcol
 from tessera.session import checkpoint_root
 
-MAX_CLASSES = 1000
-ROWS_PER_FIT_PARTITION = 4000
+
+
+def fit_partitions(n_rows: int) -> int:
+    """Partitions of the encoded table from its row count alone, so a model does not depend on the cluster."""
+    return max(1, math.ceil(n_rows ** 0.6 / 40))
 
 
 @dataclass(frozen=True)
@@ -44,7 +49,7 @@ class TrainConfig:
     problem_type: str
     train_ratio: float = 0.8  # test share = 1 − ratio
     seed: int = 42
-    timeout_seconds: float = 300.0
+    timeout_seconds: float | None = None  # a slower model is kept and marked in ``over_budget``
     num_trees: int = 100
     boost_iters: int = 100
     boost_depth: int = 3
@@ -53,6 +58,7 @@ class TrainConfig:
     rff_dim: int = 256
     fit_scope: str = "all"  # "all" (reference) or "train"
     split_keys: tuple[str, ...] | None = None
+    exact_split: bool = False  # exactly ceil(n · (1 − ratio)) test rows instead of hash buckets
     models: tuple[str, ...] | None = None  # subset of the registry, by name
 
 
@@ -122,7 +128,11 @@ def _dt_r(ctx):
 
 
 def _kernel_stages(ctx):
-    """Shared SVM scaler (fitted on train) + RFF map with gamma = 1 / (d · Var X)."""
+    """Shared SVM scaler (fitted on train) + RFF map with gamma = 1 / (d · Var X).
+
+    The kernel depends on squared distances over that variance, so scaling by the
+    sample or the population deviation gives the same kernel.
+    """
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(ctx.train)
     s = scaler.transform(ctx.train).select(Summarizer.metrics("mean", "variance").summary(F.col("scaled")).alias("s"))
     r = s.first()["s"]
@@ -144,15 +154,22 @@ def _svc(ctx):
     return Pipeline(stages=[scaler, rff, head])
 
 
-def _svr(ctx):
-    scaler, rff = _kernel_stages(ctx)
-    lab = ctx.train.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("s")).first()
-    mu, sd = float(lab["m"]), float(lab["s"] or 1.0) or 1.0
-    to_std = SQLTransformer(statement=f"SELECT *, (label - {mu!r}) / {sd!r} AS label_std FROM __THIS__")
-    huber = LinearRegression(featuresCol="rff", labelCol="label_std", predictionCol="pred_std", loss="huber",
-                             epsilon=1.35, regParam=1.0 / max(ctx.n_train, 1), elasticNetParam=0.0, maxIter=100)
-    back = SQLTransformer(statement=f"SELECT *, pred_std * {sd!r} + {mu!r} AS prediction FROM __THIS__")
-    return Pipeline(stages=[scaler, rff, to_std, huber, back])
+class _HuberOnFeatures:
+    """Estimator whose fitted pipeline needs no label column: the target is standardised before the fit."""
+
+    def __init__(self, ctx):
+        self.ctx = ctx
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        scaler, rff = _kernel_stages(self.ctx)
+        lab = train.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("s")).first()
+        mu, sd = float(lab["m"]), float(lab["s"] or 1.0) or 1.0
+        mapped = rff.transform(scaler.transform(train)).withColumn("label_std", (F.col("label") - mu) / sd)
+        huber = LinearRegression(featuresCol="rff", labelCol="label_std", predictionCol="pred_std", loss="huber",
+                                 epsilon=1.35, regParam=1.0 / max(self.ctx.n_train, 1), elasticNetParam=0.0,
+                                 maxIter=100).fit(mapped)
+        back = SQLTransformer(statement=f"SELECT *, pred_std * {sd!r} + {mu!r} AS prediction FROM __THIS__")
+        return PipelineModel(stages=[scaler, rff, huber, back])
 
 
 # fixed values: model names and order of the reference registry
@@ -160,7 +177,7 @@ REGISTRY: dict[str, list[tuple[str, Builder]]] = {
     "classification": [("LogisticRegression", _lr), ("RandomForest", _rf_c), ("GradientBoosting", _gb_c),
                        ("SVC_RFF", _svc), ("DecisionTree", _dt_c)],
     "regression": [("LinearRegression", _lin), ("RandomForest", _rf_r), ("GradientBoosting", _gb_r),
-                   ("SVR_RFF_Huber", _svr), ("DecisionTree", _dt_r)],
+                   ("SVR_RFF_Huber", _HuberOnFeatures), ("DecisionTree", _dt_r)],
 }
 
 
@@ -175,16 +192,22 @@ class CompareResult:
     features: FeatureModel | None = None
     feature_names: list[str] = field(default_factory=list)
     skipped: dict[str, str] = field(default_factory=dict)
+    over_budget: list[str] = field(default_factory=list)
 
 
 def index_numeric_labels(encoded: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
-    """Map numeric class values to 0..k−1 (sorted); k is checked before anything is collected."""
-    k = encoded.agg(F.count_distinct(label).alias("k")).first()["k"]
-    if k > MAX_CLASSES:
-        raise ValueError(f"Too many classes for classification: {k} > {MAX_CLASSES}")
-    values = [r[0] for r in encoded.select(label).distinct().orderBy(label).collect()]  # ≤ MAX_CLASSES rows
-    mapping = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(float(v)), F.lit(float(i)))])
-    return encoded.withColumn(label, mapping[F.col(label)]), len(values)
+    """Map numeric class values to 0..k−1 (sorted) by a join with their distributed vocabulary."""
+    values = dense_index(encoded.select(F.col(label).alias("__value")).distinct().orderBy("__value"), "__code")
+    k = values.count()
+    values = F.broadcast(values) if k <= BROADCAST_CODES else values  # 16 bytes a row
+    coded = encoded.join(values, F.col(label) == F.col("__value")).withColumn(label, F.col("__code").cast("double"))
+    return coded.drop("__value", "__code"), k
+
+
+def with_class_count(encoded: DataFrame, k: int) -> DataFrame:
+    """Tell MLlib the number of classes; otherwise trees refuse labels of 100 and more."""
+    meta = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(k, 2)}}
+    return encoded.withColumn("label", F.col("label").alias("label", metadata=meta))
 
 
 def native_importance(model, dim: int) -> list[float] | None:
@@ -214,7 +237,11 @@ def compare_models(df: DataFrame, cfg: TrainConfig) -> CompareResult:
     """Train and compare the registry for ``cfg.problem_type`` on ``df``."""
     check_config(df, cfg.target, cfg.problem_type, cfg.train_ratio)
     keys = list(cfg.split_keys or df.columns)
-    return _compare_marked(df.withColumn("__is_train", split_flag(keys, cfg.train_ratio, cfg.seed)), cfg)
+    if cfg.exact_split:
+        marked = exact_split_flag(df, keys, cfg.train_ratio, cfg.seed, "__is_train")
+    else:
+        marked = df.withColumn("__is_train", split_flag(keys, cfg.train_ratio, cfg.seed))
+    return _compare_marked(marked, cfg)
 
 
 def cross_validate(df: DataFrame, cfg: TrainConfig, folds: int = 5) -> DataFrame:
@@ -249,25 +276,28 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
     fm = fit_features(marked.drop("__is_train"), cfg.target,
                       fit_rows=marked.where("__is_train").drop("__is_train") if cfg.fit_scope == "train" else None)
     names = fm.feature_names()
-    enc = fm.transform(marked, keep=["__is_train"]).where(F.col("label").isNotNull())
+    keys = [k for k in (cfg.split_keys or marked.columns) if k != "__is_train"]
+    hashed = marked.withColumn("__h", F.xxhash64(*[qcol(k) for k in keys]))
+    enc = fm.transform(hashed, keep=["__is_train", "__h"]).where(F.col("label").isNotNull())
     num_classes = 0
     if fam == "classification":
         if fm.spec.target_kind == "numeric":
             enc, num_classes = index_numeric_labels(enc)
         else:
             num_classes = int(fm.spec.target_classes or 0)
-    # iterative fits parallelise over partitions: spread small inputs over up to the cluster's slots
-    # (~ROWS_PER_FIT_PARTITION rows each; large inputs keep their own, larger, partitioning)
-    slots = spark.sparkContext.defaultParallelism
-    n_rows = marked.count()
-    want = max(1, min(slots, -(-n_rows // ROWS_PER_FIT_PARTITION)))
-    if enc.rdd.getNumPartitions() < want:
-        enc = enc.repartition(want)
+        enc = with_class_count(enc, num_classes)
+    # a row's partition and place follow from its key, so seeded fits give the same model on any cluster
+    enc = enc.repartition(fit_partitions(marked.count()), "__h").sortWithinPartitions("__h").drop("__h")
     enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
     train = enc.where("__is_train").drop("__is_train")
     test = enc.where("NOT __is_train").drop("__is_train")
-    n_train = train.count()
+    sides = enc.agg(F.count_if("__is_train").alias("train"), F.count_if(~F.col("__is_train")).alias("test")).first()
+    n_train = sides["train"]
+    if not n_train or not sides["test"]:
+        enc.unpersist()
+        raise ValueError(f"Empty split: {n_train} training and {sides['test']} test rows; use exact_split=True")
     ctx = FitContext(n_train, num_classes, len(names), cfg, train)
+    over_budget: list[str] = []
     rows, models, skipped = [], {}, {}
     for idx, (name, build) in enumerate(REGISTRY[fam]):
         if cfg.models and name not in cfg.models:
@@ -277,9 +307,8 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
             est = build(ctx)
             model = est.fit(train)
             elapsed = time.time() - t0
-            if elapsed > cfg.timeout_seconds:
-                skipped[name] = f"exceeded timeout ({elapsed:.1f}s)"
-                continue
+            if cfg.timeout_seconds is not None and elapsed > cfg.timeout_seconds:
+                over_budget.append(name)
             pred = model.transform(test)
             try:
                 if fam == "classification":
@@ -314,4 +343,4 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
     enc.unpersist()
     best_metrics = dict(zip(["model", "model_idx", "accuracy", "precision", "recall", "f1", "mse", "r2",
                              "training_time"], best))
-    return CompareResult(fam, board, best_name, best_metrics, importance, models, fm, names, skipped)
+    return CompareResult(fam, board, best_name, best_metrics, importance, models, fm, names, skipped, over_budget)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import materialise
 from tessera.functions.scalars import pct2
 from tessera.functions.types import (
     qcol,
@@ -73,7 +74,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, compact: bo
     """``(col_idx, value, cnt)`` for every (column, text value) including the missing value (null).
 
     ``compact=True`` (for counting only): text longer than ``COMPACT_TEXT_BYTES``
-    is keyed by its 16-byte md5 in a separate column ``h`` (``value`` null), so
+    is keyed by its SHA-256 in a separate column ``h`` (``value`` null), so
     long documents are not shuffled in full just to be counted.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -83,7 +84,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, compact: bo
         text = as_text(f.name, f.dataType)
         if compact and column_class(f.dataType) == CATEGORICAL:
             long = F.octet_length(text) > F.lit(COMPACT_TEXT_BYTES)
-            value, h = F.when(~long, text), F.when(long, F.unhex(F.md5(text)))
+            value, h = F.when(~long, text), F.when(long, F.unhex(F.sha2(text, 256)))
         else:
             value, h = text, F.lit(None).cast("binary")
         cells.append(F.struct(F.lit(pos[f.name]).alias("col_idx"), value.alias("value"), h.alias("h")))
@@ -143,9 +144,14 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(rows, distinct_rows, duplicate_rows)``; null = null and NaN = NaN as in pandas."""
-    cols = [normalized(f.name, f.dataType).alias(f.name) if is_fractional(f.dataType) else qcol(f.name)
-            for f in df.schema.fields]
-    groups = df.select(cols).groupBy(*[_q(f.name) for f in df.schema.fields]).agg(F.count(F.lit(1)).alias("n"))
+    cols = []
+    for i, f in enumerate(df.schema.fields):
+        c = normalized(f.name, f.dataType) if is_fractional(f.dataType) else qcol(f.name)
+        if isinstance(f.dataType, T.StringType):  # long text meets as its digest
+            long = F.octet_length(c) > COMPACT_TEXT_BYTES
+            c = F.struct(F.when(~long, c).alias("text"), F.when(long, F.unhex(F.sha2(c, 256))).alias("digest"))
+        cols.append(c.alias(f"c{i}"))
+    groups = df.select(cols).groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
         F.count(F.lit(1)).cast("long").alias("distinct_rows"),
@@ -153,16 +159,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def table_profile(df: DataFrame, freq: DataFrame | None = None, dups: DataFrame | None = None) -> DataFrame:
+def table_profile(df: DataFrame, dups: DataFrame | None = None) -> DataFrame:
     """One row: rows, cols, missing cells, completeness %, quality score, duplicates, class counts."""
-    prof = column_profile(df, freq)
     dups = duplicate_rows(df) if dups is None else dups
     ncols = len(df.columns)
     classes = [column_class(f.dataType) for f in df.schema.fields]
-    per = prof.agg(
-        F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("rows"),
-        F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("total_missing"),
-    )
+    missing = [F.count_if(missing_mask(f.name, f.dataType)) for f in df.schema.fields]
+    per = df.agg(F.count(F.lit(1)).alias("rows"), sum(missing, F.lit(0)).cast("long").alias("total_missing"))
     cells = F.col("rows") * F.lit(ncols)
     complete = pct2(cells - F.col("total_missing"), cells)
     # two one-row aggregates side by side: union + max, no join
@@ -230,12 +233,14 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None,
     )
 
 
-def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def describe_categorical(df: DataFrame, columns: list[str] | None = None,
+                         freq: DataFrame | None = None) -> DataFrame:
     """count, unique, top, freq per categorical column (top tie → smallest value)."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if column_class(f.dataType) == CATEGORICAL]
-    freq = frequency_table(df, columns)
-    counts = _per_column_counts(df, freq)
+    freq = frequency_table(df, columns) if freq is None else freq
+    wanted = [i for i, f in enumerate(df.schema.fields) if f.name in columns]
+    counts = _per_column_counts(df, freq.where(F.col("col_idx").isin(wanted)))
     top = top_values(df, 1, columns, freq).select("column_idx", "value", "count")
     names = [f.name for f in df.schema.fields]
     return (
@@ -325,26 +330,21 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def empty_columns(df: DataFrame) -> list[str]:
-    fields = df.schema.fields
-    if not fields:
-        return []
-    r = df.agg(*[F.count_if(~missing_mask(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
-    return [f.name for i, f in enumerate(fields) if r[f"c{i}"] == 0]
-
-
-def profile(df: DataFrame, corr_max_cols: int = 25) -> dict[str, DataFrame]:
-    """Full bundle; the frequency table is computed once and shared."""
+def profile(df: DataFrame, corr_max_cols: int | None = None) -> dict[str, DataFrame]:
+    """Full bundle over all columns; the frequency table is written once to the shared folder and shared."""
     from tessera.operators.correlation import correlation_matrix
     from tessera.operators.sampling import numeric_sample
 
-    freq = frequency_table(df).persist()
-    dups = duplicate_rows(df).persist()
-    cats = [f.name for f in df.schema.fields if column_class(f.dataType) == CATEGORICAL]
+    freq = materialise(frequency_table(df), "profile-frequencies")
+    dups = duplicate_rows(df)
     return {
-        "table": table_profile(df, freq, dups),
+        "table": table_profile(df, dups=dups),
+        "schema": schema_frame(df),
+        "type_distribution": column_type_distribution(df),
         "columns": column_profile(df, freq),
-        "top_values": top_values(df, 10, cats[:3], freq),
+        "top_values": top_values(df, 10, None, freq),
+        "describe_categorical": describe_categorical(df, freq=freq),
+        "quality_breakdown": quality_breakdown(df),
         "samples": numeric_sample(df),
         "correlation": correlation_matrix(df, max_cols=corr_max_cols),
         "describe_numeric": describe_numeric(df),

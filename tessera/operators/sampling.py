@@ -9,11 +9,14 @@ never a full sort or a global window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import hash_bucket
 from tessera.functions.types import qcol, NUMERIC, column_class, normalized
+from tessera.session import checkpoint_root
 
 
 def _q(n: str) -> str:
@@ -26,34 +29,27 @@ def sample_key(keys: list[str], seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def numeric_sample(df: DataFrame, keys: list[str] | None = None, n: int = 100, max_columns: int = 3,
+def numeric_sample(df: DataFrame, keys: list[str] | None = None, n: int = 100, max_columns: int | None = None,
                    seed: int = 42) -> DataFrame:
-    """≤ n non-missing values of each of the first ``max_columns`` numeric columns (histogram input)."""
-    keys = keys or [df.columns[0]]
+    """≤ n non-missing values of each numeric column (histogram input), in hash order of the row.
+
+    Without keys the hash is of the whole row, so no column's order biases the
+    sample.  One scan: cells are ranked per column, and Spark cuts each task's
+    ranks at n before the shuffle.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     nums = [f.name for f in df.schema.fields if column_class(f.dataType) == NUMERIC][:max_columns]
-    parts = []
-    for c in nums:
-        v = normalized(c, types[c]).cast("double")
-        part = (
-            df.select(F.lit(c).alias("column_name"), v.alias("value"), sample_key(keys, seed).alias("h"),
-                      *[qcol(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-            .where(F.col("value").isNotNull())
-            .orderBy("h", *[f"__k{i}" for i in range(len(keys))], "value")
-            .limit(n)
-        )
-        w = part.select("column_name", "value", "h", *[f"__k{i}" for i in range(len(keys))])
-        parts.append(w)
-    if not parts:
+    if not nums:
         return df.sparkSession.createDataFrame([], "column_name string, rank int, value double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    from pyspark.sql import Window
-
-    # ≤ n rows per column survive the limits, so this window is over a bounded input
-    w = Window.partitionBy("column_name").orderBy("h", *[f"__k{i}" for i in range(len(keys))], "value")
-    return out.select("column_name", F.row_number().over(w).cast("int").alias("rank"), "value")
+    h = sample_key(keys, seed) if keys else F.xxhash64(*[qcol(c) for c in df.columns], F.lit(seed))
+    ties = [f"__k{i}" for i in range(len(keys or []))]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), normalized(c, types[c]).cast("double").alias("value"))
+                                for c in nums]))
+    stacked = df.select(h.alias("h"), *[qcol(k).alias(t) for k, t in zip(keys or [], ties)], cells.alias("cell")).select(
+        "h", *ties, "cell.column_name", "cell.value").where(F.col("value").isNotNull())
+    w = Window.partitionBy("column_name").orderBy("h", *ties, "value")
+    return stacked.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n).select(
+        "column_name", "rank", "value")
 
 
 def preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> DataFrame:
@@ -69,9 +65,19 @@ def preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> Dat
 def split_flag(keys: list[str], train_ratio: float = 0.8, seed: int = 42) -> Column:
     """True for the training side: md5 bucket (of 10,000) below ``ratio × 10,000``."""
     cut = int(round(float(train_ratio) * 10000))
+    if 0.0 < float(train_ratio) < 1.0:
+        cut = min(9999, max(1, cut))  # a ratio short of 1 keeps a test side
     return hash_bucket(keys, seed) < F.lit(cut)
 
 
+def exact_split_flag(df: DataFrame, keys: list[str], train_ratio: float = 0.8, seed: int = 42,
+                     name: str = "__train") -> DataFrame:
+    """Mark exactly ``ceil(n · (1 − ratio))`` rows as test (false): the first ones in hash order."""
+    n_test = math.ceil(round(df.count() * (1.0 - float(train_ratio)), 9))
+    ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[qcol(k) for k in keys])
+    return dense_index(ordered, "__i").withColumn(name, F.col("__i") >= F.lit(n_test)).drop("__h", "__i")
+
+
 def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio: float = 0.8,
                      seed: int = 42, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Reproducible split by hash bucket (no shuffle, no dependence on partitioning).
@@ -83,12 +89,7 @@ def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio:
     """
     keys = keys or list(df.columns)
     if exact:
-        import math
-
-        n = df.count()
-        n_test = math.ceil(round(n * (1.0 - float(train_ratio)), 9))
-        ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[qcol(k) for k in keys])
-        marked = dense_index(ordered, "__i").withColumn("__train", F.col("__i") >= F.lit(n_test)).drop("__h", "__i")
+        marked = exact_split_flag(df, keys, train_ratio, seed)
     else:
         marked = df.withColumn("__train", split_flag(keys, train_ratio, seed))
     return (marked.where("__train").drop("__train"), marked.where("NOT __train").drop("__train"))
@@ -107,10 +108,6 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
     is checkpointed so those ids are fixed, per-partition counts (one row per
     partition) give offsets, and ``idx = offset + row number``.
     """
-    from pyspark.sql import Window
-
-    from tessera.session import checkpoint_root
-
     checkpoint_root(df.sparkSession)
     ck = df.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col("__mid"), 33)

@@ -173,7 +173,11 @@ def analyze_target(df: DataFrame, column: str, order_by: list[str] | None = None
     u = F.col("unique_count")
     detected = (F.when(F.lit(loose) & (u <= 10) & F.col("all_whole"), "classification")
                 .when(F.lit(loose), "regression").otherwise("classification"))
-    one = stats.withColumn("__k", F.lit(1)).join(F.broadcast(sample.withColumn("__k", F.lit(1))), "__k")
+    # two one-row aggregates side by side: union + max, no join
+    names = ["total_rows", "missing_count", "unique_count", "all_whole"]
+    empty = [F.lit(None).cast(stats.schema[c].dataType).alias(c) for c in names]
+    one = stats.withColumn("sample_values", F.lit(None).cast("string")).unionByName(
+        sample.select(*empty, "sample_values")).agg(*[F.max(c).alias(c) for c in [*names, "sample_values"]])
     return one.select(
         F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.lit(column).alias("column_name"),
         u.cast("long").alias("unique_count"), F.col("missing_count").cast("long").alias("missing_count"),
@@ -199,7 +203,7 @@ def quick_type(df: DataFrame, order_by: list[str] | None = None, n: int = 5) ->
                  normalized(c, types[c]).cast("string").alias("v"))
         for i, c in enumerate(df.columns)
     ])).alias("s")).select("s.*").where(F.col("v").isNotNull() & (F.col("v") != ""))
-    num = F.try_cast(F.col("v"), "double") if hasattr(F, "try_cast") else F.expr("try_cast(v AS DOUBLE)")
+    num = F.col("v").try_cast("double")
     agg = stacked.groupBy("column_idx", "column_name").agg(
         F.count_distinct("v").alias("unique_values"),
         F.count_if(num.isNotNull() & (num != F.floor(num))).alias("fractional"),

@@ -92,7 +92,7 @@ def q_top_categories(spark, sf):
     out = None
     for t in ("orders", "part", "conversations"):
         df = table(spark, sf, t)
-        cats = [f.name for f in df.schema.fields if profile.column_class(f.dataType) == "categorical"][:3]
+        cats = [f.name for f in df.schema.fields if profile.column_class(f.dataType) == "categorical"]
         p = profile.top_values(df, 10, cats).select(F.lit(t).alias("table_name"), "column_name", "rank", "value",
                                                     "count")
         out = p if out is None else out.unionByName(p)
@@ -114,7 +114,9 @@ def q_describe_categorical(spark, sf):
 
 @register("correlation_matrix")
 def q_correlation_matrix(spark, sf):
-    c = correlation.correlation_matrix(lineitem_gaps(spark, sf))
+    gaps = lineitem_gaps(spark, sf)
+    tax = F.when(F.col("l_orderkey") % 19 == 0, F.lit(float("inf"))).otherwise(F.col("l_tax"))
+    c = correlation.correlation_matrix(gaps.withColumn("l_tax", tax))
     return c.select("i", "col_i", "j", "col_j", _r6("corr"), "truncated")
 
 

@@ -70,24 +70,39 @@ def parse_first_sheet(data: bytes) -> list[list[str | None]]:
     return rows
 
 
+def _header_names(cells: list[str | None]) -> list[str]:
+    """Column names as the pandas reader gives them: blanks are numbered, repeats get a suffix."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, h in enumerate(cells):
+        name = h if h is not None else f"Unnamed: {i}"
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
 def _explode_sheets(batches):
+    """One row per sheet row: its cells by the names of its own workbook's header."""
     import pandas as pd
 
     for pdf in batches:
         out = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            for i, cells in enumerate(parse_first_sheet(bytes(content))):
-                out.append((path, i, cells))
-        yield pd.DataFrame(out, columns=["path", "row_idx", "cells"])
+            rows = parse_first_sheet(bytes(content))
+            width = max(map(len, rows), default=0)
+            names = _header_names([*rows[0], *[None] * (width - len(rows[0]))]) if rows else []
+            out += [(path, i, names, dict(zip(names, cells))) for i, cells in enumerate(rows)]
+        yield pd.DataFrame(out, columns=["path", "row_idx", "names", "cells"])
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    rows = files.mapInPandas(_explode_sheets, "path string, row_idx long, cells array<string>")
-    header_row = rows.where("row_idx = 0").orderBy("path").select("cells").first()
-    if header_row is None:
+    """All workbooks under ``path``; columns are the union of their headers, in the order of file and place."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
+    rows = files.mapInPandas(_explode_sheets, "path string, row_idx long, names array<string>, cells map<string,string>")
+    headers = rows.where("row_idx = 0").select("path", F.posexplode("names").alias("place", "name"))
+    first = headers.groupBy("name").agg(F.min(F.struct("path", "place")).alias("first")).orderBy("first").collect()  # one row a column
+    if not first:
         raise ValueError("File contains no data.")
-    header = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header_row["cells"])]
-    body = rows.where("row_idx > 0").select(
-        *[F.try_element_at("cells", F.lit(i + 1)).alias(h) for i, h in enumerate(header)])
+    body = rows.where("row_idx > 0").select(*[F.col("cells")[r["name"]].alias(r["name"]) for r in first])
     return infer_types(normalize_missing(body))

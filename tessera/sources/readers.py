@@ -16,11 +16,18 @@ PANDAS_NA_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# fixed values: accepted upload extensions
-UPLOAD_EXTENSIONS = ("csv", "xlsx", "xls")
+# accepted upload extensions (the old binary .xls is not read)
+UPLOAD_EXTENSIONS = ("csv", "xlsx")
 TABLE_EXTENSIONS = UPLOAD_EXTENSIONS + ("parquet",)
 
 _BOOL_TOKENS = ("true", "false")
+# what reads as a number: no type letters, no hexadecimal floats
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_REAL = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+
+
+def _number(c, kind: str):
+    return F.when(c.rlike(_INTEGER if kind == "bigint" else _REAL), F.trim(c).try_cast(kind))
 
 
 def file_extension(path: str) -> str:
@@ -33,11 +40,12 @@ def allowed_file(name: str, extensions=UPLOAD_EXTENSIONS) -> bool:
     return bool(name) and file_extension(name) in extensions
 
 
+# fixed values: the upload messages
 def validate_upload(name: str | None, size_bytes: int | None = None) -> tuple[bool, str]:
     if not name:
         return False, "No file selected"
     if not allowed_file(name):
-        return False, "Invalid file type. Only CSV, XLSX, and XLS files are supported."
+        return False, "Invalid file type. Only CSV and XLSX files are supported."
     if size_bytes is not None and size_bytes == 0:
         return False, "File is empty."
     return True, "File validation passed"
@@ -79,8 +87,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         c = qcol(n)
         aggs += [
             F.count(c).alias(f"n{i}"),
-            F.count(F.expr(f"try_cast(`{n}` AS BIGINT)")).alias(f"l{i}"),
-            F.count(F.expr(f"try_cast(`{n}` AS DOUBLE)")).alias(f"d{i}"),
+            F.count(_number(c, "bigint")).alias(f"l{i}"),
+            F.count(_number(c, "double")).alias(f"d{i}"),
             F.count(F.when(F.lower(F.trim(c)).isin(*_BOOL_TOKENS), 1)).alias(f"b{i}"),
         ]
     r = df.agg(*aggs).first()
@@ -102,19 +110,36 @@ def infer_types(df: DataFrame) -> DataFrame:
         if t == "boolean":
             c = F.lower(F.trim(c)) == F.lit("true")
         elif t:
-            c = F.expr(f"try_cast(`{f.name}` AS {t.upper()})")
+            c = _number(c, t)
         cols.append(c.alias(f.name))
     return df.select(cols)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
-    """CSV with header; missing tokens normalised, types inferred as the pandas reader would."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_tokens=PANDAS_NA_TOKENS,
+             multi_line: bool | None = None) -> DataFrame:
+    """CSV with header; missing tokens normalised, types inferred as the pandas reader would.
+
+    ``multi_line=None`` looks whether a line has an odd number of quotes; only then
+    are files read unsplit, as quoted line breaks need.  Rows shorter than the header
+    end in missing cells; a row with more cells raises, as in pandas.
+    """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return normalize_missing(reader.schema(schema).csv(path), na_tokens)
-    raw = reader.option("inferSchema", False).csv(path)
-    return infer_types(normalize_missing(raw, na_tokens))
+    names = reader.option("inferSchema", False).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    odd = "__bad_row"
+    checked = reader.option("columnNameOfCorruptRecord", odd).option("enforceSchema", True).schema(
+        T.StructType([*text.fields, T.StructField(odd, T.StringType())])).csv(path)
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    cells = F.from_csv(F.col(odd), wide.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+    extra = checked.withColumn("__more", cells[f"c{len(names)}"]).where("__more IS NOT NULL").limit(1).collect()
+    if extra:
+        raise ValueError(f"A row has more than the {len(names)} cells of the header: {extra[0][odd][:200]}")
+    return infer_types(normalize_missing(checked.drop(odd), na_tokens))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,

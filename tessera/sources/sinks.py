@@ -60,8 +60,7 @@ class ModelPackage:
         if self.family == "classification" and self.features.spec.target_kind == "text":
             vocab = self.features.target_vocab.select(F.col("code").cast("double").alias("prediction"),
                                                       F.col("value").alias("predicted_label"))
-            size = self.features.spec.target_classes or 0
-            out = out.join(F.broadcast(vocab) if size <= 1_000_000 else vocab, "prediction", "left")
+            out = out.join(vocab, "prediction", "left")  # class names are texts of any length: Spark decides by their size
         return out
 
 
@@ -101,8 +100,7 @@ class RunStore:
         self.spark, self.base = spark, base.rstrip("/")
 
     def put(self, run_id: str, name: str, df: DataFrame) -> None:
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id")
+        (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
          .parquet(f"{self.base}/{name}"))
 
     def get(self, run_id: str, name: str) -> DataFrame:

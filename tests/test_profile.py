@@ -110,7 +110,9 @@ def test_profile_bundle(spark):
         F.col("id"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("s"),
         F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") * 2.0).alias("y"))
     b = profile.profile(df)
-    assert set(b) == {"table", "columns", "top_values", "samples", "correlation", "describe_numeric", "logical_bytes"}
+    assert set(b) == {"table", "schema", "type_distribution", "columns", "top_values", "describe_categorical", "quality_breakdown",
+                      "samples", "correlation", "describe_numeric", "logical_bytes"}
+    assert all(d.count() for d in b.values())
     t = b["table"].first()
     assert t["rows"] == 200 and t["cols"] == 4 and t["total_missing"] == 50
     assert b["columns"].count() == 4 and b["top_values"].count() == 3
