@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import pct2, whole_number
-from tessera.functions.types import qcol, CATEGORICAL, column_class, is_loose_numeric, missing_mask, normalized
+from tessera.functions.types import qcol, CATEGORICAL, as_text, column_class, is_loose_numeric, missing_mask, normalized
 from tessera.operators.profile import column_profile, frequency_table
 
 # fixed values: exact (case-insensitive) target-name matches
@@ -94,13 +94,35 @@ def detect_target(df: DataFrame) -> tuple[str, str]:
     return t.name, problem_type_rule(t.loose_numeric, t.unique)
 
 
+def columns_to_profile(df: DataFrame, head_rows: int = 2000) -> list[str]:
+    """The columns that the target rule has to count over all rows.
+
+    Some rows settle most columns for good: a column that has a value there has
+    one, and a column with more than 10 values there has more than 10.  So a
+    first named column with a value is the target, and else nothing behind the
+    first text column with a value can be chosen, nor a number with more than 10
+    values.  Whatever the rows leave open is counted in full.
+    """
+    fields = df.schema.fields
+    seen = df.limit(head_rows).agg(*[F.count_distinct(as_text(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+    values = [seen[f"c{i}"] for i in range(len(fields))]
+    named = [i for i, f in enumerate(fields) if f.name.lower() in TARGET_NAMES]
+    if named and values[named[0]]:
+        return [fields[named[0]].name]
+    text = [column_class(f.dataType) == CATEGORICAL for f in fields]
+    sure = next((i for i in range(len(fields)) if text[i] and values[i]), None)
+    if named or sure is None:
+        return [f.name for f in fields]
+    return [f.name for i, f in enumerate(fields[: sure + 1]) if text[i] or values[i] <= 10]
+
+
 def detect_target_frame(df: DataFrame) -> DataFrame:
-    """Lazy form of the target rule: ``(target, problem_type, unique_values)``.
+    """The target rule as a frame: ``(target, problem_type, unique_values)``.
 
-    The rule runs as an ``agg`` over the per-column profile (≤ one row per
-    column), so it stays one Spark job with one shuffle.
+    The rule runs as an ``agg`` over the profile of the columns that can be
+    chosen (≤ one row per column); see :func:`columns_to_profile`.
     """
-    prof = column_profile(df)
+    prof = column_profile(df, frequency_table(df, columns_to_profile(df), compact=True))
     fields = df.schema.fields
     text = F.element_at(F.array(*[F.lit(column_class(f.dataType) == CATEGORICAL) for f in fields]),
                         F.col("column_idx") + 1)

@@ -168,3 +168,24 @@ def q_permutation_importance(spark, sf):
     test = res.features.transform(df.where(~split_flag(["c_custkey"], 0.8, 42)))
     return permutation_importance(res.models[name], test, res.feature_names, res.family, repeats=5, seed=42).select(
         F.lit(name).alias("model"), "feature", "importance")
+
+
+# ------------------------------------------------------------------ fits with a closed form, checked by SQL
+@register("train_linear_lineitem")
+def q_train_linear_lineitem(spark, sf):
+    """Price by quantity over all of lineitem: one-feature least squares through the compare job."""
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    res = compare_models(df, TrainConfig("l_extendedprice", "regression", models=("LinearRegression",)))
+    imp = res.importance.select("model", "feature", F.round("importance", 3).alias("importance"))
+    return res.leaderboard.select("model", F.format_string("%.6e", F.col("mse")).alias("mse_sci"), _r6("r2")).join(imp, "model")
+
+
+@register("train_tree_lineitem")
+def q_train_tree_lineitem(spark, sf):
+    """A noisy label by order size: a tree of one split, whose leaves predict the majority class."""
+    big = F.col("l_quantity") > 25
+    df = table(spark, sf, "lineitem").select(
+        F.when(big, "big").otherwise("small").alias("size"), "l_extendedprice",
+        F.when(big != (F.col("l_orderkey") % 5 == 0), "A").otherwise("B").alias("label"))
+    res = compare_models(df, TrainConfig("label", "binary", models=("DecisionTree",), max_depth=1))
+    return res.leaderboard.select("model", _r6("accuracy"), _r6("precision"), _r6("recall"), _r6("f1"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans.catalog_models import CLASSIFICATION_RULES, REGRESSION_RULES
-from tessera.plans.oracle import ORACLE
+from tessera.plans.oracle import ORACLE, md5_head_sql
 
 _CLASS_SRC = {
     "inverse_toxic": "SELECT CAST(quality AS VARCHAR) AS y, CAST(1 - toxic AS VARCHAR) AS p FROM labels",
@@ -61,3 +61,34 @@ ORACLE["display_score"] = (
     f"SELECT model AS rule, round(COALESCE(NULLIF(accuracy, 0), CAST(NULL AS DOUBLE), 0.0), 6) AS display_score "
     f"FROM ({_CB})\nUNION ALL SELECT model, round(COALESCE(NULLIF(r2, 0), 0.0), 6) FROM ({_RB})"
 )
+
+
+# ------------------------------------------------------------------ fits with a closed form
+def _split_sql(columns: list[str], keys: list[str]) -> str:
+    return f"SELECT {', '.join(columns)}, ({md5_head_sql(keys)} % 10000) < 8000 AS is_train FROM lineitem"
+
+
+ORACLE["train_linear_lineitem"] = (
+    f"WITH t AS ({_split_sql(['l_quantity', 'l_extendedprice'], ['l_quantity', 'l_extendedprice'])}), "
+    "f AS (SELECT regr_slope(l_extendedprice, l_quantity) FILTER (is_train) AS b, "
+    "regr_intercept(l_extendedprice, l_quantity) FILTER (is_train) AS a, stddev_pop(l_quantity) AS s FROM t), "
+    "e AS (SELECT l_extendedprice AS y, a + b * l_quantity AS p FROM t, f WHERE NOT is_train) "
+    "SELECT 'LinearRegression' AS model, printf('%.6e', avg((y - p) * (y - p))) AS mse_sci, "
+    "round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, 'num__l_quantity' AS feature, "
+    "round((SELECT abs(b) * s FROM f), 3) AS importance FROM e"
+)
+
+_SIZES = (
+    "SELECT CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size, l_extendedprice, "
+    "CASE WHEN (l_quantity > 25) <> (l_orderkey % 5 = 0) THEN 'A' ELSE 'B' END AS label FROM lineitem"
+)
+_SIZES = f"SELECT *, ({md5_head_sql(['size', 'l_extendedprice', 'label'])} % 10000) < 8000 AS is_train FROM ({_SIZES})"
+_CLASS_SRC["majority"] = (
+    f"SELECT t.label AS y, m.p FROM ({_SIZES}) t JOIN (SELECT size, arg_max(label, n) AS p FROM "
+    f"(SELECT size, label, count(*) AS n FROM ({_SIZES}) WHERE is_train GROUP BY ALL) GROUP BY size) m USING (size) "
+    "WHERE NOT t.is_train"
+)
+ORACLE["train_tree_lineitem"] = (
+    "SELECT 'DecisionTree' AS model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, "
+    f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({class_metrics_sql('majority', 0)})"
+)

@@ -198,3 +198,23 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+def test_exact_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from tessera.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    columns = {"u": rng.normal(size=30_000), "ties": rng.integers(0, 3, 30_000).astype(float), "steep": np.exp(rng.normal(size=30_000) * 8), "few": np.r_[1.0, 2.0, 4.0, np.full(29_997, np.nan)], "none": np.full(30_000, np.nan)}
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    got = {(r.column_idx, r.prob_idx): r.value for r in exact_quantiles(df, list(columns), (0.0, 0.25, 0.5, 0.999, 1.0)).collect()}
+    for i, (name, x) in enumerate(columns.items()):
+        x = x[~np.isnan(x)]
+        for k, q in enumerate((0.0, 0.25, 0.5, 0.999, 1.0)):
+            if len(x):
+                assert abs(got[i, k] - np.quantile(x, q)) <= 1e-9 * abs(np.quantile(x, q)) + 1e-12, (name, q)
+            else:
+                assert (i, k) not in got
