@@ -1,41 +1,56 @@
-"""Connected components of a graph kept in DataFrames, by alternating large-star and small-star rounds.
-
-Each round hangs the neighbours of a node under their smallest neighbour
-(Kiveris et al. 2014); chains halve, stars stay, and the rounds end when no
-edge changes.  Rounds are written to the shared folder, so none is recomputed
-after a lost executor; nothing but two sums reaches the driver.
+"""Connected components of a graph kept in DataFrames, by contraction.
+
+Each round every node picks the least of itself and its neighbours, and edges
+move to what their ends picked.  The first round compares ids, which ends at
+once for stars around their smallest id; later ones compare hashes, so that
+chains shrink by a constant share too.  When no edge is left the picks of the
+rounds are composed, and each group is named by its smallest id.  Rounds are
+written to the shared folder, so none is recomputed after a lost executor.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
 
-def _under_smallest(edges: DataFrame, larger: bool) -> DataFrame:
-    """Edges (a < b): large-star links each larger neighbour of a node to the smallest of its
-    neighbours and itself, small-star does so for the smaller neighbours and the node."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if larger:
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        hung = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
-    else:
-        down = both.where("b < a")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        hung = down.join(least, "a").select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-    return hung.where("a < b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): for every id in ``edges`` (a, b), the smallest id reachable."""
-    now = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components")
-    before = None
+    """(id, component): for every id in ``edges`` (a, b) but for loops, the smallest id reachable."""
+    now = materialise(edges.where("a <> b").select("a", "b"), "components-edges")
+    rounds: list[DataFrame] = []
+    while not rounds or now.limit(1).count():
+
+        def rank(node: str, first: bool = not rounds) -> Column:
+            return F.struct((F.lit(0) if first else F.xxhash64(node)).alias("order"), F.col(node).alias("id"))
+
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("least"))
+        pick = materialise(least.select(F.col("a").alias("id"), F.least("least", rank("a"))["id"].alias("pick")), "components-picks")
+        rounds.append(pick)
+        left, right = pick.toDF("a", "x"), pick.toDF("b", "y")
+        moved = now.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        now = materialise(moved.distinct(), "components-edges")
+    named = rounds[0]
+    for pick in rounds[1:]:
+        named = named.join(pick.toDF("pick", "next"), "pick", "left").select("id", F.coalesce("next", "pick").alias("pick"))
+    smallest = named.groupBy("pick").agg(F.min("id").alias("component"))
+    return named.join(smallest, "pick").select("id", "component")
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index in the component of each of ``n`` nodes, from edges a - b."""
+    root = np.arange(n)
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        now = materialise(_under_smallest(_under_smallest(now, True), False), "components")
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import components, local_roots
 from tessera.llm.topk import usable
 from tessera.session import materialise
 
@@ -101,22 +101,6 @@ def unit(vectors) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index in the component of each of ``n`` nodes, from edges a - b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def links(nodes: DataFrame, cosine: float) -> DataFrame:
     """(id, n, root) for nodes (id, label, dim, vector, copies): linked rows of other nodes, and a smaller or
     equal id in the same component; possibly several rows an id."""

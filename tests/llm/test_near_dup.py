@@ -33,16 +33,17 @@ def brute(rows, percent=80):
 
 
 def brute_signature(found):
-    mask, out = (1 << 64) - 1, [int(n.UNSET)] * n.SLOTS
+    slots = n.ROWS * n.BANDS
+    mask, out = (1 << 64) - 1, [int(n.UNSET)] * slots
 
     def mixed(x):
         return int(n.mixed(np.array([x], np.uint64))[0])
 
     for e in found.tolist():
-        p = list(range(n.SLOTS))
-        for rank in range(n.SLOTS):
+        p = list(range(slots))
+        for rank in range(slots):
             draw = mixed((e + (2 * rank + 1) * 0x9E3779B97F4A7C15) & mask)
-            k = rank + mixed(draw) % (n.SLOTS - rank)
+            k = rank + mixed(draw) % (slots - rank)
             p[rank], p[k] = p[k], p[rank]
             out[p[rank]] = min(out[p[rank]], (rank << 56) | (draw >> 8))
     return out
@@ -63,6 +64,15 @@ def test_signature_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.12
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    for columns in (7, 20_000):
+        got = n.shared_counts(sets[:12], sets[5:], columns)
+        assert (got == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:12]]).all()
+    assert (n.shared_counts([sets[0]], [sets[1] + np.uint64(1000)]) == 0).all()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7)]
@@ -105,14 +115,30 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_pivot_rounds_reach_every_pair(spark, monkeypatch):
+@pytest.mark.parametrize("bands", [1, 8])
+def test_blocks_reach_every_pair(spark, bands):
     """With one slot a band the buckets hold many documents that are not similar."""
-    monkeypatch.setattr(n, "ROWS", 1)
-    monkeypatch.setattr(n, "BANDS", 8)
-    monkeypatch.setattr(n, "SLOTS", 8)
-    rows = corpus(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    copies = []
+    for _ in range(60):  # from hardly to heavily edited
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+        copies.append(" ".join(copy))
+    rows = corpus(5) + [(1000 + i, t) for i, t in enumerate(copies)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rows=1, bands=bands, part=700).collect()}
+    want = brute(rows)
+    if bands == 8:
+        assert got == want
+    else:  # few pairs share the only slot, but all of those are found or joined
+        sketches = [(i, n.shingles((t or "").encode(), n.WordHashes())) for i, t in rows]
+        full = [(i, s, int(n.signatures([s], 1)[0, 0])) for i, s in sketches if len(s)]
+        for k, (i, a, x) in enumerate(full):
+            for j, b, y in full[k + 1 :]:
+                same = len(np.intersect1d(a, b))
+                if x == y and 100 * same >= 80 * (len(a) + len(b) - same):
+                    assert got[i][1] == got[j][1]
 
 
 def test_edges(spark):
