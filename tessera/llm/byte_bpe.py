@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded at a time, and distinct pieces remembered between blocks of a task (both bound memory only).
-BLOCK_CHARS, REMEMBERED = 4_000_000, 400_000
+BLOCK_CHARS, REMEMBERED = 8_000_000, 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,62 +42,79 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of each distinct piece, by replaying all merges over all pieces at once."""
-    tokens: list[bytes | None] = []
-    starts, after = [], []
-    for piece in pieces:
-        starts.append(len(tokens))
-        tokens.extend(piece[i : i + 1] for i in range(len(piece)))
-        tokens.append(None)  # no pair crosses the end of a piece
-    after = list(range(1, len(tokens) + 1))
-    before = list(range(-1, len(tokens) - 1))
-    index: dict[int, list[int]] = {}
-    for at in range(len(tokens) - 1):
-        if tokens[at] is not None and tokens[at + 1] is not None and (rank := ranks.get(tokens[at] + tokens[at + 1])) is not None:
-            index.setdefault(rank, []).append(at)
-    queue = list(index)
-    heapq.heapify(queue)
-    made = {rank: token for token, rank in ranks.items()}
-
-    def look_up(at: int) -> int | None:
-        """Index the pair that starts here; its rank."""
-        left, right = tokens[at], tokens[after[at]]
-        rank = ranks.get(left + right) if left is not None and right is not None else None
-        if rank is not None:
-            if rank not in index:
-                index[rank] = []
-                heapq.heappush(queue, rank)
-            index[rank].append(at)
-        return rank
-
+def mergeable(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left id * 2^32 + right id -> rank of what the two make, for every pair that makes a token."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    return pairs
+
+
+def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of each distinct piece, by replaying all merges over all pieces at once."""
+    if not pieces:
+        return []
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
+    starts = 1 + np.cumsum([0, *(len(p) + 1 for p in pieces)])  # a piece and the gap behind it
+    ids = single[raw]
+    ids[starts - 1] = -1  # no pair crosses a gap
+    first = np.full((256, 256), -1, np.int64)
+    for left in range(256):
+        for right in range(256):
+            first[left, right] = pairs.get(int(single[left]) << 32 | int(single[right]), -1)
+    made = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), first[raw[:-1], raw[1:]], -1)
+    order = np.argsort(made, kind="stable")[np.count_nonzero(made < 0) :]
+    rank, at = np.unique(made[order], return_index=True)
+    index = dict(zip(rank.tolist(), (x.tolist() for x in np.split(order, at[1:])), strict=True)) if len(order) else {}
+    queue = list(index)  # ascending, so a heap
+    token, after, before = ids.tolist(), list(range(1, len(ids) + 1)), [0, *range(len(ids) - 1)]
     while queue:
         rank = heapq.heappop(queue)
-        places, whole = sorted(set(index.pop(rank))), made[rank]
+        places = index.pop(rank)
+        places.sort()
         for n, at in enumerate(places):
-            left = tokens[at]
-            if left is None or (right := tokens[after[at]]) is None or left + right != whole:
+            left, gone = token[at], after[at]
+            if left < 0 or token[gone] < 0 or pairs.get(left << 32 | token[gone]) != rank:
                 continue  # an earlier merge took one of the two
-            gone = after[at]
-            tokens[at], tokens[gone], after[at] = whole, None, after[gone]
-            before[after[gone]] = at
-            fresh = [look_up(at)]
-            if before[at] >= 0 and tokens[before[at]] is not None:
-                fresh.append(look_up(before[at]))
-            if any(r is not None and r < rank for r in fresh):  # that one comes first
-                rest = index.setdefault(rank, [])
-                if not rest:
+            right, lower = after[gone], False
+            token[at], token[gone], after[at], before[right] = rank, -1, right, at
+            if token[right] >= 0 and (made := pairs.get(rank << 32 | token[right])) is not None:
+                if made in index:
+                    index[made].append(at)
+                else:
+                    index[made] = [at]
+                    heapq.heappush(queue, made)
+                lower = made < rank
+            left = before[at]
+            if token[left] >= 0 and (made := pairs.get(token[left] << 32 | rank)) is not None:
+                if made in index:
+                    index[made].append(left)
+                else:
+                    index[made] = [left]
+                    heapq.heappush(queue, made)
+                lower = lower or made < rank
+            if lower:  # that one comes first
+                if rank not in index:
+                    index[rank] = []
                     heapq.heappush(queue, rank)
-                rest.extend(places[n + 1 :])
+                index[rank].extend(places[n + 1 :])
                 break
-    out = []
-    for start in starts:
-        ids, at = [], start
-        while tokens[at] is not None:
-            ids.append(ranks[tokens[at]])
-            at = after[at]
-        out.append(ids)
-    return out
+    ids = np.array(token)
+    ends = 4 * np.cumsum(np.add.reduceat(ids >= 0, starts[:-1]))
+    coded = ids[ids >= 0].astype("<u4").tobytes()
+    return [coded[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+class Seen(dict):
+    """piece -> its number, given at first sight."""
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        return number
 
 
 def blocks(texts: list[str | None]) -> Iterator[slice]:
@@ -114,26 +131,23 @@ def blocks(texts: list[str | None]) -> Iterator[slice]:
 class Encoder:
     """Encodes blocks of texts; pieces seen in earlier blocks of the task are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        size = max(ranks.values()) + 1
-        self.bytes_of: list[bytes] = [b""] * size
+        self.ranks, self.pairs, self.find = ranks, pairs, regex.compile(pattern).findall
+        self.seen, self.ids = Seen(), []
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(text) if text else [] for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({piece for pieces in split for piece in pieces} - self.known.keys())
-        coded = replay([piece.encode() for piece in new], self.ranks)
-        self.known.update((piece, np.array(ids, "<u4").tobytes()) for piece, ids in zip(new, coded, strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.ids = Seen(), []
+        split = [np.fromiter(map(self.seen.__getitem__, self.find(text or "")), np.int32) for text in texts]
+        new = list(self.seen)[len(self.ids) :]
+        self.ids += replay([piece.encode() for piece in new], self.ranks, self.pairs)
+        return [b"".join(map(self.ids.__getitem__, numbers.tolist())) for numbers in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -144,14 +158,15 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     little-endian unsigned 32-bit integers) and ``decoded`` (the bytes that the ids decode to)."""
     import public_tokenizers
 
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
+    ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
+    sent = df.sparkSession.sparkContext.broadcast((ranks, mergeable(ranks)))
     pattern = pattern or public_tokenizers.PATTERN
     kept = [f for f in df.schema.fields if f.name not in (text, *outputs)]
     kinds = {"token_ids": T.ArrayType(T.IntegerType(), False), "ids_le": T.BinaryType(), "decoded": T.BinaryType()}
     schema = T.StructType([*kept, *[T.StructField(name, kinds[name], False) for name in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = Encoder(*sent.value, pattern)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for part in blocks(texts):
