@@ -11,8 +11,8 @@ of the vocabulary.
 What is counted covers all training texts: words (one row a distinct word and task,
 then summed), unit bigrams (likewise; at most the square of the number of units after the sum).
 A clustering round adds up, task by task, how often each unit stands before and
-after each class; units times classes of these counts decide the moves.  In scoring, the 200,000 most
-frequent words of at most 64 bytes go with the tasks (a bounded table); counts of
+after each class; units times classes of these counts decide the moves.  In scoring, up to 200,000
+of the most frequent words of at most 64 bytes go with the tasks (a bounded table); counts of
 the others are joined to the texts' distinct other words.
 
 P(class | class before) is smoothed by adding five times P(class); a share u of
@@ -247,13 +247,29 @@ class Model:
     n_words: int
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """Rows (word, n) of at most ``most`` words, the most frequent ones; down to the same count (within 1 %) or none.
+
+    A histogram of the counts' logarithms finds the cut, so only the chosen words reach the driver.
+    """
+    short = counts.where(F.length("word") <= LONGEST).withColumn("bin", F.floor(F.log2("n") * 64).cast("int"))
+    cut, total = None, 0
+    for r in sorted(short.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):  # 64 bins a doubling
+        total += r.words
+        if total > most:
+            break
+        cut = r.bin
+    chosen = [] if cut is None else short.where(F.col("bin") >= cut).select("word", "n").collect()
+    return sorted(chosen, key=lambda r: (-r.n, r.word))
+
+
 def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model and the table (word, n) of all training words."""
     counts = materialise(count_words(texts), "lm-words")
     total, distinct, single = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
     ends = texts.count()
     n_tokens, n_words = (total or 0) + ends, distinct + (ends > 0)
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(shape.dictionary).collect()  # so many words of LONGEST bytes
+    top = frequent(counts, shape.dictionary)  # at most so many words of LONGEST bytes
     words = [bytes(r.word) for r in top]
     sent = texts.sparkSession.sparkContext.broadcast(words)
     classes, bigrams = exchange(materialise(count_pairs(texts, sent, shape), "lm-pairs"), shape)

@@ -103,6 +103,12 @@ def test_best_class_against_the_likelihood():
         assert tries[best] >= max(tries) - 1e-5
 
 
+def test_frequent_words(spark):
+    df = spark.createDataFrame([(b"w%d" % i, 1000 - i) for i in range(50)] + [(b"x" * 65, 5000)] + [(b"t%d" % i, 7) for i in range(40)], "word binary, n long")
+    assert [bytes(r.word) for r in c.frequent(df, 1000)][:3] == [b"w0", b"w1", b"w2"] and len(c.frequent(df, 1000)) == 90
+    assert len(c.frequent(df, 60)) == 50 and 0 < len(c.frequent(df, 30)) <= 30 and c.frequent(df.limit(0), 5) == []
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert run(df)[0] == []
