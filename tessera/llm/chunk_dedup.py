@@ -1,16 +1,22 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text's UTF-8 bytes are cut where the gear hash of the last 16 bytes has five
-zero bits, at least 16 bytes after the last cut and at most 256, so cuts move
-with the content and an insertion changes the chunks around it only.  The
-document with the smallest doc_id that holds a chunk owns it.  In every other
-document a run of chunks that others own is cut out if it is at least
-``min_run`` bytes long: less than what a passage of 50 words leaves between its
-first and last cut, more than a line by chance.  A cut keeps whole words.
-
-One row a distinct chunk and document is shuffled, with a 128-bit digest; a
-chunk that all documents share is reduced by partial aggregation, and its rows
-meet their owner in a join that Spark can split, never in one group.
+A text's UTF-8 bytes are cut where the gear hash of the last 16 bytes has three
+zero bits, at least 4 bytes after the last cut and at most 256, so cuts move
+with the content and an insertion changes the chunks around it only.  What is
+compared are windows: from every cut the shortest run of whole chunks with
+``min_run`` bytes at least, and the last such run of the text.  The document
+with the smallest doc_id that holds a window owns it; in every other document
+the union of the windows that others own is cut out, so a repeated passage goes
+from its first to its last common cut, and nothing below ``min_run`` bytes that
+texts share by chance does.  A cut keeps whole words.
+
+Only text that is repeated somewhere sends its windows.  It is found by anchors:
+of every ``min_run`` bytes the smallest 40-bit gear hash of 32 of them (some two
+in 65 bytes).  Equal windows have equal anchors, so none is missed; a hash that
+two texts share by chance costs a few rows.  One row a distinct anchor or window
+and document is shuffled, windows with a 128-bit digest; what all documents
+share is reduced by partial aggregation, and its rows meet their owner in a join
+that Spark can split, never in one group.
 
 Defined cases: a null or empty text has no chunks and stays; rows without a
 doc_id take no part and come back unchanged; rows that repeat a doc_id are one
@@ -29,9 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.near_dup import mixed
+
 #: Bytes: shortest and longest chunk, shortest run that is cut out.  Zero bits at a cut.
-SHORTEST, LONGEST, MIN_RUN, CUT_BITS = 16, 256, 96, 5
+SHORTEST, LONGEST, MIN_RUN, CUT_BITS = 4, 256, 96, 3
+#: Bytes of a chunk above which its words are chunks; bits of an anchor.
+SPARSE, ANCHOR_BITS = 64, 40
 GEAR = np.random.default_rng(20_250_101).integers(0, 1 << 16, 256, dtype=np.uint16)
+ANCHOR_GEAR = np.random.default_rng(20_250_102).integers(0, 1 << 64, 256, dtype=np.uint64)
 SPACES = b" \t\n\v\f\r"
 
 
@@ -57,53 +68,117 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def digests(data: bytes) -> tuple[list[int], list[bytes]]:
-    """Ends and 128-bit digests of the chunks."""
-    ends = cuts(data)
-    return ends, [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+def windows(data: bytes, min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops, in bytes: the shortest run of chunks with ``min_run`` bytes at least from every cut, and the last one of the text.
+
+    In a chunk of over ``SPARSE`` bytes (one word over and over may have no cut) the words are chunks.
+    """
+    ends = [0, *cuts(data)]
+    inner = [i for a, b in zip(ends, ends[1:], strict=False) if b - a > SPARSE for i in range(a + 1, b) if data[i - 1] in SPACES]
+    at = np.array(sorted([*ends, *inner]))
+    stop = np.searchsorted(at, at + min_run)
+    found = [(at[:-1][stop[:-1] < len(at)], at[stop[stop < len(at)]])]
+    if len(data) >= min_run:
+        found.append((at[[np.searchsorted(at, len(data) - min_run, side="right") - 1]], at[-1:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def digests(data: bytes, min_run: int = MIN_RUN) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """The windows and their 128-bit digests."""
+    found = list(zip(*(x.tolist() for x in windows(data, min_run)), strict=True))
+    return found, [xxhash.xxh3_128_digest(data[a:b]) for a, b in found]
+
+
+def anchors(data: bytes, min_run: int = MIN_RUN) -> np.ndarray:
+    """For each run of ``min_run`` bytes, by its first one, the smallest hash of 32 bytes in it (fewer for a short run)."""
+    width = 1
+    while width < 32 and 4 * width <= min_run:
+        width *= 2
+    least = ANCHOR_GEAR[np.frombuffer(data, np.uint8)]
+    step = 1
+    while step < width:
+        least[step:] += least[:-step] << np.uint64(step)
+        step *= 2
+    least, reach, wanted = mixed(least[width - 1 :]), 1, min_run - width + 1
+    while reach < wanted and len(least):
+        step = min(reach, wanted - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return (least >> np.uint64(64 - ANCHOR_BITS)).view(np.int64)
+
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    return np.unique(values[np.append(True, values[1:] != values[:-1])]) if len(values) else values
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, d0, d1): the distinct chunks of each document."""
+
+def shared_anchors(docs: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, anchors): the anchors of a document that others hold too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column("doc_id").to_numpy(), [set(digests(t)[1]) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for start in range(0, len(found), 500):
-                part = found[start : start + 500]
-                both = np.frombuffer(b"".join(b"".join(x) for x in part), "<i8").reshape(-1, 2)
-                repeated = np.repeat(ids[start : start + 500], [len(x) for x in part])
-                yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "d0", "d1"])
+            ids = batch.column("doc_id").to_numpy()
+            for start in range(0, len(ids), 500):
+                found = [distinct(anchors(t.as_buffer().to_pybytes(), min_run)) for t in batch.column("text").cast(pa.binary())[start : start + 500]]
+                repeated = np.repeat(ids[start : start + 500], [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate(found))], names=["doc_id", "anchor"])
 
     named = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return named.mapInArrow(run, "doc_id long, d0 long, d1 long")
+    every = named.mapInArrow(run, "doc_id long, anchor long")
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    return every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def beside(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name`` of ``found`` (doc_id, name) as ``_name``, null for a document that has none.
+
+    One plan for both uses, so that the texts are shuffled once.
+    """
+    named = found.select(F.col("doc_id").alias("_id"), F.col(name).alias(f"_{name}"))
+    return docs.join(named, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 
 
-def foreign_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, foreign): the digests of a document's chunks that a document of smaller id owns, 16 bytes each."""
-    every = chunks(docs)
+def shared_windows(docs: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, d0, d1): the windows of each document that others may hold too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("_anchors").is_valid())
+            for doc_id, text, shared in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), batch.column("_anchors"), strict=True):
+                data = text.as_py() or b""
+                maybe = np.isin(anchors(data, min_run), shared.values.to_numpy())
+                start, stop = windows(data, min_run)
+                chosen = maybe[start] & maybe[stop - min_run]
+                keys = {xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start[chosen].tolist(), stop[chosen].tolist(), strict=True)}
+                both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), int(doc_id.as_py()))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "d0", "d1"])
+
+    return beside(docs, shared_anchors(docs, min_run), "anchors").mapInArrow(run, "doc_id long, d0 long, d1 long")
+
+
+def foreign_windows(docs: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, foreign): the digests of a document's windows that a document of smaller id owns, 16 bytes each."""
+    every = shared_windows(docs, min_run)
     owned = every.groupBy("d0", "d1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     return every.join(owned, ["d0", "d1"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("d0", "d1")).alias("foreign"))
 
 
 def runs(data: bytes, foreign: set[bytes], min_run: int) -> list[tuple[int, int]]:
-    """Byte ranges to cut out: long runs of foreign chunks, shrunk to whole words."""
-    ends, found = digests(data)
-    out, start, last = [], None, 0
-    for end, digest in zip([*ends, None], [*found, b""], strict=True):
+    """Byte ranges to cut out: the union of the foreign windows, shrunk to whole words."""
+    joined: list[list[int]] = []
+    for (start, stop), digest in zip(*digests(data, min_run), strict=True):
         if digest in foreign:
-            start = last if start is None else start
-        elif start is not None:
-            stop = last
-            if stop - start >= min_run:
-                while 0 < start < stop and data[start - 1] not in SPACES and data[start] not in SPACES:
-                    start += 1
-                while start < stop < len(data) and data[stop - 1] not in SPACES and data[stop] not in SPACES:
-                    stop -= 1
-                if start < stop:
-                    out.append((start, stop))
-            start = None
-        last = end
+            if joined and start <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], stop)
+            else:
+                joined.append([start, stop])
+    out = []
+    for start, stop in joined:
+        while 0 < start < stop and data[start - 1] not in SPACES and data[start] not in SPACES:
+            start += 1
+        while start < stop < len(data) and data[stop - 1] not in SPACES and data[stop] not in SPACES:
+            stop -= 1
+        if start < stop:
+            out.append((start, stop))
     return out
 
 
@@ -120,7 +195,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             texts, spans, removed = batch.column("text").to_pylist(), [], []
             for i, foreign in enumerate(batch.column("_foreign")):
                 spans.append([])
-                if foreign.is_valid:
+                if foreign.is_valid and texts[i]:
                     pairs = foreign.values.flatten()
                     keys = np.stack([p.to_numpy() for p in pairs], 1).astype("<i8").tobytes()
                     data = texts[i].encode()
@@ -137,10 +212,8 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(removed, pa.int64())], names=[f.name for f in schema])
 
-    found = foreign_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("foreign").alias("_foreign"))
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    columns = [F.col(f"`{f.name}`") for f in kept]
-    return joined.select(*columns, F.when(F.length("text") > 0, F.col("_foreign")).alias("_foreign")).mapInArrow(run, schema)
+    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
+    return beside(docs, foreign_windows(docs, min_run), "foreign").mapInArrow(run, schema)
 
 
 def op8_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -60,6 +60,34 @@ def test_repeated_passages_go(spark):
             assert left >= 0.5 * len(passage) and r.n_removed <= len(passage) + 40
 
 
+def test_hardly_a_passage_is_missed():
+    """51 short words or one word over and over, each in two texts that share nothing else."""
+    rng, left = random.Random(7), []
+    short = lambda n: " ".join("".join(rng.choices("aeioubcdflmnrst", k=rng.randint(2, 6))) for _ in range(n))
+    for i in range(400):
+        passage = short(51) if i % 8 else " ".join([short(1)] * 60)
+        first, before = f"{short(40)} {passage} {short(40)}", short(33) + " "
+        again = f"{before}{passage} {short(37)}"
+        cut = c.runs(again.encode(), set(c.digests(first.encode())[1]), c.MIN_RUN)
+        gone = sum(b - a for a, b in cut)
+        assert all(len(before) - 12 <= a and b <= len(before) + len(passage) + 12 for a, b in cut)  # words next to it may be equal by chance
+        assert gone >= 0.5 * len(passage), passage
+        left.append(1 - gone / len(passage))
+    assert sum(left) < 0.15 * len(left)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c\n漢", max_size=200), st.text("abc d", min_size=40, max_size=300), st.text("ab c\n漢", max_size=200), st.sampled_from([20, 96]))
+def test_equal_windows_have_equal_anchors(before, shared, after, min_run):
+    x, y = (before + shared).encode(), (after + shared + before).encode()
+    place = {x[a:b]: a for a, b in c.digests(x, min_run)[0]}
+    least = [c.anchors(d, min_run) for d in (x, y)]
+    assert [len(v) for v in least] == [max(0, len(d) - min_run + 1) for d in (x, y)]
+    for a, b in c.digests(y, min_run)[0]:
+        if (at := place.get(y[a:b])) is not None:
+            assert least[0][at] == least[1][a] and least[0][at + b - a - min_run] == least[1][b - min_run]
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
