@@ -5,9 +5,9 @@ Parquet and read again as the next stage's ``docs``.  All stages but the last re
 the columns of ``documents``.
 
 Defined cases follow the operators': a null text is an empty one (and stays null),
-rows without a doc_id are kept by the filters, repeated rows of one doc_id share its
-fate (an exact repeat within a near-duplicate group is kept once), empty tables
-give empty results.
+rows without a doc_id are kept by the filters, near duplicates are told row by row
+(an exact repeat within a near-duplicate group is kept once, another text under the
+same doc_id is a document of its own), empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,18 +30,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays.
+    """Of each group of near duplicates the row with the smallest doc_id stays; of its rows of that doc_id the smallest.
 
-    The rows that go are joined by id; where a kept doc_id comes more than once, its
-    smallest row stays.
+    A document is a doc_id with a text (a 64-bit hash of both is its id here), so a
+    doc_id that comes with several texts is several documents.  What goes is joined
+    by that hash; of the exact repeats of a row one stays.
     """
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialise(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id").select(F.struct(*docs.columns).alias("row")).groupBy("row.doc_id").agg(F.min("row").alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    named = docs.withColumn("_row", row)
+    groups = near_dup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
+    groups = materialise(groups.where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id"), "pipeline-groups")
+    linked = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
+    several = groups.distinct().join(linked, "component_id")
+    ids = materialise(named.where(F.col("_row").isNotNull()).select("_row", F.struct(*docs.columns).alias("row")).join(several, "_row"), "pipeline-linked")
+    stays = ids.groupBy("component_id").agg(F.min("row").alias("row")).select("row.*")
+    return named.join(ids.select("_row").distinct(), "_row", "left_anti").select(docs.columns).unionByName(stays)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

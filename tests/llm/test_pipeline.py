@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import tiktoken
 
@@ -47,3 +49,13 @@ def test_edges(spark):
             out = stage(spark, docs, SMALL)
             n = out.count()
             assert n == (0 if not content else {"minhash_near_dedup": 7, "source_mix": n}.get(name, 8)), name
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(4)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(0, texts[0]), (0, texts[1]), (0, texts[1]), (0, ""), (-1, texts[2]), (7, near), (7, texts[3]), (8, texts[2]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(0, texts[0]), (0, texts[1]), (0, ""), (-1, texts[2]), (7, texts[3]), (None, texts[0])], key=str)
