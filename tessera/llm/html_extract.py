@@ -48,7 +48,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that say nothing about what they hold.
 PLAIN = frozenset("html body p div section ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption center address details summary hgroup".split()) | INLINE
-#: Prior: names of content, of boilerplate, and of boilerplate that an article inside doesn't outweigh.
+#: Prior: names of content, of boilerplate, and of boilerplate that an article inside doesn't outweigh (but by learnt odds).
 CONTENT = frozenset("article main articlebody".split())
 BOILERPLATE = frozenset(
     "head title header banner masthead script style noscript template iframe svg canvas object form button select option textarea label fieldset legend input dialog search "
@@ -56,16 +56,26 @@ BOILERPLATE = frozenset(
     "notice alert warning popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending pagination pager "
     "widget copyright legal contentinfo complementary skip sidebar".split())
 FIRM = frozenset("nav footer aside comment comments commentlist respond disqus replies discussion".split())
+MARKED = frozenset(f"!{n}" for n in FIRM)
 
 
 def names_of(tag: str, attributes: str) -> frozenset[str]:
-    """What an element is called: its tag unless plain, and the words of its class, id, role and itemprop."""
-    found = set() if tag in PLAIN else {tag}
+    """What an element is called: its tag unless plain, and the words of its class, id, role and itemprop.
+
+    A firm name counts as the tag or a whole word only, not as a part of one, and
+    not on an inline element.  It is marked ("!nav"), but on an article or main.
+    """
+    found, whole = set() if tag in PLAIN else {tag}, {tag}
     if "=" in attributes and tag not in ("html", "body"):
         for m in NAMED.finditer(attributes):
             for word in (m[1] or m[2] or m[3] or "").split():
+                whole.add(word.lower())
                 found.add(word.lower())
                 found.update(x.lower() for x in PART.findall(word))
+    if clear := found & FIRM:
+        kept = clear & whole if tag not in INLINE else set()
+        found -= clear - kept
+        found.update(f"!{n}" for n in kept if tag not in CONTENT)
     return frozenset(found)
 
 
@@ -137,8 +147,8 @@ class Weights:
     tags: dict[str, float]
 
     def boilerplate(self, path: tuple[frozenset[str], ...]) -> bool:
-        """The innermost element that decides counts, unless a firm one stands around it."""
-        if any(n & FIRM for n in path):
+        """The innermost element that decides counts, unless a firm one (that isn't learnt to be content) stands around it."""
+        if any(self.names.get(x[1:], 0.0) < DECIDES for n in path for x in n & MARKED):
             return True
         inside = {i for i, n in enumerate(path) if n & CONTENT}
         for i in range(len(path) - 1, -1, -1):
@@ -188,7 +198,7 @@ def evidence(page: str) -> Counter:
         if block.labelled:
             below = next((i for i, n in enumerate(block.path) if n & CONTENT), -1)
             names = set().union(*block.path[below + 1 :]) if block.path[below + 1 :] else set()
-        for n in names - CONTENT:
+        for n in names - CONTENT - MARKED:
             seen["name", n, block.labelled] += block.words
         if not DEFAULT.boilerplate(block.path):
             seen["word", f"{block.tag} 0", block.labelled] += block.words - block.linked

@@ -26,6 +26,24 @@ def test_odd_pages(page, text):
     assert h.main_text(page, h.DEFAULT) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<body><nav>one two</nav><article class='post comment-status-open'><p>{}</p></article></body>",
+    "<body><nav>one two</nav><article class='has-comments'><p>{}</p></article></body>",
+    "<body><div class='main-nav-layout'><ul class=nav><li>one</ul><p>{}</p></div><div id=footer>two</div></body>",
+    "<body><p>{}</p><div class='comments'><p>one</p></div><div role='discussion'>two</div></body>"])
+def test_firm_names_are_whole_words(page):
+    text = "good words with <span class='comment'>a remark</span> in the code and more of them"
+    for weights in [h.DEFAULT, *([h.weigh(dict(h.evidence(page.format(text))))] if "<article" in page else [])]:
+        assert h.main_text(page.format(text), weights) == "good words with a remark in the code and more of them"
+
+
+def test_learnt_odds_overrule_firm_names():
+    page = "<body><nav>junk</nav><article><p>good words</p><aside><p>a long note that belongs here</p></aside></article></body>"
+    counts = sum((h.evidence(page.replace("long", "long " * 200)) for _ in range(30)), h.Counter())
+    assert h.main_text(page, h.weigh(dict(counts))) == "good words\na long note that belongs here"
+    assert h.main_text(page, h.DEFAULT) == "good words"
+
+
 def test_class_names_are_learnt():
     pages = [f"<body><div class='zq'>{'junk words ' * 5}</div><article><p>{'good words ' * 20}</p></article><div class='zq'>{'more junk ' * 5}</div></body>" for _ in range(30)]
     counts = sum((h.evidence(p) for p in pages), h.Counter())
