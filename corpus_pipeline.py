@@ -59,8 +59,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token_ids; the ids decode to the text."""
-    return byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    """doc_id, lang, source, token_ids; every text's ids are decoded, and the run fails unless that gives the text."""
+    both = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", F.col("text").alias("original")), outputs=("token_ids", "decoded"))
+    same = F.col("decoded") == F.coalesce("original", F.lit("")).cast("binary")
+    ids = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("ids don't decode to the text")).cast("array<int>"))
+    return both.select("doc_id", "lang", "source", ids.alias("token_ids"))
 
 
 STAGES = [

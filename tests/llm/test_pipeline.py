@@ -1,7 +1,9 @@
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tessera.llm import byte_bpe, chunk_dedup, near_dup, source_mix, toxicity
@@ -59,3 +61,17 @@ def test_texts_of_one_doc_id_are_told_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, SMALL).collect()]
     assert sorted(got, key=str) == sorted([(0, texts[0]), (0, texts[1]), (0, ""), (-1, texts[2]), (7, texts[3]), (None, texts[0])], key=str)
+
+
+def test_ids_that_decode_to_another_text_fail(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some text", "en", "x"), (2, "", "en", "x"), (3, None, "en", "x")], "doc_id long, text string, lang string, source string")
+    assert rows(p.tokenise(spark, docs, SMALL)) == [(1, "en", "x", TIKTOKEN.encode_ordinary("some text")), (2, "en", "x", []), (3, "en", "x", [])]
+    encode = byte_bpe.encode
+
+    def wrong(df, outputs=("token_ids",)):
+        out = encode(df, outputs=outputs)
+        return out.withColumn("decoded", F.lit("other").cast("binary")) if "decoded" in outputs else out
+
+    monkeypatch.setattr(byte_bpe, "encode", wrong)
+    with pytest.raises(Exception, match="decode"):
+        p.tokenise(spark, docs, SMALL).collect()
