@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chunk_dedup, class_lm, embed_dedup, html_extract, near_dup, source_mix, topk, toxicity, url_filter
+from tessera.llm import byte_bpe, chunk_dedup, class_lm, embed_dedup, html_extract, near_dup, packing, source_mix, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chunk_dedup": chunk_dedup.op8_chunk_dedup,
         "op9_source_mix": source_mix.op9_source_mix,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op13_best_fit_pack": packing.op13_best_fit_pack,
     }
 
 
