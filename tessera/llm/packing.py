@@ -56,7 +56,7 @@ CAPACITY, END_ID = 4096, 1
 #: Classes of lengths and most documents of a pattern, as tried in turn; the plan with the fewest sequences is taken.
 GRIDS = ((512, 2), (256, 3), (128, 4))
 #: Pieces remembered by a task, bytes of text taken at a time and tokens of an outgoing batch (all bound memory only).
-REMEMBERED, BATCH_BYTES, BATCH_TOKENS = 600_000, 32_000_000, 2_000_000
+REMEMBERED, BATCH_BYTES, BATCH_TOKENS = 300_000, 8_000_000, 1_000_000
 
 # ----------------------------------------------------------------------------- tokens
 #: Letters whose case, class and normal form do not depend on the Unicode version or on their neighbours.
