@@ -170,11 +170,10 @@ def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH cells AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id IS NOT NULL),
+v AS (
+  SELECT vec_id, list(floor(1024 * CAST(x AS DOUBLE)) ORDER BY i) AS x FROM cells
+  GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
