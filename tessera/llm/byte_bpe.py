@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay.
 
 A block of texts is split by the tokenizer's pattern; its distinct pieces are
-laid out as one byte sequence, and an inverted index from mergeable pair (by
+looked up as whole tokens; the others are laid out as one byte sequence, and an inverted index from mergeable pair (by
 the rank of what it makes) to positions drives the merges: the lowest rank is
 applied at all its positions, left to right, and only the neighbours of a merge
 are looked up again and indexed.  Words share the replay, so each distinct piece
@@ -19,8 +19,10 @@ with the added ones are replaced.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.rows import named, packed, unpacked
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded at a time, and distinct pieces remembered between blocks of a task (both bound memory only).
 BLOCK_CHARS, REMEMBERED = 8_000_000, 600_000
@@ -53,8 +57,20 @@ def mergeable(ranks: dict[bytes, int]) -> dict[int, int]:
     return pairs
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit) of each distinct piece, by replaying all merges over all pieces at once."""
+def first_merges(ranks: dict[bytes, int], pairs: dict[int, int]) -> np.ndarray:
+    """[left byte, right byte]: rank of what the two make, or -1."""
+    single = [ranks[bytes([b])] for b in range(256)]
+    return np.array([[pairs.get(left << 32 | right, -1) for right in single] for left in single], np.int64)
+
+
+def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int], first: np.ndarray | None = None) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of each distinct piece: its own if it is a token, else by replaying all merges over all pieces at once."""
+    whole = [ranks.get(p) for p in pieces]
+    merged = iter(merge([p for p, rank in zip(pieces, whole, strict=True) if rank is None], ranks, pairs, first_merges(ranks, pairs) if first is None else first))
+    return [next(merged) if rank is None else rank.to_bytes(4, "little") for rank in whole]
+
+
+def merge(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int], first: np.ndarray) -> list[bytes]:
     if not pieces:
         return []
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -62,10 +78,6 @@ def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int])
     starts = 1 + np.cumsum([0, *(len(p) + 1 for p in pieces)])  # a piece and the gap behind it
     ids = single[raw]
     ids[starts - 1] = -1  # no pair crosses a gap
-    first = np.full((256, 256), -1, np.int64)
-    for left in range(256):
-        for right in range(256):
-            first[left, right] = pairs.get(int(single[left]) << 32 | int(single[right]), -1)
     made = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), first[raw[:-1], raw[1:]], -1)
     order = np.argsort(made, kind="stable")[np.count_nonzero(made < 0) :]
     rank, at = np.unique(made[order], return_index=True)
@@ -135,7 +147,7 @@ class Encoder:
         import regex
 
         self.ranks, self.pairs, self.find = ranks, pairs, regex.compile(pattern).findall
-        self.seen, self.ids = Seen(), []
+        self.seen, self.ids, self.first = Seen(), [], first_merges(ranks, pairs)
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -145,8 +157,8 @@ class Encoder:
         if len(self.seen) > REMEMBERED:
             self.seen, self.ids = Seen(), []
         split = [np.fromiter(map(self.seen.__getitem__, self.find(text or "")), np.int32) for text in texts]
-        new = list(self.seen)[len(self.ids) :]
-        self.ids += replay([piece.encode() for piece in new], self.ranks, self.pairs)
+        new = islice(self.seen, len(self.ids), None)
+        self.ids += replay([piece.encode() for piece in new], self.ranks, self.pairs, self.first)
         return [b"".join(map(self.ids.__getitem__, numbers.tolist())) for numbers in split]
 
     def decode(self, ids: bytes) -> bytes:
@@ -161,18 +173,19 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
     sent = df.sparkSession.sparkContext.broadcast((ranks, mergeable(ranks)))
     pattern = pattern or public_tokenizers.PATTERN
-    kept = [f for f in df.schema.fields if f.name not in (text, *outputs)]
+    source = df.select(packed(df, (text, *outputs)).alias("row"), named(text).alias("text"))
     kinds = {"token_ids": T.ArrayType(T.IntegerType(), False), "ids_le": T.BinaryType(), "decoded": T.BinaryType()}
-    schema = T.StructType([*kept, *[T.StructField(name, kinds[name], False) for name in outputs]])
+    schema = T.StructType([source.schema["row"], *[T.StructField(name, kinds[name], False) for name in outputs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and the many small objects would be gone through again and again
         encoder = Encoder(*sent.value, pattern)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for part in blocks(texts):
                 rows = batch.slice(part.start, part.stop - part.start)
                 ids = encoder.encode(texts[part])
-                columns = [rows.column(f.name) for f in kept]
+                columns = [rows.column("row")]
                 for name in outputs:
                     if name == "token_ids":
                         ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="int32")
@@ -181,7 +194,8 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
                         columns.append(pa.array(ids if name == "ids_le" else [encoder.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema)
+    return found.select(*unpacked(found, df, (text, *outputs)), *outputs)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -52,3 +52,11 @@ def test_missing_byte(tmp_path):
     (tmp_path / "v").write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError):
         byte_bpe.load_ranks(str(tmp_path / "v"))
+
+
+def test_other_columns_keep_their_names(spark):
+    df = spark.createDataFrame([("a b", 1, "x", "y")], "text string, _text int, `a.b` string, row string")
+    out = byte_bpe.encode(df, outputs=("token_ids", "decoded"))
+    assert out.columns == ["_text", "a.b", "row", "token_ids", "decoded"]
+    assert [tuple(r) for r in out.collect()] == [(1, "x", "y", REFERENCE.encode_ordinary("a b"), bytearray(b"a b"))]
+    assert byte_bpe.encode(df.select("text")).columns == ["token_ids"]
