@@ -56,7 +56,7 @@ CAPACITY, END_ID = 4096, 1
 #: Classes of lengths and most documents of a pattern, as tried in turn; the plan with the fewest sequences is taken.
 GRIDS = ((512, 2), (256, 3), (128, 4))
 #: Pieces remembered by a task, bytes of text taken at a time and tokens of an outgoing batch (all bound memory only).
-REMEMBERED, BATCH_BYTES, BATCH_TOKENS = 300_000, 8_000_000, 1_000_000
+REMEMBERED, BATCH_BYTES, BATCH_TOKENS = 300_000, 4_000_000, 1_000_000
 
 # ----------------------------------------------------------------------------- tokens
 #: Letters whose case, class and normal form do not depend on the Unicode version or on their neighbours.
@@ -122,8 +122,10 @@ class Tokens:
             self.pieces = {"\n": b""}
         new = [p for p in pieces if p not in self.pieces]
         written = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in new]
-        found = self.merges.encode_batch_fast([" ".join(written[i : i + 200]) for i in range(0, len(new), 200)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, "<u4") for x in found] or [np.zeros(0, "<u4")])
+        parts = [np.zeros(0, "<u4")]
+        for i in range(0, len(new), 500):  # few at a time: the library's results are large
+            parts.append(np.array(self.merges.encode(" ".join(written[i : i + 500]), add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate(parts)
         stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         coded = ids.tobytes()
         self.pieces.update(zip(new, (coded[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist(), strict=False)), strict=True))
