@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.types import qcol, CATEGORICAL, NUMERIC, column_class, missing_mask, normalized
 from tessera.operators.profile import frequency_table
+from tessera.session import materialise
 
 # fixed values: the encoder's thresholds (defaults of fit_features)
 HIGH_CARDINALITY = 50
@@ -58,6 +59,7 @@ class NumericSpec:
     mean: float
     scale: float
     ordinal: bool = False  # values come from the ordinal code of a text column
+    kind: str = ""  # Spark type in the fit
 
 
 @dataclass
@@ -92,6 +94,9 @@ class FeatureSpec:
             names += [f"cat__{o.name}_{suffix}" for suffix, _ in o.outputs()]
         return names
 
+    def used_columns(self) -> list[str]:
+        return [n.name for n in self.numeric] + [o.name for o in self.onehot]
+
     def to_json(self) -> str:
         return json.dumps({
             "target": self.target, "target_kind": self.target_kind,
@@ -110,23 +115,49 @@ class FeatureSpec:
 
 
 # ----------------------------------------------------------------------------- vocabularies
-def text_codes(df: DataFrame, column: str) -> DataFrame:
-    """Sorted vocabulary ``(value, code)`` of ``coalesce(column, 'nan')`` — distributed.
-
-    ``distinct`` (partial aggregation absorbs hot values) → range-partitioned
-    ``orderBy`` → contiguous index from per-partition offsets: no single task
-    or the driver ever holds the vocabulary, and no row leaves the JVM.
+def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, int, float, float]]:
+    """column -> sorted vocabulary ``(value, code)``, its size, and mean and variance of the codes over the rows.
+
+    One job for all columns, however many: counts of ``(column, value)`` (partial
+    aggregation absorbs hot values), one range-partitioned sort by both, one
+    contiguous index.  A code is the index less the column's first one; the moments
+    come from the counts, not from another pass over the rows.  The table lies in the
+    shared folder; nothing is kept in memory and no task holds a vocabulary.
     """
     from tessera.operators.sampling import dense_index
 
-    vals = df.select(F.coalesce(qcol(column).cast("string"), F.lit(NAN_CLASS)).alias("value")).distinct()
-    return dense_index(vals.orderBy("value"), "code")
+    if not columns:
+        return {}
+    names = df.columns
+    cells = F.explode(F.array(*[F.struct(F.lit(names.index(c)).alias("col_idx"), F.coalesce(qcol(c).cast("string"), F.lit(NAN_CLASS)).alias("value"))
+                                for c in columns])).alias("cell")
+    counted = df.select(cells).groupBy("cell.col_idx", "cell.value").agg(F.count(F.lit(1)).alias("cnt"))
+    table = materialise(dense_index(counted.orderBy("col_idx", "value"), "place"), "vocabularies")
+    first = {r["col_idx"]: r for r in table.groupBy("col_idx").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).collect()}  # one row a column
+    start = F.element_at(F.map_from_arrays(F.array(*[F.lit(i) for i in first]), F.array(*[F.lit(r["first"]) for r in first.values()])), F.col("col_idx"))
+    coded = table.withColumn("code", F.col("place") - start) if first else table.withColumn("code", F.col("place"))
+    mean = F.sum(F.col("cnt") * F.col("code").cast("double")) / F.sum("cnt")
+    means = {r["col_idx"]: r["m"] for r in coded.groupBy("col_idx").agg(mean.alias("m")).collect()}
+    spread = {}
+    if means:
+        off = F.col("code") - F.element_at(F.map_from_arrays(F.array(*[F.lit(i) for i in means]), F.array(*[F.lit(m) for m in means.values()])), F.col("col_idx"))
+        spread = {r["col_idx"]: r["v"] for r in coded.groupBy("col_idx").agg((F.sum(F.col("cnt") * off * off) / F.sum("cnt")).alias("v")).collect()}
+    out = {}
+    for c in columns:
+        i = names.index(c)
+        own = coded.where(F.col("col_idx") == i).select("value", "code")
+        out[c] = (own, int(first[i]["size"]) if i in first else 0, float(means.get(i) or 0.0), float(spread.get(i) or 0.0))
+    return out
+
+
+def text_codes(df: DataFrame, column: str) -> DataFrame:
+    """Sorted vocabulary ``(value, code)`` of ``coalesce(column, 'nan')`` — distributed."""
+    return vocabulary(df, column)[0]
 
 
 def vocabulary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Persisted sorted vocabulary and its counted size (the size decides broadcast vs shuffle joins)."""
-    vocab = text_codes(df, column).persist()
-    return vocab, vocab.count()
+    """Sorted vocabulary and its counted size (the size decides broadcast vs shuffle joins)."""
+    return vocabularies(df, [column])[column][:2]
 
 
 def _digest(text) -> Column:
@@ -152,6 +183,19 @@ def apply_codes(df: DataFrame, column: str, vocab: DataFrame, out: str, size: in
     return left.join(v, "__key", "left").withColumn(out, code).drop("__key", "__found")
 
 
+def check_columns(spec: FeatureSpec, df: DataFrame) -> None:
+    """Refuse a frame that lacks a feature column or has it with another kind of type."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wanted = {n.name: CATEGORICAL if n.ordinal else NUMERIC for n in spec.numeric}
+    wanted |= {o.name: CATEGORICAL for o in spec.onehot}
+    missing = [c for c in wanted if c not in types]
+    if missing:
+        raise ValueError(f"Missing feature columns: {', '.join(missing)}")
+    other = [c for c, kind in wanted.items() if column_class(types[c]) != kind]
+    if other:
+        raise ValueError(f"Feature columns with another type than in the fit: {', '.join(other)}")
+
+
 # ----------------------------------------------------------------------------- fitting
 @dataclass
 class FeatureModel:
@@ -162,16 +206,7 @@ class FeatureModel:
 
     # -- transform -----------------------------------------------------------
     def check_columns(self, df: DataFrame) -> None:
-        """Refuse a frame that lacks a feature column or has it with another kind of type."""
-        types = {f.name: f.dataType for f in df.schema.fields}
-        wanted = {n.name: CATEGORICAL if n.ordinal else NUMERIC for n in self.spec.numeric}
-        wanted |= {o.name: CATEGORICAL for o in self.spec.onehot}
-        missing = [c for c in wanted if c not in types]
-        if missing:
-            raise ValueError(f"Missing feature columns: {', '.join(missing)}")
-        other = [c for c, kind in wanted.items() if column_class(types[c]) != kind]
-        if other:
-            raise ValueError(f"Feature columns with another type than in the fit: {', '.join(other)}")
+        check_columns(self.spec, df)
 
     def encode(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Feature columns (named as ``feature_names()``) plus ``label`` (when the target exists) and ``keep``."""
@@ -208,7 +243,9 @@ class FeatureModel:
     def transform(self, df: DataFrame, keep: list[str] | None = None, output_col: str = "features") -> DataFrame:
         """Assembled ``features`` vector (+ ``label`` and ``keep`` columns)."""
         enc = self.encode(df, keep)
-        names = self.spec.feature_names()
+        at = {c: f"__f{i}" for i, c in enumerate(self.spec.feature_names())}  # the assembler takes no name with a dot or a back tick
+        enc = enc.toDF(*[at.get(c, c) for c in enc.columns])
+        names = list(at.values())
         va = VectorAssembler(inputCols=names, outputCol=output_col, handleInvalid="error")
         out = va.transform(enc)
         return out.select(*[c for c in out.columns if c not in names])
@@ -330,6 +367,11 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
     onehots: list[OneHotSpec] = []
     ordinal: list[str] = []
     num_idx = {f.name: i for i, f in enumerate(num)}
+    many = [c for c in distinct if distinct[c] > high_cardinality]
+    # the target's codes are of all rows: a class that only the test side has is an error, not a gap
+    text_target = [target] if target_kind == "text" else []
+    together = fit_rows is None
+    coded = vocabularies(src, many + text_target if together else many)
     for f in xs:
         if f.name in num_idx:
             i = num_idx[f.name]
@@ -338,18 +380,15 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
             mean = float(mom[f"m{i}"])
             var = float(mom[f"v{i}"] or 0.0) * present[f.name] / max(n_rows, 1)
             sd = var ** 0.5
-            numeric_specs.append(NumericSpec(f.name, mean, sd if sd >= _EPS else 1.0))
+            numeric_specs.append(NumericSpec(f.name, mean, sd if sd >= _EPS else 1.0, kind=f.dataType.simpleString()))
         elif f.name in distinct:
             if distinct[f.name] == 0:
                 continue
             if distinct[f.name] > high_cardinality:
-                vocab, sizes[f.name] = vocabulary(src, f.name)
-                vocabs[f.name] = vocab
+                vocabs[f.name], sizes[f.name], mean, var = coded[f.name]
                 ordinal.append(f.name)
-                coded = apply_codes(src.select(_q(f.name)), f.name, vocab, "__code", sizes[f.name])
-                m = coded.agg(F.avg("__code").alias("m"), F.var_pop("__code").alias("v")).first()
-                sd = float(m["v"] or 0.0) ** 0.5
-                numeric_specs.append(NumericSpec(f.name, float(m["m"]), sd if sd >= _EPS else 1.0, ordinal=True))
+                sd = var ** 0.5
+                numeric_specs.append(NumericSpec(f.name, mean, sd if sd >= _EPS else 1.0, ordinal=True, kind=f.dataType.simpleString()))
             else:
                 onehots.append(onehot_spec(f.name, cat_counts[f.name], cat_missing[f.name], max_categories))
     if not numeric_specs and not onehots:
@@ -358,7 +397,7 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
     target_vocab = None
     classes = None
     if target_kind == "text":
-        target_vocab, classes = vocabulary(df, target)  # of all rows: a class that only the test side has is an error, not a gap
+        target_vocab, classes = coded[target][:2] if together else vocabulary(df, target)
     else:
         dropped = df.where(missing_mask(target, tfield.dataType)).count()
     spec = FeatureSpec(target, target_kind, numeric_specs, onehots, ordinal, [f.name for f in xs], classes, dropped)
@@ -369,10 +408,8 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
 def simple_features(df: DataFrame) -> DataFrame:
     """Fallback encoding: sorted codes for text columns, mean fill for numbers, 0 for anything left."""
     cur = df
-    for f in df.schema.fields:
-        if column_class(f.dataType) == CATEGORICAL:
-            vocab, size = vocabulary(df, f.name)
-            cur = apply_codes(cur, f.name, vocab, f"__code_{f.name}", size)
+    for c, (vocab, size, _, _) in vocabularies(df, [f.name for f in df.schema.fields if column_class(f.dataType) == CATEGORICAL]).items():
+        cur = apply_codes(cur, c, vocab, f"__code_{c}", size)
     types = {f.name: f.dataType for f in df.schema.fields}
     means = df.agg(*[F.avg(normalized(f.name, f.dataType).cast("double")).alias(f.name)
                      for f in df.schema.fields if column_class(f.dataType) == NUMERIC] or [F.lit(0)]).first()

@@ -61,6 +61,19 @@ def q_score_saved_model(spark, sf):
     return pkg.score(table(spark, sf, "customer"), keep=["c_custkey"])
 
 
+@register("score_linear_package")
+def q_score_linear_package(spark, sf):
+    """A linear model with imputed, scaled and one-hot columns is saved, loaded and applied to unlabelled rows."""
+    from tessera.operators.models import TrainConfig, compare_models
+    from tessera.plans.fixtures import lineitem_gaps
+
+    df = lineitem_gaps(spark, sf)
+    res = compare_models(df.select("l_quantity", "l_linestatus", "l_extendedprice"), TrainConfig("l_extendedprice", "regression", models=("LinearRegression",)))
+    pkg = sinks.load_package(spark, sinks.save_package(res, scratch_path(spark, "linear_package")))
+    out = pkg.score(df.drop("l_extendedprice"), keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction", 1).alias("prediction"))
+
+
 @register("rows_as_json")
 def q_rows_as_json(spark, sf):
     from tessera.functions.scalars import json_safe_row

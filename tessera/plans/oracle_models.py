@@ -78,6 +78,17 @@ ORACLE["train_linear_lineitem"] = (
     "round((SELECT abs(b) * s FROM f), 3) AS importance FROM e"
 )
 
+_X = "coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END, (SELECT avg(l_quantity) FROM lineitem WHERE l_orderkey % 7 <> 0))"
+_KEY = "concat_ws(':', CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END, l_linestatus, l_extendedprice, '42')"
+ORACLE["score_linear_package"] = (
+    "WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, CAST(l_linestatus = 'O' AS INTEGER) AS z, "
+    f"{_X} AS x, ('0x' || substr(md5({_KEY}), 1, 8))::UBIGINT % 10000 < 8000 AS is_train FROM lineitem), "
+    "s AS (SELECT var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, "
+    "avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM t WHERE is_train), "
+    "b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2, * FROM s) "
+    "SELECT l_orderkey, l_linenumber, round(my + b1 * (x - mx) + b2 * (z - mz), 1) AS prediction FROM t, b"
+)
+
 _SIZES = (
     "SELECT CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size, l_extendedprice, "
     "CASE WHEN (l_quantity > 25) <> (l_orderkey % 5 = 0) THEN 'A' ELSE 'B' END AS label FROM lineitem"

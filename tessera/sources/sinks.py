@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tessera.functions.types import qcol
 
-from tessera.operators.features import FeatureModel
+from tessera.operators.artifact import pipeline_model
+from tessera.operators.features import FeatureSpec, check_columns
 
 # fixed values: export header metric keys in the order the metrics record holds them
 EXPORT_KEYS = {
@@ -20,14 +21,14 @@ EXPORT_KEYS = {
 
 USAGE = """Model package
 =============
-features/   fitted preprocessing (spec JSON + vocabularies)
-model/      fitted MLlib model of the best estimator
+pipeline/    preprocessing and best model as one PipelineModel
+tables/      vocabularies too large for a stage (read by the pipeline where they are)
+spec/        columns and statistics of the preprocessing (JSON)
 leaderboard/ all compared models
 
-Usage (PySpark):
-    from tessera.sources.sinks import load_package
-    pkg = load_package(spark, "<this folder>")
-    predictions = pkg.score(new_df)
+Usage (Spark alone, without this library unless the best model is a kernel one):
+    from pyspark.ml import PipelineModel
+    predictions = PipelineModel.load("<this folder>/pipeline").transform(new_df)
 """
 
 
@@ -48,49 +49,36 @@ def export_leaderboard(board: DataFrame, best_name: str, family: str, path: str)
 
 
 class ModelPackage:
-    def __init__(self, features: FeatureModel, model, best_name: str, family: str):
-        self.features, self.model, self.best_name, self.family = features, model, best_name, family
+    """A loaded package: the pipeline, and the columns that it was fitted on."""
+
+    def __init__(self, pipeline: PipelineModel, spec: FeatureSpec, best_name: str, family: str):
+        self.pipeline, self.spec, self.best_name, self.family = pipeline, spec, best_name, family
 
     def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """Predictions for new rows; a text target is decoded back to its class names."""
-        enc = self.features.transform(df, keep=keep)
-        pred = self.model.transform(enc)
-        cols = [qcol(k) for k in (keep or [])] + [F.col("prediction")]
-        out = pred.select(*cols)
-        if self.family == "classification" and self.features.spec.target_kind == "text":
-            vocab = self.features.target_vocab.select(F.col("code").cast("double").alias("prediction"),
-                                                      F.col("value").alias("predicted_label"))
-            out = out.join(vocab, "prediction", "left")  # class names are texts of any length: Spark decides by their size
-        return out
+        """``keep`` and the predictions for new rows; a text target is decoded back to its class names."""
+        check_columns(self.spec, df)
+        wanted = list(dict.fromkeys([*(keep or []), *self.spec.used_columns()]))
+        pred = self.pipeline.transform(df.select(*[qcol(c) for c in wanted]))
+        decoded = self.family == "classification" and self.spec.target_kind == "text"
+        return pred.select(*[qcol(k) for k in (keep or [])], "prediction", *["predicted_label"] * decoded)
 
 
 def save_package(result, path: str, board: DataFrame | None = None) -> str:
-    """Best model + preprocessing in one folder (replaces the zip of pickles)."""
+    """Best model + preprocessing as one ``PipelineModel`` (replaces the zip of pickles)."""
     spark = result.leaderboard.sparkSession
-    result.features.save(f"{path}/features")
-    result.models[result.best_model_name].write().overwrite().save(f"{path}/model")
-    meta = {"best_model": result.best_model_name, "family": result.family,
-            "model_class": type(result.models[result.best_model_name]).__name__, "usage": USAGE}
+    model = result.models[result.best_model_name]
+    pipeline_model(result.features, model, result.family, f"{path}/tables").write().overwrite().save(f"{path}/pipeline")
+    spark.createDataFrame([(result.features.spec.to_json(),)], "spec string").coalesce(1).write.mode("overwrite").json(f"{path}/spec")
+    meta = {"best_model": result.best_model_name, "family": result.family, "model_class": type(model).__name__, "usage": USAGE}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     (board if board is not None else result.leaderboard).write.mode("overwrite").parquet(f"{path}/leaderboard")
     return path
 
 
-def _load_model(path: str, cls_name: str):
-    import pyspark.ml.classification as C
-    import pyspark.ml.regression as R
-
-    for mod in (C, R):
-        if hasattr(mod, cls_name):
-            return getattr(mod, cls_name).load(path)
-    return PipelineModel.load(path)
-
-
 def load_package(spark: SparkSession, path: str) -> ModelPackage:
     meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    features = FeatureModel.load(spark, f"{path}/features")
-    model = _load_model(f"{path}/model", meta["model_class"])
-    return ModelPackage(features, model, meta["best_model"], meta["family"])
+    spec = FeatureSpec.from_json(spark.read.json(f"{path}/spec").first()["spec"])
+    return ModelPackage(PipelineModel.load(f"{path}/pipeline"), spec, meta["best_model"], meta["family"])
 
 
 class RunStore:
