@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.types import qcol, CATEGORICAL, NUMERIC, column_class, missing_mask, normalized
-from tessera.operators.profile import frequency_table
+from tessera.operators.keys import key_counts, present, with_values
 from tessera.session import materialise
 
 # fixed values: the encoder's thresholds (defaults of fit_features)
@@ -342,25 +342,22 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
     distinct: dict[str, int] = {f.name: 0 for f in cat}
     if cat:
         names = [f.name for f in src.schema.fields]
-        # counts only (long text keyed by md5), then full text for the ≤ 50-value columns
-        compact = frequency_table(src, [f.name for f in cat], compact=True)
-        present = F.col("value").isNotNull() | F.col("h").isNotNull()
-        per = compact.groupBy("col_idx").agg(F.count_if(present).alias("d"),
-                                             F.sum(F.when(~present, F.col("cnt"))).alias("m"))
+        # one pass of short keys; only the values of the small columns fetch their text
+        counts = materialise(key_counts(src, [f.name for f in cat], head=True), "category-counts")
+        here = present()
+        per = counts.groupBy("col_idx").agg(F.count_if(here).alias("d"), F.sum(F.when(~here, F.col("cnt"))).alias("m"))
         for r in per.collect():  # ≤ one row per text column
             nm = names[r["col_idx"]]
             distinct[nm] = int(r["d"])
             cat_missing[nm] = int(r["m"] or 0)
-        small = [c for c in distinct if 0 < distinct[c] <= high_cardinality]
+        small = [names.index(c) for c in distinct if 0 < distinct[c] <= high_cardinality]
         if small:
-            rows = frequency_table(src, small).where(F.col("value").isNotNull()).collect()  # ≤ 50 per column
+            rows = with_values(src, counts.where(here & F.col("col_idx").isin(small))).collect()  # ≤ 50 per column
             for r in rows:
                 cat_counts[names[r["col_idx"]]].append((r["value"], int(r["cnt"])))
 
     numeric_specs: list[NumericSpec] = []
-    present = {}
-    for i, f in enumerate(num):
-        present[f.name] = int(mom[f"c{i}"])
+    filled = {f.name: int(mom[f"c{i}"]) for i, f in enumerate(num)}
     # numeric columns and ordinal-coded text columns, in original column order
     vocabs: dict[str, DataFrame] = {}
     sizes: dict[str, int] = {}
@@ -375,10 +372,10 @@ def fit_features(df: DataFrame, target: str, fit_rows: DataFrame | None = None,
     for f in xs:
         if f.name in num_idx:
             i = num_idx[f.name]
-            if present[f.name] == 0:
+            if filled[f.name] == 0:
                 continue  # all-missing column dropped
             mean = float(mom[f"m{i}"])
-            var = float(mom[f"v{i}"] or 0.0) * present[f.name] / max(n_rows, 1)
+            var = float(mom[f"v{i}"] or 0.0) * filled[f.name] / max(n_rows, 1)
             sd = var ** 0.5
             numeric_specs.append(NumericSpec(f.name, mean, sd if sd >= _EPS else 1.0, kind=f.dataType.simpleString()))
         elif f.name in distinct:

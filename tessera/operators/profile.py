@@ -2,14 +2,13 @@
 
 Plan shape (per SURVEY §3 "Entry 2"):
 
-* **frequency table** — every column is turned into text (missing stays
-  null), stacked into ``(col_idx, value)`` and counted with one
-  ``groupBy``.  Map-side partial aggregation collapses hot values before
-  the shuffle, so a value holding a third of all rows costs one row per map
-  task.  From this single table come missing counts, distinct counts, top
-  values, modes and vocabularies.
+* **value counts** (``operators.keys``) — every cell as a short typed key, stacked
+  into ``(col_idx, key)`` and counted with one ``groupBy``.  Map-side partial
+  aggregation collapses hot values before the shuffle, so a value holding a third of
+  all rows costs one row per map task, and no text is part of an exchange.  From this
+  table come missing counts, distinct counts, top values and modes.
 * **moments** — one narrow-to-wide ``agg`` for counts/means/σ/min/max.
-* **duplicates** — ``groupBy(all columns)``; partial aggregation again
+* **duplicates** — ``groupBy`` a 16-byte digest of the row; partial aggregation again
   absorbs heavily repeated rows.
 
 Every result is a small DataFrame (≤ a few rows per column); nothing is
@@ -18,10 +17,11 @@ collected on the driver except where a caller asks for a Python value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.keys import heavy_hitters, key_counts, row_digest
 from tessera.session import materialise
 from tessera.functions.scalars import pct2
 from tessera.functions.types import (
@@ -35,7 +35,6 @@ from tessera.functions.types import (
     normalized,
 )
 
-TOPK_BUCKETS = 64
 COMPACT_TEXT_BYTES = 64
 
 
@@ -94,9 +93,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, compact: bo
 
 
 def _per_column_counts(df: DataFrame, freq: DataFrame) -> DataFrame:
-    present = F.col("value").isNotNull()
-    if "h" in freq.columns:
-        present = present | F.col("h").isNotNull()
+    present = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in ("value", "l", "d", "h") if c in freq.columns], F.lit(False))
     return freq.groupBy("col_idx").agg(
         F.sum("cnt").alias("rows"),
         F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).alias("missing"),
@@ -106,7 +103,7 @@ def _per_column_counts(df: DataFrame, freq: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """Flagship: ``(column_idx, column_name, column_class, rows, missing, missing_pct, distinct_count)``."""
-    freq = frequency_table(df, compact=True) if freq is None else freq
+    freq = key_counts(df) if freq is None else freq
     counts = _per_column_counts(df, freq)
     names = [f.name for f in df.schema.fields]
     classes = [column_class(f.dataType) for f in df.schema.fields]
@@ -143,15 +140,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """``(rows, distinct_rows, duplicate_rows)``; null = null and NaN = NaN as in pandas."""
-    cols = []
-    for i, f in enumerate(df.schema.fields):
-        c = normalized(f.name, f.dataType) if is_fractional(f.dataType) else qcol(f.name)
-        if isinstance(f.dataType, T.StringType):  # long text meets as its digest
-            long = F.octet_length(c) > COMPACT_TEXT_BYTES
-            c = F.struct(F.when(~long, c).alias("text"), F.when(long, F.unhex(F.sha2(c, 256))).alias("digest"))
-        cols.append(c.alias(f"c{i}"))
-    groups = df.select(cols).groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("n"))
+    """``(rows, distinct_rows, duplicate_rows)``; null = null and NaN = NaN as in pandas.
+
+    Rows meet by their 16-byte digest, whatever their width; partial aggregation absorbs hot rows.
+    """
+    groups = df.select(row_digest(df).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
         F.count(F.lit(1)).cast("long").alias("distinct_rows"),
@@ -202,29 +195,16 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None,
-               freq: DataFrame | None = None) -> DataFrame:
-    """Top-k non-missing values per column by count (tie → smaller value first).
-
-    Two-level top-k: first within ``(column, hash bucket)`` groups, then over
-    the ≤ ``k × buckets`` survivors per column — no single task ever holds
-    all distinct values of a column.
-    """
+               counts: DataFrame | None = None) -> DataFrame:
+    """Top-k non-missing values per column by count (tie → smaller value first); see ``operators.keys``."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if column_class(f.dataType) == CATEGORICAL]
-    freq = frequency_table(df, columns) if freq is None else freq
     names = [f.name for f in df.schema.fields]
-    wanted = [names.index(c) for c in columns]
-    f = freq.where(F.col("value").isNotNull() & F.col("col_idx").isin(wanted))
-    order = [F.col("cnt").desc(), F.col("value").asc()]
-    w1 = Window.partitionBy("col_idx", "bucket").orderBy(*order)
-    w2 = Window.partitionBy("col_idx").orderBy(*order)
-    pre = (
-        f.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(TOPK_BUCKETS)))
-        .withColumn("r1", F.row_number().over(w1))
-        .where(F.col("r1") <= k)
-    )
-    ranked = pre.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-    return ranked.select(
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_idx int, column_name string, rank int, value string, count long")
+    counts = materialise(key_counts(df, columns, head=True), "value-counts") if counts is None else counts
+    found = heavy_hitters(df, counts.where(F.col("col_idx").isin([names.index(c) for c in columns])), k)
+    return found.select(
         F.col("col_idx").alias("column_idx"),
         _lookup(names, F.col("col_idx")).alias("column_name"),
         F.col("rank").cast("int").alias("rank"),
@@ -234,17 +214,18 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None,
 
 
 def describe_categorical(df: DataFrame, columns: list[str] | None = None,
-                         freq: DataFrame | None = None) -> DataFrame:
+                         counts: DataFrame | None = None) -> DataFrame:
     """count, unique, top, freq per categorical column (top tie → smallest value)."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if column_class(f.dataType) == CATEGORICAL]
-    freq = frequency_table(df, columns) if freq is None else freq
-    wanted = [i for i, f in enumerate(df.schema.fields) if f.name in columns]
-    counts = _per_column_counts(df, freq.where(F.col("col_idx").isin(wanted)))
-    top = top_values(df, 1, columns, freq).select("column_idx", "value", "count")
     names = [f.name for f in df.schema.fields]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_idx int, column_name string, count long, unique long, top string, freq long")
+    counts = materialise(key_counts(df, columns, head=True), "value-counts") if counts is None else counts
+    totals = _per_column_counts(df, counts.where(F.col("col_idx").isin([names.index(c) for c in columns])))
+    top = top_values(df, 1, columns, counts).select("column_idx", "value", "count")
     return (
-        counts.withColumnRenamed("col_idx", "column_idx")
+        totals.withColumnRenamed("col_idx", "column_idx")
         .join(top, "column_idx", "left")
         .select(
             "column_idx",
@@ -331,19 +312,19 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, corr_max_cols: int | None = None) -> dict[str, DataFrame]:
-    """Full bundle over all columns; the frequency table is written once to the shared folder and shared."""
+    """Full bundle over all columns; the table of value counts is written once to the shared folder and shared."""
     from tessera.operators.correlation import correlation_matrix
     from tessera.operators.sampling import numeric_sample
 
-    freq = materialise(frequency_table(df), "profile-frequencies")
+    counts = materialise(key_counts(df, head=True), "profile-counts")
     dups = duplicate_rows(df)
     return {
         "table": table_profile(df, dups=dups),
         "schema": schema_frame(df),
         "type_distribution": column_type_distribution(df),
-        "columns": column_profile(df, freq),
-        "top_values": top_values(df, 10, None, freq),
-        "describe_categorical": describe_categorical(df, freq=freq),
+        "columns": column_profile(df, counts),
+        "top_values": top_values(df, 10, None, counts),
+        "describe_categorical": describe_categorical(df, counts=counts),
         "quality_breakdown": quality_breakdown(df),
         "samples": numeric_sample(df),
         "correlation": correlation_matrix(df, max_cols=corr_max_cols),

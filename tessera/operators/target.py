@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import pct2, whole_number
 from tessera.functions.types import qcol, CATEGORICAL, as_text, column_class, is_loose_numeric, missing_mask, normalized
-from tessera.operators.profile import column_profile, frequency_table
+from tessera.operators.keys import key_counts
+from tessera.operators.profile import column_profile
 
 # fixed values: exact (case-insensitive) target-name matches
 TARGET_NAMES = ("target", "label", "class", "y", "output", "prediction", "outcome", "diagnosis")
@@ -60,7 +61,7 @@ class ColumnStats:
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> list[ColumnStats]:
     """Per-column present/distinct counts from one frequency-table job (≤ one row per column collected)."""
-    prof = column_profile(df, frequency_table(df, columns, compact=True))
+    prof = column_profile(df, key_counts(df, columns))
     rows = {r["column_idx"]: r for r in prof.collect()}
     out = []
     for i, f in enumerate(df.schema.fields):
@@ -122,7 +123,7 @@ def detect_target_frame(df: DataFrame) -> DataFrame:
     The rule runs as an ``agg`` over the profile of the columns that can be
     chosen (≤ one row per column); see :func:`columns_to_profile`.
     """
-    prof = column_profile(df, frequency_table(df, columns_to_profile(df), compact=True))
+    prof = column_profile(df, key_counts(df, columns_to_profile(df)))
     fields = df.schema.fields
     text = F.element_at(F.array(*[F.lit(column_class(f.dataType) == CATEGORICAL) for f in fields]),
                         F.col("column_idx") + 1)
@@ -253,7 +254,7 @@ def validate_configs(df: DataFrame, configs: list[tuple[str, str, object]]) -> D
     """
     spark = df.sparkSession
     wanted = sorted({t for t, _, _ in configs if t in df.columns}, key=df.columns.index)
-    prof = column_profile(df, frequency_table(df, wanted, compact=True)) if wanted else None
+    prof = column_profile(df, key_counts(df, wanted)) if wanted else None
     grid = spark.createDataFrame(
         [(str(t), str(p), str(r), t in df.columns, p in PROBLEM_TYPES, _ratio_error(r)) for t, p, r in configs],
         "target string, problem_type string, split_ratio string, known boolean, type_ok boolean, ratio_error string")
