@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import hash_bucket
 from tessera.functions.types import qcol, NUMERIC, column_class, normalized
+from tessera.operators.keys import row_digest
 from tessera.session import checkpoint_root
 
 
@@ -34,8 +35,9 @@ def numeric_sample(df: DataFrame, keys: list[str] | None = None, n: int = 100, m
     """≤ n non-missing values of each numeric column (histogram input), in hash order of the row.
 
     Without keys the hash is of the whole row, so no column's order biases the
-    sample.  One scan: cells are ranked per column, and Spark cuts each task's
-    ranks at n before the shuffle.
+    sample.  Bottom-k by threshold: one aggregate counts each column's present cells
+    by eighths of a power of two of the hash (some 500 groups, whatever the data), which tells up to
+    where every column has its n; a second scan keeps the few rows below that, and only their cells are ranked.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     nums = [f.name for f in df.schema.fields if column_class(f.dataType) == NUMERIC][:max_columns]
@@ -43,12 +45,21 @@ def numeric_sample(df: DataFrame, keys: list[str] | None = None, n: int = 100, m
         return df.sparkSession.createDataFrame([], "column_name string, rank int, value double")
     h = sample_key(keys, seed) if keys else F.xxhash64(*[qcol(c) for c in df.columns], F.lit(seed))
     ties = [f"__k{i}" for i in range(len(keys or []))]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), normalized(c, types[c]).cast("double").alias("value"))
-                                for c in nums]))
-    stacked = df.select(h.alias("h"), *[qcol(k).alias(t) for k, t in zip(keys or [], ties)], cells.alias("cell")).select(
-        "h", *ties, "cell.column_name", "cell.value").where(F.col("value").isNotNull())
+    hashed = df.select(h.alias("h"), *[qcol(k).alias(t) for k, t in zip(keys or [], ties)], *[normalized(c, types[c]).cast("double").alias(f"v{i}") for i, c in enumerate(nums)])
+    if not keys:
+        hashed = hashed.withColumn("h", F.shiftrightunsigned("h", 2))  # from 0 on
+    part = F.floor(F.log2(F.col("h") + 1) * 8).cast("int")
+    upto = Window.orderBy("part")  # at most some 500 rows
+    counts = hashed.groupBy(part.alias("part")).agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(nums))])
+    counts = counts.select("part", *[F.sum(f"n{i}").over(upto).alias(f"n{i}") for i in range(len(nums))])
+    cut = counts.agg(*[F.coalesce(F.min(F.when(F.col(f"n{i}") >= n, F.col("part"))), F.max("part")).alias(f"c{i}") for i in range(len(nums))]).first()
+    last = max((c for c in cut if c is not None), default=None)
+    if last is None:
+        return df.sparkSession.createDataFrame([], "column_name string, rank int, value double")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(cut[i]).alias("cut"), F.col(f"v{i}").alias("value")) for i, c in enumerate(nums)]))
+    stacked = hashed.withColumn("part", part).where(F.col("part") <= last).select("h", *ties, "part", cells.alias("cell")).where("cell.value IS NOT NULL AND part <= cell.cut")
     w = Window.partitionBy("column_name").orderBy("h", *ties, "value")
-    return stacked.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n).select(
+    return stacked.select("h", *ties, "cell.column_name", "cell.value").withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n).select(
         "column_name", "rank", "value")
 
 
@@ -72,10 +83,39 @@ def split_flag(keys: list[str], train_ratio: float = 0.8, seed: int = 42) -> Col
 
 def exact_split_flag(df: DataFrame, keys: list[str], train_ratio: float = 0.8, seed: int = 42,
                      name: str = "__train") -> DataFrame:
-    """Mark exactly ``ceil(n · (1 − ratio))`` rows as test (false): the first ones in hash order."""
-    n_test = math.ceil(round(df.count() * (1.0 - float(train_ratio)), 9))
-    ordered = df.withColumn("__h", sample_key(keys, seed)).orderBy("__h", *[qcol(k) for k in keys])
-    return dense_index(ordered, "__i").withColumn(name, F.col("__i") >= F.lit(n_test)).drop("__h", "__i")
+    """Mark exactly ``ceil(n · (1 − ratio))`` rows as test (false): those whose keys' md5 comes first.
+
+    Selection without a sort: a histogram of four hexadecimal digits (at most 65,536
+    counts) finds the digits at which the test side is full, and only the rows that share them are
+    counted by the next four, until the cut falls between two values.  Rows with one md5 are
+    told by the digest of the whole row; rows alike in that too are copies, of
+    which the right number goes to either side.
+    """
+    text = F.concat_ws(":", *[qcol(k).cast("string") for k in keys], F.lit(str(seed)))
+    own = row_digest(df)
+    digits = [F.md5(text), F.concat(*[F.lower(F.lpad(F.hex(own[c]), 16, "0")) for c in ("a", "b")])]
+    prefix, n_test, level, left = "", None, 0, 0
+    while level < 16:
+        order = F.substring(digits[0], 1, 4 * (level + 1)) if level < 8 else F.concat(digits[0], F.substring(digits[1], 1, 4 * (level - 7)))
+        here = df.select(order.alias("d"))
+        found = {r["d"]: r["n"] for r in here.where(F.col("d").startswith(prefix)).groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if n_test is None:
+            n = sum(found.values())
+            n_test = left = math.ceil(round(n * (1.0 - float(train_ratio)), 9))
+            if left <= 0 or left >= n:
+                return df.withColumn(name, F.lit(left <= 0))
+        level += 1
+        for d in sorted(found):
+            if found[d] > left:
+                prefix = d
+                break
+            left -= found[d]
+            if not left:  # the cut is behind d
+                return df.withColumn(name, order > F.lit(d))
+    whole = F.concat(*digits)
+    copies = df.where(whole == prefix)
+    several = copies.limit(1).withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(copies.count()))))
+    return df.where(whole != prefix).withColumn(name, whole > prefix).unionByName(several.withColumn(name, F.col("__i") > left).drop("__i"))
 
 
 def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio: float = 0.8,
@@ -83,9 +123,8 @@ def train_test_split(df: DataFrame, keys: list[str] | None = None, train_ratio:
     """Reproducible split by hash bucket (no shuffle, no dependence on partitioning).
 
     Without keys every column is hashed, so identical rows share a side.
-    ``exact=True`` gives the test side exactly ``ceil(n · (1 − ratio))`` rows:
-    rows are ranked in hash order (range-partitioned sort + contiguous index)
-    and the first ones form the test side.
+    ``exact=True`` gives the test side exactly ``ceil(n · (1 − ratio))`` rows, the
+    first ones in hash order; see :func:`exact_split_flag`.
     """
     keys = keys or list(df.columns)
     if exact:

@@ -158,6 +158,15 @@ def q_train_test_split(spark, sf):
     return sampling.with_split(li.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 0.8, 42)
 
 
+@register("exact_split")
+def q_exact_split(spark, sf):
+    """Exactly ceil(n / 5) rows on the test side, of lineitem and of a table of few rows."""
+    li = sampling.exact_split_flag(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 0.8, 42, "is_train")
+    nation = sampling.exact_split_flag(table(spark, sf, "nation").select("n_nationkey"), ["n_nationkey"], 0.8, 42, "is_train")
+    return li.select(F.lit("lineitem").alias("table_name"), F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("long").alias("sub"), "is_train").unionByName(
+        nation.select(F.lit("nation").alias("table_name"), F.col("n_nationkey").cast("long").alias("key"), F.lit(0).cast("long").alias("sub"), "is_train"))
+
+
 def queries() -> dict[str, Query]:
     from tessera.plans import (  # noqa: F401  (modules register their queries)
         catalog_features,

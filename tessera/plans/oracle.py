@@ -272,6 +272,14 @@ def _numeric_sample_sql() -> str:
 
 ORACLE["numeric_sample"] = _numeric_sample_sql()
 
+def _exact_split_sql(name: str, key: str, sub: str) -> str:
+    keys = f"{key} || ':' || {sub} || ':42'" if sub != "0" else f"{key} || ':42'"
+    return (f"SELECT '{name}' AS table_name, CAST({key} AS BIGINT) AS key, CAST({sub} AS BIGINT) AS sub, "
+            f"row_number() OVER (ORDER BY md5({keys}), {key}) > ceil(round(count(*) OVER () * 0.2, 9)) AS is_train FROM {name}")
+
+
+ORACLE["exact_split"] = _exact_split_sql("lineitem", "l_orderkey", "l_linenumber") + "\nUNION ALL " + _exact_split_sql("nation", "n_nationkey", "0")
+
 ORACLE["train_test_split"] = (
     f"SELECT l_orderkey, l_linenumber, ({md5_head_sql(['l_orderkey', 'l_linenumber'])} % 10000) < 8000 AS is_train "
     "FROM lineitem"

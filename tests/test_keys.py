@@ -68,7 +68,7 @@ def test_no_text_in_an_exchange(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("(col_idx" in e and "s#" not in e.split("ENSURE")[0] for e in exchanges)
     plan = profile.duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
-    assert any("hashpartitioning(row#" in line for line in plan.splitlines())
+    assert any("hashpartitioning(row#" in line or "hashpartitioning(knownfloatingpointnormalized" in line.lower() for line in plan.splitlines())
 
 
 def test_row_digest_tells_rows_apart(spark):
@@ -80,3 +80,56 @@ def test_row_digest_tells_rows_apart(spark):
     assert profile.duplicate_rows(_odd(spark)).first().asDict() == {"rows": 6, "distinct_rows": 5, "duplicate_rows": 1}
     assert profile.duplicate_rows(_odd(spark).limit(0)).first().rows == 0
     assert _odd(spark).select(F.col("s")).count() == 6
+
+
+def _split(df, keys, ratio):
+    from tessera.operators.sampling import exact_split_flag
+
+    return exact_split_flag(df, keys, ratio, 42, "train")
+
+
+def test_exact_split_is_the_first_hashes(spark):
+    import hashlib
+    import math
+
+    for n, ratio in ((10, 0.8), (11, 0.8), (97, 0.75), (1000, 0.8), (3, 0.999), (5, 0.5)):
+        df = spark.range(n).repartition(3)
+        got = {r.id: r.train for r in _split(df, ["id"], ratio).collect()}
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+        test = math.ceil(round(n * (1 - ratio), 9))
+        assert {i for i, t in got.items() if not t} == set(order[:test])
+        plan = _split(df, ["id"], ratio)._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Sort" not in plan
+    assert _split(spark.range(0), ["id"], 0.8).count() == 0
+
+
+def test_exact_split_of_a_million_rows(spark):
+    got = _split(spark.range(1_000_000), ["id"], 0.8).groupBy("train").count().collect()
+    assert {r.train: r["count"] for r in got} == {True: 800_000, False: 200_000}
+
+
+def test_exact_split_of_ties(spark):
+    """One key for all rows, then copies of one row."""
+    df = spark.range(100).selectExpr("1 AS k", "id AS v", "CAST('NaN' AS DOUBLE) AS x")
+    got = _split(df, ["k"], 0.8).collect()
+    assert sum(not r.train for r in got) == 20 and {r.v for r in got} == set(range(100))
+    copies = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 3, "k int, s string")
+    got = _split(copies, ["k"], 0.7).collect()
+    assert len(got) == 53 and sum(not r.train for r in got) == 16 and sum(r.k == 2 for r in got) == 3
+
+
+def test_numeric_sample_by_threshold(spark):
+    """The first n present cells of each column in hash order, against a full sort."""
+    from tessera.operators.sampling import numeric_sample, sample_key
+
+    i = F.col("id")
+    df = spark.range(5000).select(i, F.when(i % 50 == 0, i).cast("double").alias("rare"), F.lit(None).cast("int").alias("none"), (i % 7).alias("x"), F.lit("t").alias("t")).repartition(4)
+    hashed = sorted((r.h, r.id, r.rare, r.x) for r in df.select(sample_key(["id"]).alias("h"), "id", "rare", "x").collect())
+    for n in (1, 100, 6000):
+        got = {}
+        for r in numeric_sample(df, ["id"], n).orderBy("rank").collect():
+            got.setdefault(r.column_name, []).append(r.value)
+        want = {c: [float(v) for v in (h[j] for h in hashed) if v is not None][:n] for j, c in ((1, "id"), (2, "rare"), (3, "x"))}
+        assert got == want
+    assert numeric_sample(df.limit(0), ["id"]).count() == 0 and numeric_sample(df.select("none")).count() == 0
+    assert numeric_sample(df, n=10).groupBy("column_name").count().where("count = 10").count() == 3
