@@ -7,14 +7,18 @@ where the (column-order dependent) rules are applied.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalars import pct2, whole_number
-from tessera.functions.types import qcol, CATEGORICAL, as_text, column_class, is_loose_numeric, missing_mask, normalized
-from tessera.operators.keys import key_counts
+from tessera.functions.types import qcol, CATEGORICAL, column_class, is_loose_numeric, missing_mask, normalized
+from tessera.operators.keys import key_counts, key_lanes, present
 from tessera.operators.profile import column_profile
 
 # fixed values: exact (case-insensitive) target-name matches
@@ -24,6 +28,9 @@ TARGET_SUBSTRINGS = ("target", "class", "label", "y", "output", "prediction", "o
 # fixed values: accepted problem types
 PROBLEM_TYPES = ("classification", "regression", "binary", "multiclass")
 MIN_TRAIN_ROWS = 10
+# fixed value: a number with at most so many distinct values can be a target
+FEW = 10
+_WHOLE = ("byte", "short", "integer", "long", "boolean", "date", "timestamp")
 
 
 def problem_type_rule(loose_numeric: bool, unique: int) -> str:
@@ -81,7 +88,7 @@ def choose_target(stats: list[ColumnStats]) -> ColumnStats:
     named = [s for s in kept if isinstance(s.name, str) and s.name.lower() in TARGET_NAMES]
     if named:
         return named[0]
-    loose = [s for s in kept if s.is_text or s.unique <= 10]
+    loose = [s for s in kept if s.is_text or s.unique <= FEW]
     return loose[0] if loose else kept[-1]
 
 
@@ -95,7 +102,35 @@ def detect_target(df: DataFrame) -> tuple[str, str]:
     return t.name, problem_type_rule(t.loose_numeric, t.unique)
 
 
-def columns_to_profile(df: DataFrame, head_rows: int = 2000) -> list[str]:
+@dataclass(frozen=True)
+class _Open:
+    """What some rows leave open: the first named column with a value, numbers that may have few values, the first text with a value."""
+
+    few: tuple[int, ...] = ()
+    sure: int | None = None
+    named: int | None = None
+    everything: bool = False
+
+
+def _head(tables: list[DataFrame], rows: int) -> list[dict[int, int]]:
+    """table -> column -> distinct values in some rows (numbers up to their bounded set, others 1 if they have a value); one job."""
+    parts = None
+    for t, df in enumerate(tables):
+        cells = []
+        for i, f in enumerate(df.schema.fields):
+            whole, real, _ = key_lanes(f.name, f.dataType)
+            there = ~missing_mask(f.name, f.dataType)
+            cells.append(F.struct(F.lit(i).alias("i"), whole.alias("l"), real.alias("d"), there.alias("there")))
+        head = df.limit(rows).select(F.lit(t).alias("t"), F.explode(F.array(*cells)).alias("cell")).select("t", "cell.*").where("there")
+        parts = head if parts is None else parts.unionByName(head)
+    found: list[dict[int, int]] = [{} for _ in tables]
+    if parts is not None:
+        for r in parts.groupBy("t", "i").agg(F.size(F.collect_set(F.struct("l", "d"))).alias("n")).collect():  # a set of at most ``rows`` values
+            found[r["t"]][r["i"]] = r["n"]
+    return found
+
+
+def _left_open(df: DataFrame, values: dict[int, int]) -> _Open:
     """The columns that the target rule has to count over all rows.
 
     Some rows settle most columns for good: a column that has a value there has
@@ -105,44 +140,90 @@ def columns_to_profile(df: DataFrame, head_rows: int = 2000) -> list[str]:
     values.  Whatever the rows leave open is counted in full.
     """
     fields = df.schema.fields
-    seen = df.limit(head_rows).agg(*[F.count_distinct(as_text(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
-    values = [seen[f"c{i}"] for i in range(len(fields))]
     named = [i for i, f in enumerate(fields) if f.name.lower() in TARGET_NAMES]
-    if named and values[named[0]]:
-        return [fields[named[0]].name]
+    if named and values.get(named[0]):
+        return _Open(named=named[0])
     text = [column_class(f.dataType) == CATEGORICAL for f in fields]
-    sure = next((i for i in range(len(fields)) if text[i] and values[i]), None)
+    sure = next((i for i in range(len(fields)) if text[i] and values.get(i)), None)
     if named or sure is None:
-        return [f.name for f in fields]
-    return [f.name for i, f in enumerate(fields[: sure + 1]) if text[i] or values[i] <= 10]
+        return _Open(everything=True)
+    lanes = [column_class(f.dataType) != CATEGORICAL for f in fields]
+    return _Open(few=tuple(i for i in range(sure) if text[i] or (lanes[i] and values.get(i, 0) <= FEW)), sure=sure)
 
 
-def detect_target_frame(df: DataFrame) -> DataFrame:
-    """The target rule as a frame: ``(target, problem_type, unique_values)``.
+def bounded_sets(df: DataFrame, columns: list[int], most: int = FEW + 1) -> DataFrame:
+    """``(i, l, d, h)``: the distinct values of each column, or at least ``most`` of them.
 
-    The rule runs as an ``agg`` over the profile of the columns that can be
-    chosen (≤ one row per column); see :func:`columns_to_profile`.
+    A task keeps at most ``most`` values of a column and looks no further at one that has them, so however
+    many values a column has, ``most`` a task are sent.
     """
-    prof = column_profile(df, key_counts(df, columns_to_profile(df)))
     fields = df.schema.fields
-    text = F.element_at(F.array(*[F.lit(column_class(f.dataType) == CATEGORICAL) for f in fields]),
-                        F.col("column_idx") + 1)
-    loose = F.element_at(F.array(*[F.lit(is_loose_numeric(f.dataType)) for f in fields]), F.col("column_idx") + 1)
-    named = F.lower(F.col("column_name")).isin(*TARGET_NAMES)
-    present = (F.col("rows") - F.col("missing")) > 0
-    p = prof.select("column_idx", "column_name", "distinct_count", text.alias("is_text"), loose.alias("loose"),
-                    named.alias("named"), present.alias("present"))
-    info = F.struct("column_name", "distinct_count", "loose")
-    chosen = p.agg(F.coalesce(
-        F.min_by(info, F.when(F.col("named") & F.col("present"), F.col("column_idx"))),
-        F.min_by(info, F.when((F.col("is_text") | (F.col("distinct_count") <= 10)) & F.col("present"),
-                              F.col("column_idx"))),
-        F.max_by(info, F.when(F.col("present"), F.col("column_idx"))),
-    ).alias("c"))
-    return chosen.where(F.col("c").isNotNull()).select(
-        F.col("c.column_name").alias("target"),
-        problem_type_col(F.col("c.loose"), F.col("c.distinct_count")).alias("problem_type"),
-        F.col("c.distinct_count").cast("long").alias("unique_values"))
+    lanes = [key_lanes(fields[i].name, fields[i].dataType) for i in columns]
+    kinds = ["l" if fields[i].dataType.typeName() in _WHOLE or isinstance(fields[i].dataType, T.DecimalType) and fields[i].dataType.precision <= 18 else "d" if fields[i].dataType.typeName() in ("float", "double") or "interval" in fields[i].dataType.typeName() else "h" for i in columns]
+    picked = df.select(*[x["ldh".index(k)].alias(f"c{j}") for j, (x, k) in enumerate(zip(lanes, kinds))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[set] = [set() for _ in columns]
+        for batch in batches:
+            for j, s in enumerate(sets):
+                if len(s) < most:
+                    s.update(pc.unique(batch.column(j).drop_null()).slice(0, 2 * most).to_pylist())
+        rows = [(i, k, v) for i, k, s in zip(columns, kinds, sets, strict=True) for v in list(s)[:most]]
+        lane = lambda k: [v if kind == k else None for _, kind, v in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32()), pa.array(lane("l"), pa.int64()), pa.array(lane("d"), pa.float64()), pa.array(lane("h"), pa.binary())], names=["i", "l", "d", "h"])
+
+    return picked.mapInArrow(run, "i int, l long, d double, h binary").distinct()
+
+
+def detect_targets(tables: dict[str, DataFrame], head_rows: int = 2000) -> list[tuple[str, str, str, int]]:
+    """``(table, target, problem_type, unique_values)`` of many tables in three jobs.
+
+    1. some rows of each table; 2. bounded value sets of the numbers that may still have at most 10 values; 3. the
+    exact distinct count of the one column that is left for each table (or of every column, where the rows
+    settled nothing), by typed short keys.
+    """
+    names, dfs = list(tables), list(tables.values())
+    opened = [_left_open(df, values) for df, values in zip(dfs, _head(dfs, head_rows))]
+    few, parts = {}, None
+    for t, (df, o) in enumerate(zip(dfs, opened)):
+        if o.few:
+            part = bounded_sets(df, list(o.few)).select(F.lit(t).alias("t"), "*")
+            parts = part if parts is None else parts.unionByName(part)
+    if parts is not None:
+        few = {(r["t"], r["i"]): r["n"] for r in parts.groupBy("t", "i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen: dict[int, int] = {}
+    counted, unique = None, {}
+    for t, (df, o) in enumerate(zip(dfs, opened)):
+        fields = df.schema.fields
+        text = [column_class(f.dataType) == CATEGORICAL for f in fields]
+        if o.everything:
+            wanted = [f.name for f in fields]
+        else:
+            chosen[t] = o.named if o.named is not None else next((i for i in o.few if (n := few.get((t, i), 0)) and (text[i] or n <= FEW)), o.sure)
+            if o.named is None and not text[chosen[t]]:
+                unique[t] = few[t, chosen[t]]  # its set is whole
+                continue
+            wanted = [fields[chosen[t]].name]
+        part = key_counts(df, wanted).where(present()).select(F.lit(t).alias("t"), F.col("col_idx").alias("i"))
+        counted = part if counted is None else counted.unionByName(part)
+    exact = {(r["t"], r["i"]): r["n"] for r in counted.groupBy("t", "i").agg(F.count(F.lit(1)).alias("n")).collect()} if counted is not None else {}
+    out = []
+    for t, (name, df, o) in enumerate(zip(names, dfs, opened)):
+        fields = df.schema.fields
+        if o.everything:
+            stats = [ColumnStats(i, f.name, column_class(f.dataType) == CATEGORICAL, is_loose_numeric(f.dataType), int((t, i) in exact), exact.get((t, i), 0)) for i, f in enumerate(fields)]
+            if not any(s.present for s in stats):
+                continue
+            chosen[t] = choose_target(stats).idx
+        f = fields[chosen[t]]
+        n = unique.get(t, exact.get((t, chosen[t]), 0))
+        out.append((name, f.name, problem_type_rule(is_loose_numeric(f.dataType), n), n))
+    return out
+
+
+def detect_target_frame(df: DataFrame) -> DataFrame:
+    """The target rule as a frame: ``(target, problem_type, unique_values)``; no row for a table without a value."""
+    return df.sparkSession.createDataFrame([r[1:] for r in detect_targets({"": df})], "target string, problem_type string, unique_values long")
 
 
 def target_by_substring(columns: list[str]) -> str | None:
@@ -258,9 +339,11 @@ def validate_configs(df: DataFrame, configs: list[tuple[str, str, object]]) -> D
     grid = spark.createDataFrame(
         [(str(t), str(p), str(r), t in df.columns, p in PROBLEM_TYPES, _ratio_error(r)) for t, p, r in configs],
         "target string, problem_type string, split_ratio string, known boolean, type_ok boolean, ratio_error string")
+    # the table's size beside the settings: union + max, no join
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    # one-row lookup of the table size on a constant key (broadcast hash join)
-    g = grid.withColumn("__k", F.lit(1)).join(F.broadcast(rows.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    settings = F.collect_list(F.struct(*grid.columns)).alias("settings")
+    one = grid.agg(settings).select("settings", F.lit(None).cast("long").alias("n_rows")).unionByName(rows.select(F.lit(None).cast(grid.agg(settings).schema[0].dataType).alias("settings"), "n_rows"))
+    g = one.agg(F.first("settings", ignorenulls=True).alias("settings"), F.max("n_rows").alias("n_rows")).select(F.explode("settings").alias("s"), "n_rows").select("s.*", "n_rows")
     if prof is not None:
         stats = prof.select(F.col("column_name").alias("target"), (F.col("rows") - F.col("missing")).alias("present"),
                             F.col("distinct_count").alias("unique"))

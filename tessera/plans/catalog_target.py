@@ -21,8 +21,8 @@ def _union(parts):
 
 @register("detect_target")
 def q_detect_target(spark, sf):
-    return _union(target.detect_target_frame(table(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
-                  for t in TABLES)
+    found = target.detect_targets({t: table(spark, sf, t) for t in TABLES})
+    return spark.createDataFrame(found, "table_name string, target string, problem_type string, unique_values long")
 
 
 @register("problem_type")

@@ -78,3 +78,34 @@ def test_upload_type_labels(spark):
     df = spark.sql("SELECT 1 AS i, true AS b, 's' AS s, date'2020-01-01' AS d")
     got = {r["column_name"]: r["label"] for r in target.upload_type_labels(df).collect()}
     assert got == {"i": "numeric", "b": "numeric", "s": "categorical", "d": "categorical"}
+
+
+def test_targets_of_many_tables_equal_the_rule(spark):
+    """Every way a table can be settled: by name, few numbers, bounded sets that fill up late, text, the last column, nothing."""
+    from tessera.operators import target as t
+
+    i = F.col("id")
+    base = spark.range(6000)
+    tables = {
+        "named": base.select(i, (i % 30).alias("Y"), F.lit("a").alias("s")),
+        "named_empty": base.select(i, F.lit(None).cast("int").alias("label"), (i % 3).alias("n")),
+        "few": base.select(i, (i % 9).cast("double").alias("n"), i.cast("string").alias("s")),
+        "late": base.select(i, F.when(i < 4000, i % 3).otherwise(i).alias("n"), (i % 4 == 0).alias("b"), i.cast("string").alias("s")),
+        "late_text": base.select(i, F.when(i > 5500, F.lit("x")).alias("late"), i.cast("string").alias("s")),
+        "text": base.select(i, F.concat(F.lit("v"), i % 2).alias("s"), (i % 2).alias("n")),
+        "last": base.select(i, (i + 0.5).alias("x")),
+        "none": base.select(F.lit(None).cast("string").alias("s")),
+        "empty": base.select(i).limit(0),
+        "decimals": base.select(i, (i % 10).cast("decimal(12,3)").alias("dec"), F.make_date(F.lit(2020), F.lit(1), (i % 3 + 1).cast("int")).alias("day"), F.lit("q").alias("s")),
+    }
+    want = []
+    for name, df in tables.items():
+        stats = t.column_stats(df)
+        if any(s.present for s in stats):
+            c = t.choose_target(stats)
+            want.append((name, c.name, t.problem_type_rule(c.loose_numeric, c.unique), c.unique))
+    assert t.detect_targets(tables) == want
+    assert t.detect_targets(tables, head_rows=1) == want
+    assert [tuple(r) for r in t.detect_target_frame(tables["late"]).collect()] == [want[[w[0] for w in want].index("late")][1:]]
+    sets = t.bounded_sets(tables["late"].repartition(3), [0, 1, 2], 11).groupBy("i").count().collect()
+    assert {r["i"]: r["count"] >= 11 for r in sets} == {0: True, 1: True, 2: False}
