@@ -52,3 +52,31 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, Def
 
         arr = vector_to_array(F.col(self.getInputCol()))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(rff(arr)))
+
+
+class KernelRegression(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """A linear model over random Fourier features as one stage: the features are made and weighed in one Arrow batch."""
+
+    inputDim = Param(Params._dummy(), "inputDim", "input dimension d", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "RBF kernel width", TypeConverters.toFloat)
+    weights = Param(Params._dummy(), "weights", "weights of the random features", TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "intercept", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="prediction", inputDim=1, gamma=1.0, weights=None, intercept=0.0, seed=42):
+        super().__init__()
+        self._setDefault(inputDim=1, gamma=1.0, intercept=0.0, seed=42)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset):
+        weights, intercept = np.array(self.getOrDefault(self.weights)), self.getOrDefault(self.intercept)
+        d = self.getOrDefault(self.inputDim)
+        w, b = rff_weights(d, len(weights), self.getOrDefault(self.gamma), self.getOrDefault(self.seed))
+        weights = np.sqrt(2.0 / len(weights)) * weights
+
+        @F.pandas_udf(T.DoubleType())
+        def predict(xs: pd.Series) -> pd.Series:
+            x = np.vstack(xs.to_numpy()) if len(xs) else np.zeros((0, d))
+            return pd.Series(np.cos(x @ w + b) @ weights + intercept)
+
+        return dataset.withColumn(self.getOutputCol(), predict(vector_to_array(F.col(self.getInputCol()))))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import InheritableThread, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.features import BROADCAST_CODES, FeatureModel, fit_features
-from tessera.operators.kernels import RandomFourierFeatures
+from tessera.operators.kernels import KernelRegression, RandomFourierFeatures
 from tessera.operators.metrics import LEADERBOARD_SCHEMA, classification_metrics, regression_metrics
+from tessera.operators.svr import fit_svr
 from tessera.operators.sampling import dense_index, exact_split_flag, split_flag
 from tessera.operators.target import check_config, family
 from tessera.functions.types import qcol
@@ -50,12 +52,14 @@ class TrainConfig:
     train_ratio: float = 0.8  # test share = 1 − ratio
     seed: int = 42
     timeout_seconds: float | None = None  # a slower model is kept and marked in ``over_budget``
+    interrupt: bool = False  # cancel the jobs of a fit at ``timeout_seconds`` and skip the model
     num_trees: int = 100
     boost_iters: int = 100
     boost_depth: int = 3
     max_depth: int = 30  # MLlib maximum; the reference grows trees without a limit
     max_bins: int = 32
     rff_dim: int = 256
+    svr_loss: str = "epsilon"  # or "huber"
     fit_scope: str = "all"  # "all" (reference) or "train"
     split_keys: tuple[str, ...] | None = None
     exact_split: bool = False  # exactly ceil(n · (1 − ratio)) test rows instead of hash buckets
@@ -154,14 +158,23 @@ def _svc(ctx):
     return Pipeline(stages=[scaler, rff, head])
 
 
-class _HuberOnFeatures:
-    """Estimator whose fitted pipeline needs no label column: the target is standardised before the fit."""
+class _SvrOnFeatures:
+    """Support vector regression on random features, C = 1 and ε = 0.1; ``svr_loss="huber"`` fits a robust
+    regression on the standardised target instead.  The fitted pipeline needs no label column."""
 
     def __init__(self, ctx):
         self.ctx = ctx
 
     def fit(self, train: DataFrame) -> PipelineModel:
         scaler, rff = _kernel_stages(self.ctx)
+        if self.ctx.cfg.svr_loss == "huber":
+            return self.fit_huber(train, scaler, rff)
+        gamma, dim, seed = rff.getOrDefault(rff.gamma), self.ctx.dim, self.ctx.cfg.seed
+        found = fit_svr(scaler.transform(train), "scaled", "label", dim, self.ctx.cfg.rff_dim, gamma, seed)
+        head = KernelRegression(inputCol="scaled", outputCol="prediction", inputDim=dim, gamma=gamma, weights=found.weights.tolist(), intercept=found.intercept, seed=seed)
+        return PipelineModel(stages=[scaler, head])
+
+    def fit_huber(self, train: DataFrame, scaler, rff) -> PipelineModel:
         lab = train.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("s")).first()
         mu, sd = float(lab["m"]), float(lab["s"] or 1.0) or 1.0
         mapped = rff.transform(scaler.transform(train)).withColumn("label_std", (F.col("label") - mu) / sd)
@@ -177,7 +190,7 @@ REGISTRY: dict[str, list[tuple[str, Builder]]] = {
     "classification": [("LogisticRegression", _lr), ("RandomForest", _rf_c), ("GradientBoosting", _gb_c),
                        ("SVC_RFF", _svc), ("DecisionTree", _dt_c)],
     "regression": [("LinearRegression", _lin), ("RandomForest", _rf_r), ("GradientBoosting", _gb_r),
-                   ("SVR_RFF_Huber", _HuberOnFeatures), ("DecisionTree", _dt_r)],
+                   ("SVR_RFF", _SvrOnFeatures), ("DecisionTree", _dt_r)],
 }
 
 
@@ -267,6 +280,49 @@ def cross_validate(df: DataFrame, cfg: TrainConfig, folds: int = 5) -> DataFrame
                                                   F.stddev_samp("score").alias("std_score"))
 
 
+class FitInterrupted(RuntimeError):
+    """A fit took longer than its budget and its jobs were cancelled."""
+
+
+def _fit(spark, estimator, train: DataFrame, cfg: TrainConfig):
+    """The fitted model; with ``cfg.interrupt`` the fit's jobs carry a tag of their own, by which they are cancelled when its time is up.
+
+    The fit then runs in a thread that inherits the session's tags, so that a cancelled
+    job ends it; nothing else of the session is touched.
+    """
+    if not cfg.interrupt or cfg.timeout_seconds is None:
+        return estimator.fit(train)
+    tag, out = f"fit-{uuid.uuid4().hex}", {}
+
+    def work() -> None:
+        spark.addTag(tag)
+        spark.sparkContext.addJobTag(tag)  # jobs below the Dataset interface, as the trees' own
+        try:
+            out["model"] = estimator.fit(train)
+        except Exception as e:  # noqa: BLE001 - told to the caller below
+            out["error"] = e
+        finally:
+            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
+
+    thread = InheritableThread(target=work, daemon=True)
+    thread.start()
+    thread.join(cfg.timeout_seconds)
+    if thread.is_alive():
+        late = time.time()
+        while thread.is_alive():  # a fit is many jobs: whichever it starts next is cancelled too
+            spark.interruptTag(tag)
+            spark.sparkContext.cancelJobsWithTag(tag)
+            thread.join(0.2)
+            if time.time() - late > 60:
+                break
+        if "model" not in out:
+            raise FitInterrupted(f"cancelled after {cfg.timeout_seconds} s")
+    if "error" in out:
+        raise out["error"]
+    return out["model"]
+
+
 def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -> CompareResult:
     from tessera.operators.importance import permutation_importance
 
@@ -305,7 +361,7 @@ def _compare_marked(marked: DataFrame, cfg: TrainConfig, explain: bool = True) -
         try:
             t0 = time.time()
             est = build(ctx)
-            model = est.fit(train)
+            model = _fit(spark, est, train, cfg)
             elapsed = time.time() - t0
             if cfg.timeout_seconds is not None and elapsed > cfg.timeout_seconds:
                 over_budget.append(name)

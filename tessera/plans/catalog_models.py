@@ -163,7 +163,7 @@ def q_permutation_importance(spark, sf):
     from tessera.operators.sampling import split_flag
 
     res = _run(spark, sf, "regression")
-    name = "SVR_RFF_Huber"
+    name = "SVR_RFF"
     df = table(spark, sf, "customer")
     test = res.features.transform(df.where(~split_flag(["c_custkey"], 0.8, 42)))
     return permutation_importance(res.models[name], test, res.feature_names, res.family, repeats=5, seed=42).select(

@@ -6,7 +6,10 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from tessera.functions.types import qcol
 
 from tessera.operators.artifact import pipeline_model
@@ -82,32 +85,67 @@ def load_package(spark: SparkSession, path: str) -> ModelPackage:
 
 
 class RunStore:
-    """Results of runs kept by ``run_id`` (one partition folder per run); fetch = filter, clear = drop folder."""
+    """Results of runs kept by ``run_id``: a table a result name, a partition a run, and a manifest of what each run has put.
+
+    Everything goes through DataFrames: a run's partition is overwritten alone (dynamic
+    partition overwrite); the manifest has a row a run and name, which says whether it
+    is there, the kinds of its columns and its rows.  Clearing a run empties its partitions.
+    """
+
+    MANIFEST = "run_id string, name string, rows long, columns string, present boolean"
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
+    def _overwrite(self, df: DataFrame, path: str, *by: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+    def _note(self, rows: list[tuple]) -> None:
+        self._overwrite(self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1), f"{self.base}/manifest", "run_id", "name")
+
+    def manifest(self) -> DataFrame:
+        """``(run_id, name, rows, columns)`` of everything that is there."""
+        schema = T.StructType.fromDDL(self.MANIFEST)
+        empty = self.spark.createDataFrame([], schema)
+        try:
+            found = self.spark.read.schema(schema).parquet(f"{self.base}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = empty
+        return found.where("present").select("run_id", "name", "rows", "columns")
+
     def put(self, run_id: str, name: str, df: DataFrame) -> None:
-        (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-         .parquet(f"{self.base}/{name}"))
+        path = f"{self.base}/results/{name}"
+        self._overwrite(df.withColumn("run_id", F.lit(run_id)), path, "run_id")
+        kept = self.spark.read.schema(_with_run(df.schema)).parquet(path).where(F.col("run_id") == run_id)
+        self._note([(run_id, name, kept.count(), df.schema.json(), True)])
 
     def get(self, run_id: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}").where(F.col("run_id") == run_id).drop("run_id")
+        """What the run has put under the name; an empty frame if nothing."""
+        noted = self.manifest().where((F.col("run_id") == run_id) & (F.col("name") == name)).first()
+        if noted is None:
+            other = self.manifest().where(F.col("name") == name).first()
+            return self.spark.createDataFrame([], T.StructType.fromJson(json.loads(other["columns"])) if other else T.StructType())
+        schema = T.StructType.fromJson(json.loads(noted["columns"]))
+        return self.spark.read.schema(_with_run(schema)).parquet(f"{self.base}/results/{name}").where(F.col("run_id") == run_id).drop("run_id")
 
     def clear(self, run_id: str, name: str | None = None) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        names = [name] if name else self.names()
-        for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}/run_id={run_id}")
-            fs = p.getFileSystem(conf)
-            if fs.exists(p):
-                fs.delete(p, True)
+        for noted in self.manifest().where(F.col("run_id") == run_id).collect():  # one row a result of the run
+            if name in (None, noted["name"]):
+                schema = T.StructType.fromJson(json.loads(noted["columns"]))
+                # an overwrite without rows touches no partition: one row of nulls takes the place of the run's
+                gone = self.spark.createDataFrame([(None,) * len(schema) + (run_id,)], _with_run(schema))
+                self._overwrite(gone.coalesce(1), f"{self.base}/results/{noted['name']}", "run_id")
+                self._note([(run_id, noted["name"], 0, noted["columns"], False)])
 
     def names(self) -> list[str]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        return sorted(r["name"] for r in self.manifest().select("name").distinct().collect())
+
+    def runs(self) -> list[str]:
+        return sorted(r["run_id"] for r in self.manifest().select("run_id").distinct().collect())
+
+
+def _with_run(schema: T.StructType) -> T.StructType:
+    nullable = [T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]
+    return T.StructType([*nullable, T.StructField("run_id", T.StringType())])
