@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.rows import named, packed
 from tessera.session import materialise
 
 #: Code points in an n-gram, bits of a slot, rows of a class in the sample, rows of a shard, rounds of averaging, passes a round, smoothing.
@@ -135,16 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """The columns of ``df`` plus score (0 to 1) and predicted (score >= 0.5)."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in df.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
+    sent, added = df.sparkSession.sparkContext.broadcast(model), ("score", "predicted")
+    source = df.select(packed(df, (text, *added)).alias("row"), named(text).alias("text"))
+    schema = T.StructType([source.schema["row"], *[source.schema["text"]] * keep_text, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([sent.value.score(t.as_py()) for t in batch.column("_text")], float)
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(scores), pa.array((scores >= 0.5).astype("int32"))], names=[f.name for f in schema])
+            scores = np.array([sent.value.score(t.as_py()) for t in batch.column("text")], float)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[batch.column("text")] * keep_text, pa.array(scores), pa.array((scores >= 0.5).astype("int32"))], names=[f.name for f in schema])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema)
+    kept = [c for c in df.columns if c not in added and (keep_text or c != text)]
+    return found.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], *added)
 
 
 def held_out(doc_id: Column) -> Column:

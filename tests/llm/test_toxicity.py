@@ -49,3 +49,13 @@ def test_edges(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert none.score("idiot") == 0.0
     assert toxicity.fit(docs, labels.where("toxic = 1")).score("") == 1.0
+
+
+def test_other_columns_keep_their_names(spark):
+    import numpy as np
+
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS), 0.0)
+    df = spark.createDataFrame([(1, "t", "x", "y", 5)], "doc_id long, text string, _text string, `a.b` string, score int")
+    out = toxicity.score(df, model)
+    assert out.columns == ["doc_id", "text", "_text", "a.b", "score", "predicted"] and [tuple(r) for r in out.collect()] == [(1, "t", "x", "y", 0.5, 1)]
+    assert toxicity.score(df, model, keep_text=False).columns == ["doc_id", "_text", "a.b", "score", "predicted"]
