@@ -10,7 +10,8 @@ the union of the windows that others own is cut out, so a repeated passage goes
 from its first to its last common cut, and nothing below ``min_run`` bytes that
 texts share by chance does.  A cut keeps whole words.
 
-Only text that is repeated somewhere sends its windows.  It is found by anchors:
+A document whose whole text one of smaller id holds loses all its windows, which its
+text's digest tells; it sends none.  Of the others, only text that is repeated somewhere sends its windows.  It is found by anchors:
 of every ``min_run`` bytes the smallest 40-bit gear hash of 32 of them (some two
 in 65 bytes).  Equal windows have equal anchors, so none is missed; a hash that
 two texts share by chance costs a few rows.  One row a distinct anchor or window
@@ -36,11 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.near_dup import mixed
+from tessera.llm.packing import sliced
+from tessera.llm.rows import packed
+from tessera.session import materialise
 
 #: Bytes: shortest and longest chunk, shortest run that is cut out.  Zero bits at a cut.
 SHORTEST, LONGEST, MIN_RUN, CUT_BITS = 4, 256, 96, 3
 #: Bytes of a chunk above which its words are chunks; bits of an anchor.
 SPARSE, ANCHOR_BITS = 64, 40
+#: In place of a copy's anchors; bytes of text taken at a time (bounds memory only).
+COPY, SLICE_BYTES = -1, 4_000_000
 GEAR = np.random.default_rng(20_250_101).integers(0, 1 << 16, 256, dtype=np.uint16)
 ANCHOR_GEAR = np.random.default_rng(20_250_102).integers(0, 1 << 64, 256, dtype=np.uint64)
 SPACES = b" \t\n\v\f\r"
@@ -111,8 +117,23 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return np.unique(values[np.append(True, values[1:] != values[:-1])]) if len(values) else values
 
 
-def shared_anchors(docs: DataFrame, min_run: int) -> DataFrame:
-    """(doc_id, anchors): the anchors of a document that others hold too."""
+def copies(docs: DataFrame) -> DataFrame:
+    """The doc_id of each document all of whose texts a document of smaller id holds as a whole.
+
+    Every window of such a document is another's, so it needs neither anchors nor windows to tell.
+    """
+    texts = held(docs).select("doc_id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"))
+    several = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    found = texts.join(several, "digest", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
+    return found.where("copy").select("doc_id")
+
+
+def held(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+
+
+def shared_anchors(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, anchors): the anchors of a document that others hold too; ``COPY`` alone for the copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,47 +143,63 @@ def shared_anchors(docs: DataFrame, min_run: int) -> DataFrame:
                 repeated = np.repeat(ids[start : start + 500], [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate(found))], names=["doc_id", "anchor"])
 
-    named = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = named.mapInArrow(run, "doc_id long, anchor long")
+    every = held(docs).mapInArrow(run, "doc_id long, anchor long")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
-    return every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    both = every.join(shared, "anchor").select("doc_id", "anchor").unionByName(copied.select("doc_id", F.lit(COPY).cast("long").alias("anchor")))
+    found = both.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    return found.select("doc_id", F.when(F.array_contains("anchors", F.lit(COPY).cast("long")), F.array(F.lit(COPY).cast("long"))).otherwise(F.col("anchors")).alias("anchors"))
 
 
 def beside(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``name`` of ``found`` (doc_id, name) as ``_name``, null for a document that has none.
+    """``docs`` (doc_id, text, row) with ``name`` of ``found`` (doc_id, name), null for a document that has none.
 
     One plan for both uses, so that the texts are shuffled once.
     """
-    named = found.select(F.col("doc_id").alias("_id"), F.col(name).alias(f"_{name}"))
-    return docs.join(named, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    return docs.join(found.select("doc_id", name), "doc_id", "left")
 
 
-def shared_windows(docs: DataFrame, min_run: int) -> DataFrame:
-    """(doc_id, d0, d1): the windows of each document that others may hold too."""
+def shared_windows(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, d0, d1): the windows of each document that others may hold too, but for copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("_anchors").is_valid())
-            for doc_id, text, shared in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), batch.column("_anchors"), strict=True):
-                data = text.as_py() or b""
-                maybe = np.isin(anchors(data, min_run), shared.values.to_numpy())
-                start, stop = windows(data, min_run)
-                chosen = maybe[start] & maybe[stop - min_run]
-                keys = {xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start[chosen].tolist(), stop[chosen].tolist(), strict=True)}
+        for whole in batches:
+            whole = whole.filter(whole.column("anchors").is_valid())
+            for batch in sliced(whole, SLICE_BYTES):
+                ids, keys = [], []
+                for doc_id, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("anchors"), strict=True):
+                    found = shared.values.to_numpy()
+                    if found[0] == COPY:
+                        continue
+                    data = text.as_py() or b""
+                    maybe = np.isin(anchors(data, min_run), found)
+                    start, stop = windows(data, min_run)
+                    chosen = maybe[start] & maybe[stop - min_run]
+                    own = {xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start[chosen].tolist(), stop[chosen].tolist(), strict=True)}
+                    ids.append(np.full(len(own), doc_id, np.int64))
+                    keys.extend(own)
                 both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), int(doc_id.as_py()))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "d0", "d1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *ids])), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "d0", "d1"])
 
-    return beside(docs, shared_anchors(docs, min_run), "anchors").mapInArrow(run, "doc_id long, d0 long, d1 long")
+    return beside(docs, shared_anchors(docs, copied, min_run), "anchors").mapInArrow(run, "doc_id long, d0 long, d1 long")
 
 
-def foreign_windows(docs: DataFrame, min_run: int) -> DataFrame:
-    """(doc_id, foreign): the digests of a document's windows that a document of smaller id owns, 16 bytes each."""
-    every = shared_windows(docs, min_run)
+def foreign_windows(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, foreign): the digests of a document's windows that a document of smaller id owns, 16 bytes each; one null for a copy."""
+    every = shared_windows(docs, copied, min_run)
     owned = every.groupBy("d0", "d1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    return every.join(owned, ["d0", "d1"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("d0", "d1")).alias("foreign"))
+    found = every.join(owned, ["d0", "d1"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("d0", "d1")).alias("foreign"))
+    whole = F.array(F.lit(None).cast(found.schema["foreign"].dataType.elementType))
+    return found.unionByName(copied.select("doc_id", whole.alias("foreign")))
+
+
+class Everything:
+    """The windows of others, to a copy."""
 
+    def __contains__(self, digest: bytes) -> bool:
+        return True
 
-def runs(data: bytes, foreign: set[bytes], min_run: int) -> list[tuple[int, int]]:
+
+def runs(data: bytes, foreign: set[bytes] | Everything, min_run: int) -> list[tuple[int, int]]:
     """Byte ranges to cut out: the union of the foreign windows, shrunk to whole words."""
     joined: list[list[int]] = []
     for (start, stop), digest in zip(*digests(data, min_run), strict=True):
@@ -186,34 +223,37 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """The columns of ``docs`` with the remaining ``text``, plus ``spans`` (what was cut out, as
     code points of the old text) and ``n_removed`` (code points)."""
     added = {"spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])), "n_removed": T.LongType()}
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *[T.StructField(n, t) for n, t in added.items()]])
-    at = [f.name for f in kept].index("text")
+    names = [c for c in docs.columns if c not in added]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", packed(docs, ("text", *added)).alias("row"))
+    schema = T.StructType([source.schema["row"], source.schema["text"], *[T.StructField(n, t) for n, t in added.items()]])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, removed = batch.column("text").to_pylist(), [], []
-            for i, foreign in enumerate(batch.column("_foreign")):
-                spans.append([])
-                if foreign.is_valid and texts[i]:
-                    pairs = foreign.values.flatten()
-                    keys = np.stack([p.to_numpy() for p in pairs], 1).astype("<i8").tobytes()
-                    data = texts[i].encode()
-                    pieces, last = [], 0
-                    for start, stop in runs(data, {keys[k : k + 16] for k in range(0, len(keys), 16)}, min_run):
-                        pieces.append(data[last:start])
-                        first = len(data[:start].decode())
-                        spans[-1].append({"start": first, "stop": first + len(data[start:stop].decode())})
-                        last = stop
-                    texts[i] = (b"".join(pieces) + data[last:]).decode()
-                removed.append(sum(s["stop"] - s["start"] for s in spans[-1]))
-            columns = [batch.column(f.name) for f in kept]
-            columns[at] = pa.array(texts, pa.string())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(removed, pa.int64())], names=[f.name for f in schema])
-
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    return beside(docs, foreign_windows(docs, min_run), "foreign").mapInArrow(run, schema)
+        for whole in batches:
+            for batch in sliced(whole, SLICE_BYTES):
+                texts, spans, removed = batch.column("text").to_pylist(), [], []
+                for i, foreign in enumerate(batch.column("foreign")):
+                    spans.append([])
+                    if foreign.is_valid and texts[i]:
+                        if foreign.values.null_count:
+                            others = Everything()
+                        else:
+                            pairs = foreign.values.flatten()
+                            keys = np.stack([p.to_numpy() for p in pairs], 1).astype("<i8").tobytes()
+                            others = {keys[k : k + 16] for k in range(0, len(keys), 16)}
+                        data = texts[i].encode()
+                        pieces, last = [], 0
+                        for start, stop in runs(data, others, min_run):
+                            pieces.append(data[last:start])
+                            first = len(data[:start].decode())
+                            spans[-1].append({"start": first, "stop": first + len(data[start:stop].decode())})
+                            last = stop
+                        texts[i] = (b"".join(pieces) + data[last:]).decode()
+                    removed.append(sum(s["stop"] - s["start"] for s in spans[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(spans, kind), pa.array(removed, pa.int64())], names=[f.name for f in schema])
+
+    found = beside(source, foreign_windows(source, materialise(copies(source), "chunk-copies"), min_run), "foreign").mapInArrow(run, schema)
+    return found.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], *added)
 
 
 def op8_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -217,7 +217,7 @@ def tokenise(docs: DataFrame, path: str | None = None, text: str = "text", capac
 
 def sliced(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``most`` bytes of text (one text may have more)."""
-    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right")))

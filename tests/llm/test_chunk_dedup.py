@@ -119,3 +119,21 @@ def test_edges(spark):
     assert (3, None) in got and (4, "") in got and (5, long) in got
     assert len(next(t for i, t in got if i == 6)) < 1500
     assert c.dedup(df.limit(0)).count() == 0
+
+
+def test_copies_and_names(spark):
+    """Whole copies lose what their windows cover; another text under the same doc_id is judged by itself; names are safe."""
+    rng = random.Random(8)
+    a, b, d = words(rng, 120), words(rng, 120), words(rng, 120)
+    rows = [(1, a), (2, a), (3, a), (3, d), (4, b), (4, b), (5, a + " " + words(rng, 40)), (6, "short"), (7, "short"), (8, None)]
+    df = spark.createDataFrame([(i, t, "id", "an", "f", "dot") for i, t in rows], "doc_id long, text string, _id string, _anchors string, foreign string, `a.b` string").repartition(3)
+    out = c.dedup(df)
+    assert out.columns == ["doc_id", "text", "_id", "_anchors", "foreign", "a.b", "spans", "n_removed"]
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    cut = lambda t: "".join(t[x:y] for x, y in zip([0, *(q for _, q in c.runs(t.encode(), c.Everything(), c.MIN_RUN))], [*(p for p, _ in c.runs(t.encode(), c.Everything(), c.MIN_RUN)), len(t)]))
+    assert [t for i, t in got if i == 1] == [a] and [t for i, t in got if i == 2] == [cut(a)]
+    assert [t for i, t in got if i == 4] == [b, b] and [t for i, t in got if i in (6, 7)] == ["short", "short"]
+    three = [t for i, t in got if i == 3]
+    assert d in three and min(map(len, three)) < 30
+    assert {i for (i,) in c.copies(df.select("doc_id", "text")).collect()} == {2, 7}
+    assert {(r._id, r._anchors, r.foreign, r["a.b"]) for r in out.collect()} == {("id", "an", "f", "dot")}
