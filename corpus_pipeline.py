@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, chunk_dedup, near_dup, source_mix, toxicity
+from tessera.llm.rows import packed, unpacked
 from tessera.session import materialise
 
 #: No stage can be written in SQL as a whole: the fitted classifier, chunking and merges have no SQL form.
@@ -25,8 +26,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.fit_on_labels(spark, docs, sf_dir)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return toxicity.score(named, model).where("predicted = 0").select("row.*")
+    found = toxicity.score(docs.select(packed(docs, ("text",)).alias("row"), "text"), model).where("predicted = 0")
+    return found.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +38,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     by that hash; of the exact repeats of a row one stays.
     """
     row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    named = docs.withColumn("_row", row)
-    groups = near_dup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
-    groups = materialise(groups.where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id"), "pipeline-groups")
+    named = docs.select(row.alias("id"), packed(docs).alias("row"))
+    groups = near_dup.near_duplicates(docs.select(row.alias("doc_id"), "text"))
+    groups = materialise(groups.where("doc_id is not null").select(F.col("doc_id").alias("id"), "component_id"), "pipeline-groups")
     linked = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
     several = groups.distinct().join(linked, "component_id")
-    ids = materialise(named.where(F.col("_row").isNotNull()).select("_row", F.struct(*docs.columns).alias("row")).join(several, "_row"), "pipeline-linked")
-    stays = ids.groupBy("component_id").agg(F.min("row").alias("row")).select("row.*")
-    return named.join(ids.select("_row").distinct(), "_row", "left_anti").select(docs.columns).unionByName(stays)
+    ids = materialise(named.where(F.col("id").isNotNull()).join(several, "id"), "pipeline-linked")
+    stays = ids.groupBy("component_id").agg(F.min("row").alias("row"))
+    every = named.join(ids.select("id").distinct(), "id", "left_anti").select("row").unionByName(stays.select("row"))
+    return every.select(*unpacked(every, docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token_ids; every text's ids are decoded, and the run fails unless that gives the text."""
-    both = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", F.col("text").alias("original")), outputs=("token_ids", "decoded"))
-    same = F.col("decoded") == F.coalesce("original", F.lit("")).cast("binary")
+    both = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("original")), outputs=("token_ids", "decoded"))
+    same = F.sha2("decoded", 256) == F.col("original")
     ids = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("ids don't decode to the text")).cast("array<int>"))
     return both.select("doc_id", "lang", "source", ids.alias("token_ids"))
 
