@@ -37,9 +37,9 @@ def _affine(n: int, seed: int, r: int) -> tuple[int, int]:
     if n <= 1:
         return 1, 0
     while True:
-        a = rng.randrange(1, n)
-        if math.gcd(a, n) == 1:
-            return a, rng.randrange(0, n)
+        a, c = rng.randrange(1, n), rng.randrange(0, n)
+        if math.gcd(a, n) == 1 and (a, c) != (1, 0):  # that one would leave every row where it is
+            return a, c
 
 
 def permutation_importance(model, test: DataFrame, names: list[str], fam: str, repeats: int = 5,

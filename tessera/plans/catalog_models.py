@@ -158,16 +158,23 @@ def q_top_features(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Permutation importance of the kernel (RFF) regressor, which has no native importance."""
-    from tessera.operators.importance import permutation_importance
-    from tessera.operators.sampling import split_flag
-
-    res = _run(spark, sf, "regression")
-    name = "SVR_RFF"
-    df = table(spark, sf, "customer")
-    test = res.features.transform(df.where(~split_flag(["c_custkey"], 0.8, 42)))
-    return permutation_importance(res.models[name], test, res.feature_names, res.family, repeats=5, seed=42).select(
-        F.lit(name).alias("model"), "feature", "importance")
+    """Permutation importance of the kernel (RFF) regressor, which has no native importance; its training included."""
+    cfg = TrainConfig("c_acctbal", "regression", split_keys=("c_custkey",), models=("SVR_RFF",))
+    return compare_models(table(spark, sf, "customer"), cfg).importance
+
+
+@register("rule_leaderboard_export")
+def q_rule_leaderboard_export(spark, sf):
+    """The leaderboard of the fixed rules, marked with the best one, written as CSV and read again."""
+    from tessera.session import scratch_path
+    from tessera.sources import sinks
+
+    scores = ("accuracy", "precision", "recall", "f1")
+    board = _class_board(spark, sf).withColumns({c: F.round(c, 6) for c in scores}).withColumn("training_time", F.lit(None).cast("double"))
+    best = metrics.best_model(board, "classification").first()["model"]
+    path = sinks.export_leaderboard(board, best, "classification", scratch_path(spark, "rule_leaderboard"))
+    back = spark.read.option("header", True).csv(path)
+    return back.select("Model", "Best_Model", *[F.col(c).cast("double").alias(c) for c in ("Accuracy", "Precision", "Recall", "F1")])
 
 
 # ------------------------------------------------------------------ fits with a closed form, checked by SQL

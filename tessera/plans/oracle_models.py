@@ -50,6 +50,10 @@ ORACLE["classification_metrics"] = (
     f"SELECT model AS rule, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, "
     f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_CB})"
 )
+ORACLE["rule_leaderboard_export"] = (
+    "SELECT model AS \"Model\", CASE WHEN row_number() OVER (ORDER BY COALESCE(accuracy, '-inf'::DOUBLE) DESC, model_idx) = 1 THEN 'Yes' ELSE 'No' END AS \"Best_Model\", "
+    f"round(accuracy, 6) AS \"Accuracy\", round(precision, 6) AS \"Precision\", round(recall, 6) AS \"Recall\", round(f1, 6) AS \"F1\" FROM ({_CB})"
+)
 ORACLE["regression_metrics"] = f"SELECT model AS rule, printf('%.9e', mse) AS mse_sci, round(r2, 6) AS r2 FROM ({_RB})"
 ORACLE["best_model"] = (
     f"SELECT * FROM (SELECT 'classification' AS family, model AS rule, CAST(model_idx AS INTEGER) AS model_idx, "
