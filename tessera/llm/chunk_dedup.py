@@ -144,7 +144,7 @@ def shared_anchors(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate(found))], names=["doc_id", "anchor"])
 
     every = held(docs).mapInArrow(run, "doc_id long, anchor long")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")  # once a row of docs; rows of one doc_id cost a little
     both = every.join(shared, "anchor").select("doc_id", "anchor").unionByName(copied.select("doc_id", F.lit(COPY).cast("long").alias("anchor")))
     found = both.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     return found.select("doc_id", F.when(F.array_contains("anchors", F.lit(COPY).cast("long")), F.array(F.lit(COPY).cast("long"))).otherwise(F.col("anchors")).alias("anchors"))
@@ -186,7 +186,7 @@ def shared_windows(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFram
 def foreign_windows(docs: DataFrame, copied: DataFrame, min_run: int) -> DataFrame:
     """(doc_id, foreign): the digests of a document's windows that a document of smaller id owns, 16 bytes each; one null for a copy."""
     every = shared_windows(docs, copied, min_run)
-    owned = every.groupBy("d0", "d1").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owned = every.groupBy("d0", "d1").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = every.join(owned, ["d0", "d1"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("d0", "d1")).alias("foreign"))
     whole = F.array(F.lit(None).cast(found.schema["foreign"].dataType.elementType))
     return found.unionByName(copied.select("doc_id", whole.alias("foreign")))
