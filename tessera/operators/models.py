@@ -87,6 +87,8 @@ def _lr(ctx):
 # instead of re-walking every tree, and let forests aggregate more nodes per pass
 _TREE_EXEC = {"cacheNodeIds": True, "checkpointInterval": 10}
 _FOREST_EXEC = dict(_TREE_EXEC, maxMemoryInMB=1024)
+# a boosted tree is too shallow for that: its three levels are walked faster than the ids are kept and checkpointed
+_BOOST_EXEC = {"cacheNodeIds": False, "checkpointInterval": 10}
 
 
 def _rf_c(ctx):
@@ -97,7 +99,7 @@ def _rf_c(ctx):
 
 def _gb_c(ctx):
     gbt = GBTClassifier(maxIter=ctx.cfg.boost_iters, maxDepth=ctx.cfg.boost_depth, stepSize=0.1,
-                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_TREE_EXEC)
+                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_BOOST_EXEC)
     return gbt if ctx.num_classes <= 2 else OneVsRest(classifier=gbt, parallelism=_ovr_threads(ctx))
 
 
@@ -123,7 +125,7 @@ def _rf_r(ctx):
 
 def _gb_r(ctx):
     return GBTRegressor(maxIter=ctx.cfg.boost_iters, maxDepth=ctx.cfg.boost_depth, stepSize=0.1,
-                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_TREE_EXEC)
+                        maxBins=ctx.cfg.max_bins, seed=ctx.cfg.seed, **_BOOST_EXEC)
 
 
 def _dt_r(ctx):
