@@ -1,19 +1,26 @@
 """Scoring texts by a Brown class-based bigram model.
 
 Words are in classes; P(word | word before) = P(class | class before) P(word | class).
-Exchange clustering finds the classes: starting from classes dealt out by frequency,
-each unit moves to the class in which the likelihood of the class bigrams is highest,
-half of the units in each round, until the rounds are used up.  Units are the
-most frequent words and, for all others, groups of words that
-share the hash of their first and last two bytes (the end token is a unit too), so every word has a class, at any size
-of the vocabulary.
-
-What is counted covers all training texts: words (one row a distinct word and task,
-then summed), unit bigrams (likewise; at most the square of the number of units after the sum).
-A clustering round adds up, task by task, how often each unit stands before and
-after each class; units times classes of these counts decide the moves.  In scoring, up to 200,000
-of the most frequent words of at most 64 bytes go with the tasks (a bounded table); counts of
-the others are joined to the texts' distinct other words.
+Exchange clustering finds the classes: a unit moves to the class in which the
+likelihood of the class bigrams is highest.  It is done in two steps.
+
+1. Units are the most frequent words, the end token, and groups of all other words
+   that share the hash of their first and last two bytes.  They start dealt out by
+   frequency; half of them move in each round, until the rounds are used up or the
+   likelihood stops rising, and the classes of the best round are taken.
+2. Every other word of at least ``least`` training occurrences, whatever its length
+   and however many there are, moves from its group's class to the best one for its
+   own contexts (the classes before and after all its occurrences).  The move stands
+   only if the likelihood of the recounted class bigrams rises.  Words below ``least``
+   back off to their group's class; ``least=None`` leaves step 2 out.
+
+What is counted covers all training texts.  Texts are turned once into blocks of
+word numbers (written to the shared folder): up to 200,000 of the most frequent words
+of at most 64 bytes are numbered alike everywhere (a bounded table sent to the tasks,
+only a shorter way to the same counts and classes), the others are listed in each
+block and get their count and class by a join of (block, word) rows.  Unit bigrams are
+at most the square of the number of units after the sum; the contexts of a word are
+one row a block, summed in the order of words with at most 2 x classes numbers each.
 
 P(class | class before) is smoothed by adding five times P(class); a share u of
 the probability, the training texts' singletons over their tokens and singletons, is
@@ -31,12 +38,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +51,12 @@ from tessera.session import materialise
 
 #: Longest word of the dictionary, in bytes.
 LONGEST = 64
+BLOCK = "block long, numbers binary, lengths binary, doc_ids array<long>, held array<boolean>, others array<binary>"
+CLASSED = "lengths binary, doc_ids array<long>, held array<boolean>, classes binary, known binary, base binary, part binary"
+#: One of a word's contexts: the class before it, or the number of classes plus the class after it; how often.
+CONTEXT = np.dtype([("code", "u1"), ("n", "<u4")])
+#: Added to the class of a token that no training text has.
+UNSEEN = 128
 
 
 @dataclass(frozen=True)
@@ -51,10 +64,11 @@ class Shape:
     units: int = 4096  # words that are units by themselves
     groups: int = 1024  # of the other words
     classes: int = 64
-    rounds: int = 7  # of clustering
+    rounds: int = 7  # of clustering the units, at most
     dictionary: int = 200_000  # words sent to the tasks
     smooth: float = 5.0
     block: int = 1_000_000  # tokens handled at a time
+    least: int | None = None  # occurrences from which any other word has a class of its own
 
     @property
     def size(self) -> int:
@@ -71,7 +85,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class Numbers(dict):
-    """word -> number: of the dictionary, or of words met in this task."""
+    """word -> number: of the dictionary, or of words met in this block."""
 
     def __init__(self, words: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(words))
@@ -82,45 +96,67 @@ class Numbers(dict):
         self.others.append(word)
         return number
 
+    def forget(self) -> None:
+        for word in self.others:
+            del self[word]
+        self.others = []
 
-class Streams:
-    """Blocks of texts as one stream of word numbers, an end after each text.
 
-    Numbers: dictionary words, then the end, then words met in this task.
-    """
+def dictionary_units(words: list[bytes], shape: Shape) -> np.ndarray:
+    """Unit of each dictionary word, then of the end."""
+    own = [i if i < shape.units else shape.group_of(w) for i, w in enumerate(words)]
+    return np.array([*own, shape.size - 1])
+
 
-    def __init__(self, words: list[bytes], shape: Shape):
-        self.words, self.shape = words, shape
-        self.reset()
+def encode(docs: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) as blocks of whole texts, an end after each text.
 
-    def reset(self) -> None:
-        self.numbers = Numbers([*self.words, b" "])  # no word has a space
+    Numbers: dictionary words, then the end, then the block's ``others``.
+    """
 
-    def units(self) -> np.ndarray:
-        """Unit of each number."""
-        group = self.shape.group_of
-        own = [i if i < self.shape.units else group(w) for i, w in enumerate(self.words)]
-        return np.array([*own, self.shape.size - 1, *map(group, self.numbers.others)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers([*words.value, b" "])  # no word has a space
+        streams, ids, held, size, block = [], [], [], 0, TaskContext.get().partitionId() << 32
+
+        def written() -> pa.RecordBatch:
+            columns = [[block], [np.concatenate(streams).tobytes()], [np.array([len(x) for x in streams], np.int64).tobytes()], [ids], [held], [numbers.others]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "numbers", "lengths", "doc_ids", "held", "others"])
 
-    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
-        """(numbers, lengths of the texts with their ends, the rows) of each block."""
-        streams, rows, size = [], [], 0
         for batch in batches:
-            start = 0
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+            for doc_id, text, out in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), batch.column("held_out"), strict=True):
                 found = tokens(text.as_py())
                 found.append(b" ")
-                streams.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
+                streams.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                ids.append(doc_id.as_py())
+                held.append(out.as_py())
                 size += len(found)
-                if size >= self.shape.block:
-                    yield np.concatenate(streams), np.array([len(s) for s in streams]), [*rows, batch.slice(start, i + 1 - start)]
-                    streams, rows, size, start = [], [], 0, i + 1
-                    if len(self.numbers.others) > 1_000_000:
-                        self.reset()
-            if start < batch.num_rows:
-                rows.append(batch.slice(start))
+                if size >= shape.block:
+                    yield written()
+                    numbers.forget()
+                    streams, ids, held, size, block = [], [], [], 0, block + 1
         if streams:
-            yield np.concatenate(streams), np.array([len(s) for s in streams]), rows
+            yield written()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, BLOCK)
+
+
+def learnt(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, which of them are of training texts) of a block."""
+    lengths = np.frombuffer(row["lengths"], np.int64)
+    return np.frombuffer(row["numbers"], np.int32), np.repeat(~np.array(row["held"], bool), lengths)
+
+
+def block_units(row: dict, known: np.ndarray, shape: Shape) -> np.ndarray:
+    """Unit of each number of a block; ``known`` are those of the dictionary and the end."""
+    return np.concatenate([known, np.fromiter(map(shape.group_of, row["others"]), np.int64, len(row["others"]))])
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of all batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -139,21 +175,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(texts: DataFrame, words, shape: Shape) -> DataFrame:
+def count_pairs(blocks: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
     """(a, b, n): how often unit b follows unit a; the end stands before a text's first word."""
     size = shape.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams, codes, counts = Streams(words.value, shape), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for numbers, _, _ in streams.blocks(batches):
-            units = streams.units()[numbers]
-            found, n = np.unique(np.concatenate([[size - 1], units[:-1]]) * size + units, return_counts=True)
+        known, codes, counts = dictionary_units(words.value, shape), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for row in block_rows(batches):
+            numbers, train = learnt(row)
+            units = block_units(row, known, shape)[numbers[train]]
+            found, n = np.unique(np.concatenate([[size - 1], units[:-1]]) * size + units, return_counts=True) if len(units) else (codes[:0], counts[:0])
             every, place = np.unique(np.concatenate([codes, found]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)  # exact below 2^53
+            counts = np.bincount(place, np.concatenate([counts, n]), len(every)).astype(np.int64)  # exact below 2^53
             codes = every
         yield pa.RecordBatch.from_arrays([pa.array((codes // size).astype("int32")), pa.array((codes % size).astype("int32")), pa.array(counts)], names=["a", "b", "n"])
 
-    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return blocks.select("numbers", "lengths", "held", "others").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
@@ -215,32 +252,132 @@ def bigrams_of(after: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange(pairs: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit, and the class bigram counts."""
+def likelihood(bigrams: np.ndarray) -> float:
+    """The part of the training texts' log likelihood that the classes decide."""
+    return float(x_log_x(bigrams).sum() - x_log_x(bigrams.sum(0)).sum() - x_log_x(bigrams.sum(1)).sum())
+
+
+def exchange(pairs: DataFrame, shape: Shape, gain: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and the class bigram counts, of the round of the highest likelihood.
+
+    Rounds end early if both halves' last moves together raised it by less than the share ``gain``.
+    """
     size, n_classes = shape.size, shape.classes
     classes = np.arange(size) % (n_classes - 1)
     classes[-1] = n_classes - 1  # the end starts by itself
+    best, seen = None, []
     for turn in range(shape.rounds + 1):
         before, after, own = contexts(pairs, classes, n_classes)
         bigrams = bigrams_of(after, classes)
-        if turn == shape.rounds:
-            return classes, bigrams
+        seen.append(likelihood(bigrams))
+        if best is None or seen[-1] > best[0]:
+            best = seen[-1], classes, bigrams
+        if turn == shape.rounds or (turn > 2 and seen[-1] - seen[-3] <= gain * abs(seen[-3])):
+            break
         sums, moved = bigrams.sum(0), classes.copy()
         for u in range(turn % 2, size, 2):
             if after[u].any() or before[u].any():
                 moved[u] = best_class(before[u], after[u], own[u], before[u].sum(), classes[u], bigrams, sums)
         classes = moved
+    return best[1], best[2]
+
+
+def word_contexts(blocks: DataFrame, words: Broadcast, classes: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, contexts): what stands next to the words that aren't units, one row a word and block."""
+    wide = 2 * shape.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = dictionary_units(words.value, shape), len(words.value) + 1
+        for row in block_rows(batches):
+            numbers, train = learnt(row)
+            numbers = numbers[train].astype(np.int64)
+            of = classes[block_units(row, known, shape)[numbers]]
+            at = np.flatnonzero((numbers >= shape.units) & (numbers != size - 1))  # an end follows every one
+            if not len(at):
+                continue
+            before = np.where(at > 0, of[at - 1], classes[-1])
+            codes, n = np.unique(np.concatenate([numbers[at] * wide + before, numbers[at] * wide + shape.classes + of[at + 1]]), return_counts=True)
+            owner = codes // wide
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            entries = np.empty(len(codes), CONTEXT)
+            entries["code"], entries["n"] = codes % wide, n
+            offsets = (np.append(first, len(codes)) * CONTEXT.itemsize).astype("<i4")
+            found = [words.value[i] if i < size else row["others"][i - size] for i in owner[first].tolist()]
+            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+            yield from pa.table([pa.array(found, pa.binary()), packed], names=["word", "contexts"]).to_batches(20_000)
+
+    return blocks.select("numbers", "lengths", "held", "others").mapInArrow(run, "word binary, contexts binary")
+
+
+def best_classes(table: np.ndarray, at: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """Class that each word should be in: a row of ``table`` holds its counts behind and before each class,
+    ``at`` its class now, whose counts are without the word when its place there is weighed."""
+    beside = np.vstack([bigrams, bigrams.T]).astype(float)  # by (class before | class after), own class
+    sums, n_classes, out = bigrams.sum(0).astype(float), len(bigrams), np.empty(len(table), np.int64)
+    beside_log, sums_log = x_log_x(beside), x_log_x(sums)
+    for start in range(0, len(table), 500):
+        part, here = table[start : start + 500], at[start : start + 500]
+        n = part[:, :n_classes].sum(1)
+        word, code = np.nonzero(part)
+        r, own = part[word, code].astype(float), here[word]
+        each = x_log_x(beside[code] + r[:, None]) - beside_log[code]
+        row = np.arange(len(code))
+        each[row, own] = beside_log[code, own] - x_log_x(np.maximum(beside[code, own] - r, 0))
+        gain = np.add.reduceat(each, np.flatnonzero(np.diff(word, prepend=-1)))
+        total = x_log_x(sums + n[:, None]) - sums_log
+        row = np.arange(len(part))
+        total[row, here] = sums_log[here] - x_log_x(np.maximum(sums[here] - n, 0))
+        gain -= 2 * total
+        best = gain.argmax(1)
+        out[start : start + 500] = np.where(gain[row, best] > gain[row, here] + 1e-6, best, here)
+    return out
+
+
+def own_classes(found: DataFrame, classes: np.ndarray, bigrams: np.ndarray, shape: Shape) -> DataFrame:
+    """(word, n, class) of the words of ``word_contexts`` with at least ``shape.least`` occurrences."""
+    wide = 2 * shape.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def moved(words: list[bytes], table: np.ndarray) -> pa.RecordBatch:
+            n = table[:, : shape.classes].sum(1)
+            chosen = np.flatnonzero(n >= shape.least)
+            words = [words[i] for i in chosen.tolist()]
+            at = classes[np.fromiter(map(shape.group_of, words), np.int64, len(words))]
+            best = best_classes(table[chosen], at, bigrams)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[chosen], pa.int64()), pa.array(best.astype("int32"))], names=["word", "n", "class"])
+
+        last, kept = None, np.zeros((1, wide), np.int64)  # rows of a word may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            contexts = batch.column("contexts").to_pylist()
+            entries = np.frombuffer(b"".join(contexts), CONTEXT)
+            owner = np.repeat(place, [len(c) // CONTEXT.itemsize for c in contexts])
+            table = np.bincount(owner * wide + entries["code"], entries["n"], len(words) * wide).astype(np.int64).reshape(-1, wide)
+            if last is not None and words[0] != last:
+                yield moved([last], kept)
+            elif last is not None:
+                table[0] += kept[0]
+            yield moved(words[:-1], table[:-1])
+            last, kept = words[-1], table[-1:].copy()
+        if last is not None:
+            yield moved([last], kept)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
 
 
 @dataclass
 class Model:
-    """What the tasks need: the dictionary with its counts, class of each unit, log10 P(class | class before) / n(class)."""
+    """What the tasks need: the dictionary with counts and classes, class of each unit, log10 P(class | class before) / n(class)."""
 
     shape: Shape
     words: list[bytes]
     known: np.ndarray
     classes: np.ndarray
-    step: np.ndarray
+    word_classes: np.ndarray  # of the dictionary, then the end
+    step: np.ndarray | None
     ends: int
     unseen: float  # probability of a word never seen
     n_tokens: int
@@ -263,75 +400,142 @@ def frequent(counts: DataFrame, most: int) -> list:
     return sorted(chosen, key=lambda r: (-r.n, r.word))
 
 
-def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n) of all training words."""
+def classify(blocks: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Class of each token of ``blocks``, and for each text the known tokens, the base score's and the score's part that the words decide."""
+    words = blocks.select("block", F.posexplode("others").alias("place", "word")).join(counts, "word")
+    found = words.groupBy("block").agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))  # at most a block's words
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        size, units = len(m.words) + 1, dictionary_units(m.words, m.shape)
+        unseen, all_ = np.log10(m.unseen), np.log10(m.n_tokens + m.n_words + 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                others = one.column("others").flatten().to_pylist()
+                numbers = np.frombuffer(one.column("numbers")[0].as_py(), np.int32)
+                lengths = np.frombuffer(one.column("lengths")[0].as_py(), np.int64)
+                n, of = np.zeros(size + len(others), np.int64), np.empty(size + len(others), np.int64)
+                n[: size - 1], n[size - 1], of[:size] = m.known, m.ends, m.word_classes
+                of[size:] = m.classes[np.fromiter(map(m.shape.group_of, others), np.int64, len(others))]
+                joined = one.column("found").flatten()
+                if len(joined):
+                    place, own = joined.field("place").to_numpy() + size, joined.field("class")
+                    n[place] = joined.field("n").to_numpy()
+                    has = own.is_valid().to_numpy(zero_copy_only=False)
+                    of[place[has]] = own.drop_null().to_numpy()
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                times, count = n[numbers], len(lengths)
+                known = np.bincount(doc, times > 0, count).astype(np.int64)
+                base = np.bincount(doc, (np.log10(n + 1) - all_)[numbers], count)
+                part = np.bincount(doc, np.where(n > 0, np.log10(np.maximum(n, 1)), unseen)[numbers], count)
+                classes = (of[numbers] + UNSEEN * (times == 0)).astype(np.uint8)
+                columns = [one.column("lengths"), one.column("doc_ids"), one.column("held"), *[pa.array([c.tobytes()], pa.binary()) for c in (classes, known, base, part)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["lengths", "doc_ids", "held", "classes", "known", "base", "part"])
+
+    return blocks.join(found, "block", "left").select("numbers", "lengths", "doc_ids", "held", "others", "found").mapInArrow(run, CLASSED)
+
+
+def class_bigrams(classed: DataFrame, shape: Shape) -> np.ndarray:
+    """Class bigram counts of the training texts."""
+    wide = shape.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(wide * wide, np.int64)
+        for row in block_rows(batches):
+            train = np.repeat(~np.array(row["held"], bool), np.frombuffer(row["lengths"], np.int64))
+            of = np.frombuffer(row["classes"], np.uint8)[train].astype(np.int64)  # training words are all seen
+            if len(of):
+                seen += np.bincount(np.concatenate([of[-1:], of[:-1]]) * wide + of, minlength=wide * wide)  # the last is an end
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["code", "n"])
+
+    out = np.zeros(wide * wide, np.int64)
+    for r in classed.select("lengths", "held", "classes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(wide, wide)
+
+
+def steps(bigrams: np.ndarray, unseen: float, smooth: float) -> np.ndarray:
+    """log10 P(class | class before) / n(class), with the share of the unseen taken off."""
+    sums = bigrams.sum(0).astype(float)
+    share = sums / max(1.0, sums.sum())
+    after = (bigrams + smooth * share[None, :]) / (bigrams.sum(1, keepdims=True) + smooth)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(sums > 0, np.log10((1 - unseen) * after) - np.log10(sums), 0.0)
+
+
+def learn(docs: DataFrame, shape: Shape) -> tuple[Model, DataFrame, DataFrame]:
+    """From ``docs`` (doc_id, text, held_out): the model, (word, n, class) of all training words, all texts classified."""
+    texts = docs.where(~F.col("held_out")).select("text")
     counts = materialise(count_words(texts), "lm-words")
     total, distinct, single = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
     ends = texts.count()
     n_tokens, n_words = (total or 0) + ends, distinct + (ends > 0)
+    unseen = (max(1, single or 0)) / (n_tokens + max(1, single or 0))
     top = frequent(counts, shape.dictionary)  # at most so many words of LONGEST bytes
     words = [bytes(r.word) for r in top]
-    sent = texts.sparkSession.sparkContext.broadcast(words)
-    classes, bigrams = exchange(materialise(count_pairs(texts, sent, shape), "lm-pairs"), shape)
-    sums = bigrams.sum(0).astype(float)
-    share = sums / max(1.0, sums.sum())
-    after = (bigrams + shape.smooth * share[None, :]) / (bigrams.sum(1, keepdims=True) + shape.smooth)
-    unseen = (max(1, single or 0)) / (n_tokens + max(1, single or 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        step = np.where(sums > 0, np.log10((1 - unseen) * after) - np.log10(sums), 0.0)
-    return Model(shape, words, np.array([r.n for r in top], np.int64), classes, step, ends, unseen, n_tokens, n_words), counts
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    blocks = materialise(encode(docs, sent, shape), "lm-blocks")
+    classes, bigrams = exchange(materialise(count_pairs(blocks, sent, shape), "lm-pairs"), shape)
+    model = Model(shape, words, np.array([r.n for r in top], np.int64), classes, classes[dictionary_units(words, shape)], None, ends, unseen, n_tokens, n_words)
+    grouped = counts.withColumn("class", F.lit(None).cast("int"))
+    if shape.least is not None:
+        own = materialise(own_classes(word_contexts(blocks, sent, classes, shape), classes, bigrams, shape), "lm-classes")
+        of = dict.fromkeys(words[shape.units :])
+        if of:  # words of at least the rarest one's count are the dictionary
+            of |= {bytes(r.word): r["class"] for r in own.where((F.col("n") >= top[-1].n) & (F.length("word") <= LONGEST)).select("word", "class").collect()}
+        moved = np.array([*model.word_classes[: shape.units][: len(words)], *[c if of[w] is None else of[w] for w, c in zip(words[shape.units :], model.word_classes[shape.units :], strict=False)], classes[-1]], np.int64)
+        refined = replace(model, word_classes=moved)
+        every = counts.join(own.select("word", "class"), "word", "left")
+        classed = materialise(classify(blocks, refined, every), "lm-classed")
+        recounted = class_bigrams(classed, shape)
+        if likelihood(recounted) >= likelihood(bigrams):
+            return replace(refined, step=steps(recounted, unseen, shape.smooth)), every, classed
+    classed = materialise(classify(blocks, model, grouped), "lm-classed")
+    return replace(model, step=steps(bigrams, unseen, shape.smooth)), grouped, classed
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
+    """The model and the table (word, n, class) of all training words; without a class of its own a word has its group's."""
+    return learn(texts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out")), shape)[:2]
+
+
+def score_classed(classed: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each text."""
+    step, n_tokens, end = model.step, model.n_tokens, int(model.classes[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        streams, size = Streams(m.words, m.shape), len(m.words) + 1
-        n = np.append(m.known, m.ends)
-        log_n, log_n1 = np.log10(np.maximum(n, 1)), np.log10(n + 1)
-        end_class, row = m.classes[-1], TaskContext.get().partitionId() << 40
-        for numbers, lengths, rows in streams.blocks(batches):
-            classes = m.classes[streams.units()][numbers]
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            steps = m.step[np.concatenate([[end_class], classes[:-1]]), classes]
-            common = (numbers < size) & (n[np.minimum(numbers, size - 1)] > 0)
-            d, w = doc[common], numbers[common]
-            part = np.bincount(d, steps[common] + log_n[w], len(lengths))
-            base = np.bincount(d, log_n1[w], len(lengths))
-            known = np.bincount(d, minlength=len(lengths))
-            code, place = np.unique(doc[~common] * (1 << 32) + numbers[~common], return_inverse=True)
-            times, extra = np.bincount(place, minlength=len(code)), np.bincount(place, steps[~common], len(code))
-            others, owner = streams.numbers.others, code >> 32
-            ids = row + np.arange(len(lengths))
-            row += len(lengths)
-            # a text's own row has a key that no word has
-            keys = [b" %d" % i for i in ids.tolist()] + [others[c - size] if c >= size else b" end" for c in (code & 0xFFFFFFFF).tolist()]
-            place, none = np.concatenate([np.arange(len(lengths)), owner]), np.zeros(len(code), np.int64)
-            head = pa.Table.from_batches(rows).select(["doc_id", "held_out"]).take(pa.array(place))
-            columns = [ids[place], *head.columns, pa.array(keys, pa.binary()), np.append(lengths, none), np.append(known, none),
-                       np.append(base, 0.0 * none), np.append(part, extra), np.append(np.zeros(len(lengths), np.int64), times)]
-            yield from pa.table(columns, names=["row", "doc_id", "held_out", "key", "n_tokens", "n_known", "base", "part", "times"]).combine_chunks().to_batches()
-
-    rows = docs.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, key binary, n_tokens long, n_known long, base double, part double, times long")
-    joined = rows.join(counts.select(F.col("word").alias("key"), "n"), "key", "left")
-    found, times = F.col("n").isNotNull(), F.col("times")
-    part = F.when(times == 0, F.col("part")).when(found, F.col("part") + times * F.log10(F.col("n"))).otherwise(times * F.lit(float(np.log10(model.unseen))))
-    each = joined.select("row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(found, times).otherwise(0)).alias("n_known"),
-                         (F.col("base") + F.when(found, times * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("base"), part.alias("part"))
-    exact = lambda c: F.sum(F.round(c, 9).cast("decimal(38,9)")).cast("double")  # noqa: E731  the same in any order of rows
-    summed = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), exact("base").alias("base"), exact("part").alias("score"))
-    all_ = float(np.log10(model.n_tokens + model.n_words + 1))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(all_)).alias("base_score"), "score")
+        for row in block_rows(batches):
+            lengths, coded = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["classes"], np.uint8).astype(np.int64)
+            of = coded % UNSEEN
+            each = np.where(coded < UNSEEN, step[np.concatenate([[end], of[:-1]]), of], 0.0)
+            scores = np.bincount(np.repeat(np.arange(len(lengths)), lengths), each, len(lengths)) + np.frombuffer(row["part"])
+            scores, base = np.round(scores, 9) + 0.0, np.round(np.frombuffer(row["base"]), 9) + 0.0
+            columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), lengths, np.frombuffer(row["known"], np.int64), np.full(len(lengths), n_tokens, np.int64), base, scores, 10 ** np.minimum(-scores / lengths, 300)]
+            yield from pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]).to_batches()
+
+    return classed.select("lengths", "doc_ids", "held", "classes", "known", "base", "part").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) scored by a model of other texts; columns as in ``score_classed``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.words)
+    blocks = materialise(encode(docs, sent, model.shape), "lm-blocks")
+    return score_classed(classify(blocks, model, counts), model)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(True))
 
 
+#: Every word that occurs twice is clustered by its own contexts.
+PRODUCTION = Shape(least=2)
+
+
 def op1_class_lm(spark, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` scored by a model of those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model, counts = fit(docs.where(~F.col("held_out")).select("text"))
-    return score(docs, model, counts)
+    model, _, classed = learn(docs, PRODUCTION)
+    return score_classed(classed, model)
