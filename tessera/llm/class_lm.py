@@ -51,7 +51,7 @@ from tessera.session import materialise
 
 #: Longest word of the dictionary, in bytes.
 LONGEST = 64
-BLOCK = "block long, numbers binary, lengths binary, doc_ids array<long>, held array<boolean>, others array<binary>"
+BLOCK = "block long, numbers binary, lengths binary, doc_ids array<long>, held array<boolean>, others binary"
 CLASSED = "lengths binary, doc_ids array<long>, held array<boolean>, classes binary, known binary, base binary, part binary"
 #: One of a word's contexts: the class before it, or the number of classes plus the class after it; how often.
 CONTEXT = np.dtype([("code", "u1"), ("n", "<u4")])
@@ -108,6 +108,25 @@ def dictionary_units(words: list[bytes], shape: Shape) -> np.ndarray:
     return np.array([*own, shape.size - 1])
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expanded(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def numbers_of(row: dict) -> np.ndarray:
+    """A block's word numbers; they are kept as four planes of bytes, which compress better."""
+    return np.ascontiguousarray(np.frombuffer(expanded(row["numbers"]), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def others_of(row: dict) -> list[bytes]:
+    """A block's own words; no word has a space."""
+    return expanded(row["others"]).split(b" ")[:-1]
+
+
 def encode(docs: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
     """``docs`` (doc_id, text, held_out) as blocks of whole texts, an end after each text.
 
@@ -119,8 +138,10 @@ def encode(docs: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
         streams, ids, held, size, block = [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def written() -> pa.RecordBatch:
-            columns = [[block], [np.concatenate(streams).tobytes()], [np.array([len(x) for x in streams], np.int64).tobytes()], [ids], [held], [numbers.others]]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+            planes = np.concatenate(streams).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            others = b"".join(w + b" " for w in numbers.others)
+            columns = [[block], [squeezed(planes)], [np.array([len(x) for x in streams], np.int64).tobytes()], [ids], [held], [squeezed(others)]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "numbers", "lengths", "doc_ids", "held", "others"])
 
         for batch in batches:
@@ -144,12 +165,12 @@ def encode(docs: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
 def learnt(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, which of them are of training texts) of a block."""
     lengths = np.frombuffer(row["lengths"], np.int64)
-    return np.frombuffer(row["numbers"], np.int32), np.repeat(~np.array(row["held"], bool), lengths)
+    return numbers_of(row), np.repeat(~np.array(row["held"], bool), lengths)
 
 
-def block_units(row: dict, known: np.ndarray, shape: Shape) -> np.ndarray:
+def block_units(others: list[bytes], known: np.ndarray, shape: Shape) -> np.ndarray:
     """Unit of each number of a block; ``known`` are those of the dictionary and the end."""
-    return np.concatenate([known, np.fromiter(map(shape.group_of, row["others"]), np.int64, len(row["others"]))])
+    return np.concatenate([known, np.fromiter(map(shape.group_of, others), np.int64, len(others))])
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -183,7 +204,7 @@ def count_pairs(blocks: DataFrame, words: Broadcast, shape: Shape) -> DataFrame:
         known, codes, counts = dictionary_units(words.value, shape), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for row in block_rows(batches):
             numbers, train = learnt(row)
-            units = block_units(row, known, shape)[numbers[train]]
+            units = block_units(others_of(row), known, shape)[numbers[train]]
             found, n = np.unique(np.concatenate([[size - 1], units[:-1]]) * size + units, return_counts=True) if len(units) else (codes[:0], counts[:0])
             every, place = np.unique(np.concatenate([codes, found]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([counts, n]), len(every)).astype(np.int64)  # exact below 2^53
@@ -283,28 +304,39 @@ def exchange(pairs: DataFrame, shape: Shape, gain: float = 1e-5) -> tuple[np.nda
 
 
 def word_contexts(blocks: DataFrame, words: Broadcast, classes: np.ndarray, shape: Shape) -> DataFrame:
-    """(word, contexts): what stands next to the words that aren't units, one row a word and block."""
+    """(word, contexts): what stands next to the words that aren't units; one row a word and block, a dictionary word one some blocks."""
     wide = 2 * shape.classes
 
+    def rows(codes: np.ndarray, n: np.ndarray, names) -> Iterator[pa.RecordBatch]:
+        owner = codes // wide
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        entries = np.empty(len(codes), CONTEXT)
+        entries["code"], entries["n"] = codes % wide, n
+        offsets = (np.append(first, len(codes)) * CONTEXT.itemsize).astype("<i4")
+        packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+        yield from pa.table([pa.array([names(i) for i in owner[first].tolist()], pa.binary()), packed], names=["word", "contexts"]).to_batches(20_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, size = dictionary_units(words.value, shape), len(words.value) + 1
+        listed = words.value
+        known, size = dictionary_units(listed, shape), len(listed) + 1
+        held, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of dictionary words
         for row in block_rows(batches):
             numbers, train = learnt(row)
-            numbers = numbers[train].astype(np.int64)
-            of = classes[block_units(row, known, shape)[numbers]]
+            numbers, others = numbers[train].astype(np.int64), others_of(row)
+            of = classes[block_units(others, known, shape)[numbers]]
             at = np.flatnonzero((numbers >= shape.units) & (numbers != size - 1))  # an end follows every one
             if not len(at):
                 continue
             before = np.where(at > 0, of[at - 1], classes[-1])
             codes, n = np.unique(np.concatenate([numbers[at] * wide + before, numbers[at] * wide + shape.classes + of[at + 1]]), return_counts=True)
-            owner = codes // wide
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            entries = np.empty(len(codes), CONTEXT)
-            entries["code"], entries["n"] = codes % wide, n
-            offsets = (np.append(first, len(codes)) * CONTEXT.itemsize).astype("<i4")
-            found = [words.value[i] if i < size else row["others"][i - size] for i in owner[first].tolist()]
-            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-            yield from pa.table([pa.array(found, pa.binary()), packed], names=["word", "contexts"]).to_batches(20_000)
+            cut = int(np.searchsorted(codes, size * wide))
+            held, place = np.unique(np.concatenate([held, codes[:cut]]), return_inverse=True)
+            held_n = np.bincount(place, np.concatenate([held_n, n[:cut]]), len(held)).astype(np.int64)
+            if len(held) > 2_000_000:
+                yield from rows(held, held_n, listed.__getitem__)
+                held, held_n = held[:0], held_n[:0]
+            yield from rows(codes[cut:] - size * wide, n[cut:], others.__getitem__)
+        yield from rows(held, held_n, listed.__getitem__)
 
     return blocks.select("numbers", "lengths", "held", "others").mapInArrow(run, "word binary, contexts binary")
 
@@ -334,17 +366,17 @@ def best_classes(table: np.ndarray, at: np.ndarray, bigrams: np.ndarray) -> np.n
 
 
 def own_classes(found: DataFrame, classes: np.ndarray, bigrams: np.ndarray, shape: Shape) -> DataFrame:
-    """(word, n, class) of the words of ``word_contexts`` with at least ``shape.least`` occurrences."""
+    """(word, n, class) of the words of ``word_contexts``; null for those of fewer than ``shape.least`` occurrences."""
     wide = 2 * shape.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def moved(words: list[bytes], table: np.ndarray) -> pa.RecordBatch:
             n = table[:, : shape.classes].sum(1)
             chosen = np.flatnonzero(n >= shape.least)
-            words = [words[i] for i in chosen.tolist()]
-            at = classes[np.fromiter(map(shape.group_of, words), np.int64, len(words))]
-            best = best_classes(table[chosen], at, bigrams)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[chosen], pa.int64()), pa.array(best.astype("int32"))], names=["word", "n", "class"])
+            at = classes[np.fromiter((shape.group_of(words[i]) for i in chosen.tolist()), np.int64, len(chosen))]
+            best = np.zeros(len(words), np.int32)
+            best[chosen] = best_classes(table[chosen], at, bigrams)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(best, mask=n < shape.least)], names=["word", "n", "class"])
 
         last, kept = None, np.zeros((1, wide), np.int64)  # rows of a word may go on in the next batch
         for batch in batches:
@@ -402,7 +434,13 @@ def frequent(counts: DataFrame, most: int) -> list:
 
 def classify(blocks: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Class of each token of ``blocks``, and for each text the known tokens, the base score's and the score's part that the words decide."""
-    words = blocks.select("block", F.posexplode("others").alias("place", "word")).join(counts, "word")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in block_rows(batches):
+            others = others_of(row)
+            yield from pa.table([np.full(len(others), row["block"], np.int64), np.arange(len(others), dtype=np.int32), pa.array(others, pa.binary())], names=["block", "place", "word"]).to_batches(20_000)
+
+    words = blocks.select("block", "others").mapInArrow(listed, "block long, place int, word binary").join(counts, "word")
     found = words.groupBy("block").agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))  # at most a block's words
     sent = blocks.sparkSession.sparkContext.broadcast(model)
 
@@ -413,8 +451,8 @@ def classify(blocks: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                others = one.column("others").flatten().to_pylist()
-                numbers = np.frombuffer(one.column("numbers")[0].as_py(), np.int32)
+                others = others_of({"others": one.column("others")[0].as_py()})
+                numbers = numbers_of({"numbers": one.column("numbers")[0].as_py()})
                 lengths = np.frombuffer(one.column("lengths")[0].as_py(), np.int64)
                 n, of = np.zeros(size + len(others), np.int64), np.empty(size + len(others), np.int64)
                 n[: size - 1], n[size - 1], of[:size] = m.known, m.ends, m.word_classes
@@ -431,7 +469,7 @@ def classify(blocks: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 base = np.bincount(doc, (np.log10(n + 1) - all_)[numbers], count)
                 part = np.bincount(doc, np.where(n > 0, np.log10(np.maximum(n, 1)), unseen)[numbers], count)
                 classes = (of[numbers] + UNSEEN * (times == 0)).astype(np.uint8)
-                columns = [one.column("lengths"), one.column("doc_ids"), one.column("held"), *[pa.array([c.tobytes()], pa.binary()) for c in (classes, known, base, part)]]
+                columns = [one.column("lengths"), one.column("doc_ids"), one.column("held"), *[pa.array([c], pa.binary()) for c in (squeezed(classes.tobytes()), known.tobytes(), base.tobytes(), part.tobytes())]]
                 yield pa.RecordBatch.from_arrays(columns, names=["lengths", "doc_ids", "held", "classes", "known", "base", "part"])
 
     return blocks.join(found, "block", "left").select("numbers", "lengths", "doc_ids", "held", "others", "found").mapInArrow(run, CLASSED)
@@ -445,7 +483,7 @@ def class_bigrams(classed: DataFrame, shape: Shape) -> np.ndarray:
         seen = np.zeros(wide * wide, np.int64)
         for row in block_rows(batches):
             train = np.repeat(~np.array(row["held"], bool), np.frombuffer(row["lengths"], np.int64))
-            of = np.frombuffer(row["classes"], np.uint8)[train].astype(np.int64)  # training words are all seen
+            of = np.frombuffer(expanded(row["classes"]), np.uint8)[train].astype(np.int64)  # training words are all seen
             if len(of):
                 seen += np.bincount(np.concatenate([of[-1:], of[:-1]]) * wide + of, minlength=wide * wide)  # the last is an end
         used = np.flatnonzero(seen)
@@ -467,7 +505,7 @@ def steps(bigrams: np.ndarray, unseen: float, smooth: float) -> np.ndarray:
 
 
 def learn(docs: DataFrame, shape: Shape) -> tuple[Model, DataFrame, DataFrame]:
-    """From ``docs`` (doc_id, text, held_out): the model, (word, n, class) of all training words, all texts classified."""
+    """From ``docs`` (doc_id, text, held_out): the model, (word, n, class) of the training words that aren't units, all texts classified."""
     texts = docs.where(~F.col("held_out")).select("text")
     counts = materialise(count_words(texts), "lm-words")
     total, distinct, single = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).first()
@@ -488,17 +526,16 @@ def learn(docs: DataFrame, shape: Shape) -> tuple[Model, DataFrame, DataFrame]:
             of |= {bytes(r.word): r["class"] for r in own.where((F.col("n") >= top[-1].n) & (F.length("word") <= LONGEST)).select("word", "class").collect()}
         moved = np.array([*model.word_classes[: shape.units][: len(words)], *[c if of[w] is None else of[w] for w, c in zip(words[shape.units :], model.word_classes[shape.units :], strict=False)], classes[-1]], np.int64)
         refined = replace(model, word_classes=moved)
-        every = counts.join(own.select("word", "class"), "word", "left")
-        classed = materialise(classify(blocks, refined, every), "lm-classed")
+        classed = materialise(classify(blocks, refined, own), "lm-classed")
         recounted = class_bigrams(classed, shape)
         if likelihood(recounted) >= likelihood(bigrams):
-            return replace(refined, step=steps(recounted, unseen, shape.smooth)), every, classed
+            return replace(refined, step=steps(recounted, unseen, shape.smooth)), own, classed
     classed = materialise(classify(blocks, model, grouped), "lm-classed")
     return replace(model, step=steps(bigrams, unseen, shape.smooth)), grouped, classed
 
 
 def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n, class) of all training words; without a class of its own a word has its group's."""
+    """The model and the table (word, n, class) of the training words (without those that are units); without a class of its own a word has its group's."""
     return learn(texts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out")), shape)[:2]
 
 
@@ -508,7 +545,7 @@ def score_classed(classed: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in block_rows(batches):
-            lengths, coded = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["classes"], np.uint8).astype(np.int64)
+            lengths, coded = np.frombuffer(row["lengths"], np.int64), np.frombuffer(expanded(row["classes"]), np.uint8).astype(np.int64)
             of = coded % UNSEEN
             each = np.where(coded < UNSEEN, step[np.concatenate([[end], of[:-1]]), of], 0.0)
             scores = np.bincount(np.repeat(np.arange(len(lengths)), lengths), each, len(lengths)) + np.frombuffer(row["part"])

@@ -150,13 +150,13 @@ def test_hot_word_over_many_rows(spark):
     entry = np.array([(1, 1), (5 + 2, 1)], c.CONTEXT).tobytes()
     rows = spark.range(25_000).select(F.lit(b"hot").alias("word"), F.lit(entry).alias("contexts")).unionByName(spark.createDataFrame([(b"cold", entry), (b"rare", entry), (b"cold", entry)], "word binary, contexts binary"))
     got = c.own_classes(rows, np.arange(SMALL.size) % 5, np.full((5, 5), 100_000), SMALL).collect()
-    assert sorted((bytes(r.word), r.n) for r in got) == [(b"cold", 2), (b"hot", 25_000)]
+    assert sorted((bytes(r.word), r.n, r["class"] is None) for r in got) == [(b"cold", 2, False), (b"hot", 25_000, False), (b"rare", 1, True)]
 
 
 def test_whole_vocabulary_of_the_documents(spark):
     """Words with a class of their own make up nearly all training tokens."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", c.held_out(F.col("doc_id")))
     model, counts, _ = c.learn(docs, c.PRODUCTION)
-    r = counts.withColumn("own", F.col("class").isNotNull() | (F.col("n") >= int(model.known[: model.shape.units][-1]))).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("own")).first()
-    singles = counts.where("n = 1").count()
-    assert r.own >= r.n - singles
+    r = counts.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("own")).first()
+    units = int(model.known[: model.shape.units].sum()) + model.ends
+    assert r.n + units == model.n_tokens and r.n - r.own == counts.where("n = 1").count() > 0
