@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import scratch_path
+from tessera.session import materialise, scratch_path
 
 SHARD_ROWS = 1 << 17  # most bagged rows that one task grows a subtree from
 BATCH_CELLS = 1 << 27  # rows × trees sent to shards at once
-TASK_ROWS = 1 << 16  # rows a task holds in blocks
+TASK_ROWS = 1 << 14  # rows a task holds in blocks
 GROWN_ROWS = 1 << 20  # bagged rows of all shards that a task grows, about
-KEEP = 5  # boosting iterations between two refreshes of the margins
+KEEP = 10  # boosting iterations between two refreshes of the margins
 SAMPLE = 10_000  # rows that bounds are chosen from
 LEAF, SHARD = -1, -2
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
@@ -116,7 +116,8 @@ def to_blocks(train: DataFrame, bounds: list[np.ndarray], n_rows: int, centre: f
 
     rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
     tasks = max(1, math.ceil(n_rows / TASK_ROWS))
-    return rows.mapInArrow(pack, BLOCK).repartition(tasks, "part", "seq").sortWithinPartitions("part", "seq")
+    blocks = rows.mapInArrow(pack, BLOCK).repartition(tasks, "part", "seq").sortWithinPartitions("part", "seq")
+    return materialise(blocks, "tree_blocks").persist(StorageLevel.MEMORY_AND_DISK)  # the plans of hundreds of jobs stay short
 
 
 class Layout:
@@ -414,7 +415,7 @@ def fit_forest(train: DataFrame, dim: int, n_rows: int, classes: int, trees: int
         of = train.agg(F.avg("label").alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).first()
         centre = float(of["m"])
         unit = whole_unit(max(of["b"] - centre, centre - of["a"]), 2 * n_rows)
-    blocks = to_blocks(train, bounds, n_rows, centre, unit, 0).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = to_blocks(train, bounds, n_rows, centre, unit, 0)
     path, gains = scratch_path(spark, "forest"), np.zeros((trees, dim))
     step = max(1, BATCH_CELLS // n_rows)
     for first in range(0, trees, step):
@@ -599,7 +600,7 @@ def fit_boosted(train: DataFrame, dim: int, n_rows: int, classes: int, iters: in
         of = train.agg(F.avg("label").alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).first()
         centre = float(of["m"])
         unit = whole_unit(4.0 * (of["b"] - of["a"]), n_rows)
-    blocks = to_blocks(train, bounds, n_rows, centre, unit if not classes else 1.0, models).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = to_blocks(train, bounds, n_rows, centre, unit if not classes else 1.0, models)
     recent: list[tuple] = []
     every, gains = [], np.zeros((iters, models, dim))
 
@@ -682,10 +683,9 @@ def _refreshed(blocks: DataFrame, layout: Layout, models: int, recent: list[tupl
                 margin = np.frombuffer(r["margin"]).reshape(-1, models)
                 yield batch(BLOCK, [(r["part"], r["seq"], r["codes"], r["label"], packed(_margins(layout.codes(r["codes"]), margin, trees, rates)))])
 
-    fresh = blocks.mapInArrow(update, BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
-    fresh.count()
+    fresh = materialise(blocks.mapInArrow(update, BLOCK), "tree_margins")
     blocks.unpersist()
-    return fresh
+    return fresh.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class BoostedModel(_Binned, DefaultParamsReadable, DefaultParamsWritable):
