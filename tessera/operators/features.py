@@ -46,6 +46,8 @@ MAX_CATEGORIES = 10
 NAN_CLASS = "nan"
 # codes are joined on a 32-byte digest, so this many rows are some 10 MB whatever the text
 BROADCAST_CODES = 200_000
+#: Characters of a value that ranges of a sort are drawn by, and rows from which more of them are taken.
+RANGE_CHARS, RANGE_ROWS = 48, 10_000
 _EPS = 10 * 2.220446049250313e-16
 
 
@@ -115,12 +117,32 @@ class FeatureSpec:
 
 
 # ----------------------------------------------------------------------------- vocabularies
+def range_key(cells: DataFrame) -> Column:
+    """The start of ``value`` by which ranges of ``(col_idx, value)`` are drawn: ``RANGE_CHARS``
+    characters, more where over ``RANGE_ROWS`` rows of longer texts begin alike.
+
+    Spark takes a sample of the keys to the driver, so whole texts are no keys.  A smaller
+    value never has a larger start.
+    """
+    tag = lambda start: F.concat_ws(":", "col_idx", start)
+    chars, key = RANGE_CHARS, F.substring("value", 1, RANGE_CHARS)
+    left = cells
+    while True:
+        start = F.substring("value", 1, chars)
+        left = left.where(F.char_length("value") > chars)
+        alike = [r["start"] for r in left.groupBy(tag(start).alias("start")).count().where(F.col("count") > RANGE_ROWS).collect()]
+        if not alike:
+            return key
+        key = F.when(tag(start).isin(alike), F.substring("value", 1, 8 * chars)).otherwise(key)
+        left, chars = left.where(tag(start).isin(alike)), 8 * chars
+
+
 def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, int, float, float]]:
     """column -> sorted vocabulary ``(value, code)``, its size, and mean and variance of the codes over the rows.
 
     One job for all columns, however many: counts of ``(column, value)`` (partial
-    aggregation absorbs hot values), one range-partitioned sort by both, one
-    contiguous index.  A code is the index less the column's first one; the moments
+    aggregation absorbs hot values), one sort by both, range-partitioned by the values'
+    first characters, one contiguous index.  A code is the index less the column's first one; the moments
     come from the counts, not from another pass over the rows.  The table lies in the
     shared folder; nothing is kept in memory and no task holds a vocabulary.
     """
@@ -131,8 +153,10 @@ def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame
     names = df.columns
     cells = F.explode(F.array(*[F.struct(F.lit(names.index(c)).alias("col_idx"), F.coalesce(qcol(c).cast("string"), F.lit(NAN_CLASS)).alias("value"))
                                 for c in columns])).alias("cell")
-    counted = df.select(cells).groupBy("cell.col_idx", "cell.value").agg(F.count(F.lit(1)).alias("cnt"))
-    table = materialise(dense_index(counted.orderBy("col_idx", "value"), "place"), "vocabularies")
+    values = df.select(cells).select("cell.col_idx", "cell.value")
+    counted = values.groupBy("col_idx", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ordered = counted.repartitionByRange("col_idx", range_key(values)).sortWithinPartitions("col_idx", "value")
+    table = materialise(dense_index(ordered, "place"), "vocabularies")
     first = {r["col_idx"]: r for r in table.groupBy("col_idx").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).collect()}  # one row a column
     start = F.element_at(F.map_from_arrays(F.array(*[F.lit(i) for i in first]), F.array(*[F.lit(r["first"]) for r in first.values()])), F.col("col_idx"))
     coded = table.withColumn("code", F.col("place") - start) if first else table.withColumn("code", F.col("place"))
