@@ -46,8 +46,8 @@ MAX_CATEGORIES = 10
 NAN_CLASS = "nan"
 # codes are joined on a 32-byte digest, so this many rows are some 10 MB whatever the text
 BROADCAST_CODES = 200_000
-#: Characters of a value that ranges of a sort are drawn by, and rows from which more of them are taken.
-RANGE_CHARS, RANGE_ROWS = 48, 10_000
+#: Characters of a value that ranges of a sort are drawn by, rows from which more of them are taken, and for how many starts.
+RANGE_CHARS, RANGE_ROWS, RANGE_STARTS = 48, 500, 1_000
 _EPS = 10 * 2.220446049250313e-16
 
 
@@ -119,22 +119,21 @@ class FeatureSpec:
 # ----------------------------------------------------------------------------- vocabularies
 def range_key(cells: DataFrame) -> Column:
     """The start of ``value`` by which ranges of ``(col_idx, value)`` are drawn: ``RANGE_CHARS``
-    characters, more where over ``RANGE_ROWS`` rows of longer texts begin alike.
+    characters, more for the commonest starts, where over ``RANGE_ROWS`` rows of longer texts begin alike.
 
     Spark takes a sample of the keys to the driver, so whole texts are no keys.  A smaller
-    value never has a larger start.
+    value never has a larger start, whichever starts share a hash.
     """
-    tag = lambda start: F.concat_ws(":", "col_idx", start)
-    chars, key = RANGE_CHARS, F.substring("value", 1, RANGE_CHARS)
-    left = cells
+    chars, key, left = RANGE_CHARS, F.substring("value", 1, RANGE_CHARS), cells
     while True:
-        start = F.substring("value", 1, chars)
+        start = F.xxhash64("col_idx", F.substring("value", 1, chars))
         left = left.where(F.char_length("value") > chars)
-        alike = [r["start"] for r in left.groupBy(tag(start).alias("start")).count().where(F.col("count") > RANGE_ROWS).collect()]
+        most = left.groupBy(start.alias("start")).count().orderBy(F.desc("count")).limit(RANGE_STARTS).collect()
+        alike = [r["start"] for r in most if r["count"] > RANGE_ROWS]
         if not alike:
             return key
-        key = F.when(tag(start).isin(alike), F.substring("value", 1, 8 * chars)).otherwise(key)
-        left, chars = left.where(tag(start).isin(alike)), 8 * chars
+        key = F.when(start.isin(alike), F.substring("value", 1, 8 * chars)).otherwise(key)
+        left, chars = left.where(start.isin(alike)), 8 * chars
 
 
 def vocabularies(df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, int, float, float]]:

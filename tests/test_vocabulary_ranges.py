@@ -20,7 +20,7 @@ def texts():
     return some + some[:80]
 
 
-@pytest.mark.parametrize("chars, rows", [(48, 10_000), (2, 3), (1, 0)])
+@pytest.mark.parametrize("chars, rows", [(48, 500), (2, 3), (1, 0)])
 def test_codes_follow_the_whole_texts(spark, texts, monkeypatch, chars, rows):
     monkeypatch.setattr(features, "RANGE_CHARS", chars)
     monkeypatch.setattr(features, "RANGE_ROWS", rows)
@@ -45,10 +45,12 @@ def test_ranges_are_drawn_by_short_starts(spark, monkeypatch, capsys):
     assert keys and all("FIRST, value" not in k and k.startswith(" FIRST, ") for k in keys)
 
 
-def test_longer_starts_where_many_begin_alike(spark, monkeypatch):
+@pytest.mark.parametrize("n", [400, 5000])
+def test_longer_starts_where_many_begin_alike(spark, monkeypatch, n):
     """A common beginning doesn't put all its texts into one range."""
-    monkeypatch.setattr(features, "RANGE_ROWS", 50)
+    if n < 500:
+        monkeypatch.setattr(features, "RANGE_ROWS", 50)
     same = F.repeat(F.lit("same "), 100)
-    cells = spark.range(400).select(F.lit(0).alias("col_idx"), F.when(F.col("id") < 20, F.col("id").cast("string")).otherwise(F.concat(same, F.col("id").cast("string"))).alias("value"))
+    cells = spark.range(n).select(F.lit(0).alias("col_idx"), F.when(F.col("id") < 20, F.col("id").cast("string")).otherwise(F.concat(same, F.col("id").cast("string"))).alias("value"))
     starts = cells.select(features.range_key(cells).alias("start")).distinct().collect()
-    assert len(starts) == 400
+    assert len(starts) == n
