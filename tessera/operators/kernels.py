@@ -80,3 +80,31 @@ class KernelRegression(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultP
             return pd.Series(np.cos(x @ w + b) @ weights + intercept)
 
         return dataset.withColumn(self.getOutputCol(), predict(vector_to_array(F.col(self.getInputCol()))))
+
+
+class KernelClassification(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """The class of the largest of several linear models over random Fourier features, as one stage."""
+
+    inputDim = Param(Params._dummy(), "inputDim", "input dimension d", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "RBF kernel width", TypeConverters.toFloat)
+    weights = Param(Params._dummy(), "weights", "weights of the random features, class after class", TypeConverters.toListFloat)
+    intercepts = Param(Params._dummy(), "intercepts", "intercept of every class", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="prediction", inputDim=1, gamma=1.0, weights=None, intercepts=None, seed=42):
+        super().__init__()
+        self._setDefault(inputDim=1, gamma=1.0, seed=42)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset):
+        intercepts, d = np.array(self.getOrDefault(self.intercepts)), self.getOrDefault(self.inputDim)
+        weights = np.array(self.getOrDefault(self.weights)).reshape(len(intercepts), -1).T
+        w, b = rff_weights(d, len(weights), self.getOrDefault(self.gamma), self.getOrDefault(self.seed))
+        weights = np.sqrt(2.0 / len(weights)) * weights
+
+        @F.pandas_udf(T.DoubleType())
+        def predict(xs: pd.Series) -> pd.Series:
+            x = np.vstack(xs.to_numpy()) if len(xs) else np.zeros((0, d))
+            return pd.Series((np.cos(x @ w + b) @ weights + intercepts).argmax(axis=1).astype(float))
+
+        return dataset.withColumn(self.getOutputCol(), predict(vector_to_array(F.col(self.getInputCol()))))

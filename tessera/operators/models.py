@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.features import BROADCAST_CODES, FeatureModel, fit_features
-from tessera.operators.kernels import KernelRegression, RandomFourierFeatures
+from tessera.operators.kernels import KernelClassification, KernelRegression, RandomFourierFeatures
 from tessera.operators.metrics import LEADERBOARD_SCHEMA, classification_metrics, regression_metrics
+from tessera.operators.svc import fit_svc
 from tessera.operators.svr import fit_svr
 from tessera.operators.sampling import dense_index, exact_split_flag, split_flag
 from tessera.operators.target import check_config, family
@@ -183,7 +184,23 @@ def _kernel_stages(ctx):
     return scaler, rff
 
 
+class _SvcOfManyClasses:
+    """The kernel classifier of more than two classes beyond ``MLLIB_ROWS`` rows: all classes in the same passes."""
+
+    def __init__(self, ctx):
+        self.ctx = ctx
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        scaler, rff = _kernel_stages(self.ctx)
+        gamma, dim, seed = rff.getOrDefault(rff.gamma), self.ctx.dim, self.ctx.cfg.seed
+        found = fit_svc(scaler.transform(train), "scaled", "label", self.ctx.num_classes, dim, self.ctx.cfg.rff_dim, gamma, seed)
+        head = KernelClassification(inputCol="scaled", outputCol="prediction", inputDim=dim, gamma=gamma, weights=found.weights.ravel().tolist(), intercepts=found.intercepts.tolist(), seed=seed)
+        return PipelineModel(stages=[scaler, head])
+
+
 def _svc(ctx):
+    if ctx.num_classes > 2 and ctx.n_train > MLLIB_ROWS:
+        return _SvcOfManyClasses(ctx)
     scaler, rff = _kernel_stages(ctx)
     svm = LinearSVC(featuresCol="rff", regParam=1.0 / max(ctx.n_train, 1), maxIter=100)
     head = svm if ctx.num_classes <= 2 else OneVsRest(classifier=svm, featuresCol="rff",

@@ -44,6 +44,8 @@ TASK_ROWS = 1 << 14  # rows a task holds in blocks
 GROWN_ROWS = 1 << 20  # bagged rows of all shards that a task grows, about
 KEEP = 10  # boosting iterations between two refreshes of the margins
 SAMPLE = 10_000  # rows that bounds are chosen from
+FEW_NODES = 31  # nodes of a tree up to which all rows take all its tests
+DIRECT_CELLS = 1 << 22  # cells of all tasks' histograms that the driver adds up itself
 LEAF, SHARD = -1, -2
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
@@ -116,7 +118,12 @@ def to_blocks(train: DataFrame, bounds: list[np.ndarray], n_rows: int, centre: f
 
     rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
     tasks = max(1, math.ceil(n_rows / TASK_ROWS))
-    blocks = rows.mapInArrow(pack, BLOCK).repartition(tasks, "part", "seq").sortWithinPartitions("part", "seq")
+    blocks = rows.mapInArrow(pack, BLOCK)
+    # boosting asks for as many rows a task, and its sums do not depend on which; a forest's bags follow from the blocks' numbers
+    if margins and train.rdd.getNumPartitions() >= tasks:
+        blocks = blocks.coalesce(tasks)
+    else:
+        blocks = blocks.repartition(tasks, "part", "seq").sortWithinPartitions("part", "seq")
     return materialise(blocks, "tree_blocks").persist(StorageLevel.MEMORY_AND_DISK)  # the plans of hundreds of jobs stay short
 
 
@@ -572,22 +579,80 @@ class ForestModel(_Binned, MLReadable, MLWritable):
 
 
 # ------------------------------------------------------------------ boosting
-def _margins(codes: np.ndarray, margin: np.ndarray, trees: list[tuple], rate: list[float]) -> np.ndarray:
-    """Margins after some more trees; a tree is (feature, cut, left, value) for every class."""
+def place(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of the leaf every row comes to, from bins by feature: few nodes, so all their tests are made for all rows, a bit a level."""
+    if len(feature) > FEW_NODES:
+        return value[settle(feature, cut, left, np.ascontiguousarray(columns.T))]
+
+    def below(node: int) -> tuple[list[np.ndarray], list]:
+        """Right or left at each further level, and the values by these bits, the first the highest."""
+        if feature[node] < 0:
+            return [], [value[node]]
+        (low, lows), (high, highs) = below(int(left[node])), below(int(left[node]) + 1)
+        right, deep = columns[feature[node]] > int(cut[node]), max(len(low), len(high))
+        low, lows = low + [none] * (deep - len(low)), [v for v in lows for _ in range(1 << (deep - len(low)))]
+        high, highs = high + [none] * (deep - len(high)), [v for v in highs for _ in range(1 << (deep - len(high)))]
+        return [right, *(w ^ (right & (w ^ h)) for w, h in zip(low, high))], [*lows, *highs]
+
+    none = np.zeros(columns.shape[1], bool)
+    bits, values = below(0)
+    at = none.view(np.uint8)
+    for bit in bits:
+        at = at + at
+        at |= bit.view(np.uint8)
+    return np.array(values).take(at)
+
+
+def _margins(columns: np.ndarray, margin: np.ndarray, trees: list[tuple], rate: list[float]) -> np.ndarray:
+    """Margins by class after some more trees; a tree is (feature, cut, left, value) for every class."""
     out = margin.copy()
     for by_class, r in zip(trees, rate):
-        for k, (feature, cut, left, value) in enumerate(by_class):
-            out[:, k] += r * value[settle(feature, cut, left, codes)]
+        for k, tree in enumerate(by_class):
+            out[k] += r * place(columns, *tree)
     return out
 
 
+class Counter:
+    """Histograms of a block by node: two-bin features by their rows in the upper bin alone, the lower bin is the rest."""
+
+    def __init__(self, columns: np.ndarray, layout: Layout):
+        self.start, self.bins = layout.start, layout.bins
+        self.wide, self.two, self.one = np.flatnonzero(layout.bins > 2), np.flatnonzero(layout.bins == 2), np.flatnonzero(layout.bins == 1)
+        self.codes, self.most = columns[self.wide].astype(np.int64), int(layout.bins.max(initial=1))
+        self.of, self.rows = np.divmod(np.flatnonzero(columns[self.two]), max(columns.shape[1], 1))
+
+    def add(self, into: tuple[np.ndarray, np.ndarray], at: np.ndarray, nodes: int, weight: np.ndarray) -> None:
+        """Adds rows and weights to (node, bin); rows at node ``nodes`` are left out."""
+        base = at * self.most
+        for f, codes in zip(self.wide, self.codes):
+            key, m, start = base + codes, self.bins[f], self.start[f]
+            for to, w in zip(into, (None, weight)):
+                to[:, start : start + m] += np.bincount(key, w, (nodes + 1) * self.most).reshape(-1, self.most)[:nodes, :m]
+        m = len(self.two)
+        key = at[self.rows] * m + self.of
+        for to, w in zip(into, (None, weight)):
+            total = np.bincount(at, w, nodes + 1)[:nodes, None]
+            if m:
+                upper = np.bincount(key, None if w is None else w[self.rows], (nodes + 1) * m).reshape(-1, m)[:nodes]
+                to[:, self.start[self.two] + 1] += upper
+                to[:, self.start[self.two]] += total - upper
+            to[:, self.start[self.one]] += total
+
+
 def _targets(y: np.ndarray, margin: np.ndarray, classes: int, first: bool, unit: float) -> np.ndarray:
-    """What the next trees fit: ±1 or the number itself, later the loss's negative gradients, in whole units."""
+    """What the next trees fit, by class: ±1 or the number itself, later the loss's negative gradients, in whole units."""
     if not classes:
-        out = y[:, None] if first else 2.0 * (y[:, None] - margin)
+        out = y[None, :] if first else 2.0 * (y[None, :] - margin)
     else:
-        sign = np.where(y[:, None] == (np.arange(classes) if classes > 2 else [1]), 1.0, -1.0)
-        out = sign if first else 4.0 * sign / (1.0 + np.exp(np.clip(2.0 * sign * margin, -500, 500)))
+        sign = np.where(y[None, :] == (np.arange(classes)[:, None] if classes > 2 else 1), 1.0, -1.0)
+        if first:
+            out = sign
+        else:
+            out = 2.0 * sign * margin
+            np.clip(out, -500, 500, out=out)
+            np.exp(out, out=out)
+            out += 1.0
+            out = 4.0 * sign / out
     return np.round(out / unit) * unit
 
 
@@ -606,29 +671,28 @@ def fit_boosted(train: DataFrame, dim: int, n_rows: int, classes: int, iters: in
 
     def level(trees: list[list], rates: list[float], first: bool, now: list, open_: list[list[int]]) -> list:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size = [len(o) * layout.total for o in open_]
-            rows, sums = [np.zeros(s) for s in size], [np.zeros(s) for s in size]
+            rows, sums = ([np.zeros((len(o), layout.total)) for o in open_] for _ in range(2))
             for b in batches:
                 for r in b.to_pylist():
-                    codes, y = layout.codes(r["codes"]), np.frombuffer(r["label"])
-                    margin = _margins(codes, np.frombuffer(r["margin"]).reshape(-1, models), trees, rates)
-                    target = _targets(y, margin, classes, first, unit)
-                    shifted = codes + layout.start[:-1]
+                    columns, y = np.ascontiguousarray(layout.codes(r["codes"]).T), np.frombuffer(r["label"])
+                    margin = _margins(columns, np.frombuffer(r["margin"]).reshape(models, -1), trees, rates)
+                    target, counter = _targets(y, margin, classes, first, unit), Counter(columns, layout)
                     for k, nodes in enumerate(open_):
                         if not nodes:
                             continue
-                        place = np.full(len(now[k][0]), -1)
-                        place[nodes] = np.arange(len(nodes))
-                        at = place[settle(*(np.array(x) for x in now[k][:3]), codes)]
-                        mine = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
-                        keys = (shifted[mine] + (at[mine] * layout.total)[:, None]).ravel()
-                        rows[k] += np.bincount(keys, minlength=size[k])
-                        sums[k] += np.bincount(keys, np.repeat(target[mine, k], layout.dim), size[k])
+                        where = np.full(len(now[k][0]), len(nodes))
+                        where[nodes] = np.arange(len(nodes))
+                        at = place(columns, *(np.array(x) for x in now[k][:3]), where)
+                        counter.add((rows[k], sums[k]), at, len(nodes), target[k])
             for k in range(models):
-                has = np.flatnonzero(rows[k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), k, np.int32)), pa.array(has), pa.array(rows[k][has]), pa.array(sums[k][has])], names=["k", "at", "n", "s"])
+                n, s = rows[k].ravel(), sums[k].ravel()
+                has = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), k, np.int32)), pa.array(has), pa.array(n[has]), pa.array(s[has])], names=["k", "at", "n", "s"])
 
-        return blocks.mapInArrow(count, "k int, at long, n double, s double").groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
+        counted = blocks.mapInArrow(count, "k int, at long, n double, s double")
+        if math.ceil(n_rows / TASK_ROWS) * sum(map(len, open_)) * layout.total > DIRECT_CELLS:  # else the tasks' sums go to the driver as they are
+            counted = counted.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        return counted.toArrow()
 
     for i in range(iters):
         now: list = [([LEAF], [0], [0], [0.0]) for _ in range(models)]
@@ -640,8 +704,8 @@ def fit_boosted(train: DataFrame, dim: int, n_rows: int, classes: int, iters: in
             ks, at, n, s = (found[c].to_numpy() for c in ("k", "at", "n", "s"))
             then: list[list[int]] = [[] for _ in range(models)]
             for k, nodes in enumerate(open_):
-                hist = np.zeros((len(nodes) * layout.total, 2))
-                hist[at[ks == k], 0], hist[at[ks == k], 1] = n[ks == k], s[ks == k]
+                mine, size = ks == k, len(nodes) * layout.total
+                hist = np.column_stack([np.bincount(at[mine], x[mine], size) for x in (n, s)])
                 feature, cut, left, value = now[k]
                 for node, h in zip(nodes, hist.reshape(len(nodes), layout.total, 2)):
                     whole = h[: layout.bins[0]].sum(axis=0)
@@ -680,8 +744,8 @@ def _refreshed(blocks: DataFrame, layout: Layout, models: int, recent: list[tupl
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                margin = np.frombuffer(r["margin"]).reshape(-1, models)
-                yield batch(BLOCK, [(r["part"], r["seq"], r["codes"], r["label"], packed(_margins(layout.codes(r["codes"]), margin, trees, rates)))])
+                margin = np.frombuffer(r["margin"]).reshape(models, -1)
+                yield batch(BLOCK, [(r["part"], r["seq"], r["codes"], r["label"], packed(_margins(np.ascontiguousarray(layout.codes(r["codes"]).T), margin, trees, rates)))])
 
     fresh = materialise(blocks.mapInArrow(update, BLOCK), "tree_margins")
     blocks.unpersist()
@@ -717,9 +781,9 @@ class BoostedModel(_Binned, DefaultParamsReadable, DefaultParamsWritable):
             if not len(xs):
                 return pd.Series([], dtype=float)
             codes = to_codes(np.vstack(xs.to_numpy()), bounds)
-            margin = _margins(codes, np.zeros((len(codes), models)), trees, rates)
+            margin = _margins(np.ascontiguousarray(codes.T), np.zeros((models, len(codes))), trees, rates)
             if not classes:
-                return pd.Series(margin[:, 0] + centre)
-            return pd.Series((margin[:, 0] > 0).astype(float) if models == 1 else np.argmax(margin, axis=1).astype(float))
+                return pd.Series(margin[0] + centre)
+            return pd.Series((margin[0] > 0).astype(float) if models == 1 else np.argmax(margin, axis=0).astype(float))
 
         return dataset.withColumn(self.getOutputCol(), predict(vector_to_array(F.col(self.getInputCol()))))
