@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.kernels import rff_weights
 
-#: Rows multiplied at once; groups in which the tasks' sums meet; classes of a pass; trials of a class that are told ahead.
-ROWS, GROUPS, CLASSES, AHEAD = 4096, 16, 16, 4
+#: Rows multiplied at once; tasks whose sums the driver adds itself (some 130 kB each at most), groups in which those of more tasks meet; classes
+#: of a pass; trials of a class that are told ahead.
+ROWS, DIRECT, GROUPS, CLASSES, AHEAD = 4096, 512, 16, 16, 4
 #: MLlib's: steps at most, tolerance, steps that the curvature is taken from, values that convergence is told from, trials of a step.
 ITERATIONS, TOLERANCE, MEMORY, VALUES, TRIALS = 100, 1e-6, 10, 20, 20
 
@@ -125,7 +126,7 @@ def fit_svc(rows: DataFrame, features: str, label: str, classes: int, dim: int,
             return pa.table({"s": pa.array([sum(np.frombuffer(s.as_py()) for s in table["s"]).tobytes()], pa.binary())})
 
         partial = data.mapInArrow(own, "k int, s binary")
-        if tasks > GROUPS:  # else the tasks' sums go to the driver as they are
+        if tasks > DIRECT:  # else the tasks' sums go to the driver as they are
             partial = partial.groupBy("k").applyInArrow(add, "s binary")
         return sum(np.frombuffer(r.s) for r in partial.select("s").collect())
 

@@ -20,7 +20,8 @@ def rows_of(spark, n, classes, seed=0):
 
 def test_as_good_as_mllib_in_one_set_of_passes(spark, monkeypatch):
     x, y, df = rows_of(spark, 600, 3)
-    monkeypatch.setattr(svc, "GROUPS", 2)  # fewer than partitions
+    monkeypatch.setattr(svc, "DIRECT", 2)  # fewer than partitions
+    monkeypatch.setattr(svc, "GROUPS", 2)
     fit = svc.fit_svc(df, "scaled", "label", 3, 4, 32, 0.25, 42)
     assert fit.passes < 130  # and not so many for each class
     w, b = rff_weights(4, 32, 0.25, 42)
